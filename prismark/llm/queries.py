@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prismark.llm import token_files
+from prismark.llm import packing, token_files, toxicity
 from prismark.llm.store import scratch
 
 
@@ -13,6 +13,18 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _fold(divisor: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % divisor
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of all documents by a model that never sees the held-out fifth's labels."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels").filter(_fold(5) != 0))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (_fold(5) == 0).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
+
+
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through token files and back."""
     folder = scratch(spark, "token-files")
@@ -20,7 +32,15 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(manifest, folder))
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of at most 1024."""
+    cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "joined", 2, 1024)
+    return packing.packed_pieces(cut, 1024)
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op7_best_fit_packing": op7_best_fit_packing,
     "op2_token_files": op2_token_files,
 }
 
