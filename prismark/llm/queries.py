@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prismark.llm import packing, token_files, toxicity
+from prismark.llm import language, packing, token_files, toxicity
 from prismark.llm.store import scratch
 
 
@@ -32,6 +32,14 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(manifest, folder))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages of all documents by a model that never sees the held-out third's."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs.filter(_fold(3) != 1))
+    found = language.detect(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 1024."""
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "joined", 2, 1024)
@@ -40,6 +48,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_language": op4_language,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op2_token_files": op2_token_files,
 }
