@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prismark.llm import language, packing, token_files, toxicity
+from prismark.llm import language, media, packing, token_files, toxicity
 from prismark.llm.store import scratch
 
 
@@ -32,6 +32,12 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(token_files.read_token_files(manifest, folder))
 
 
+def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as stored images, read back."""
+    table = media.media_table(_table(spark, sf_dir, "documents"), scratch(spark, "media-shards"))
+    return table.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "shard", "offset")
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Languages of all documents by a model that never sees the held-out third's."""
     docs = _table(spark, sf_dir, "documents")
@@ -48,6 +54,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_media_columns": op3_media_columns,
     "op4_language": op4_language,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op2_token_files": op2_token_files,
