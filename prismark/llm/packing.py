@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from prismark.llm.store import scratch, written
+from prismark.llm.store import scratch, small_batches, written
 from prismark.llm.tokens import batch_encoder
 from prismark.llm.words import plain_strings, text_slices
 
@@ -45,6 +45,8 @@ def pieces(docs: DataFrame, tokenizer: str, blanks: str, end_id: int, capacity:
     The first piece takes the remainder, so all later ones are full.
     """
 
+    small_batches(docs.sparkSession)
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = batch_encoder(tokenizer, blanks)
         for batch in batches:

@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prismark.llm import language, media, packing, token_files, toxicity
-from prismark.llm.store import scratch
+from prismark.llm import archives, language, media, packing, token_files, toxicity
+from prismark.llm.store import scratch, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,12 +52,29 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(cut, 1024)
 
 
+def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages through ZIP-packaged WARC files and back."""
+    packages = written(archives.write_packages(_table(spark, sf_dir, "pages"), scratch(spark, "packages")), scratch(spark, "package-list"))
+    return archives.read_packages(packages, payloads=False).drop("url")
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_media_columns": op3_media_columns,
     "op4_language": op4_language,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op10_archives": op10_archives,
     "op2_token_files": op2_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+#: Base32 of a SHA-1 in hexadecimal: five digits make four characters.
+_BASE32 = "array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), 5 * (i // 4) + 1, 5))::bigint) >> (15 - 5 * (i % 4))) & 31)::int, 1)), '')"
+
+ORACLES: dict[str, str] = {
+    "op10_archives": f"""
+        with p as (select page_id, coalesce(html, '') as h from pages),
+        k as (select page_id, strlen(h) as payload_bytes, {_BASE32} as payload_digest, min(page_id) over (partition by h) as first from p)
+        select page_id, payload_bytes, payload_digest, case when page_id = first then 'response' else 'revisit' end as record_type,
+               case when page_id <> first then first end as refers_to
+        from k""",
+}

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prismark.llm.boosting import Boosted, Isotonic, fit_boosted, fit_isotonic
-from prismark.llm.store import discard, scratch, written
+from prismark.llm.store import discard, scratch, small_batches, written
 from prismark.llm.words import WordMemory, plain_strings, text_slices, whitespace_words
 
 #: Labelled rows, at most, that a model is fitted on (half for each label).
@@ -239,7 +239,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     """`docs` with toxicity, a double from 0 to 1, from each whole text."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # bounded, see ToxicityModel
+    held = small_batches(docs.sparkSession).sparkContext.broadcast(model)  # bounded, see ToxicityModel
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = _measure_of(held)
