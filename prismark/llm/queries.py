@@ -68,7 +68,7 @@ QUERIES = {
 }
 
 #: Base32 of a SHA-1 in hexadecimal: five digits make four characters.
-_BASE32 = "array_to_string(list_transform(range(0, 32), i -> substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), 5 * (i // 4) + 1, 5))::bigint) >> (15 - 5 * (i % 4))) & 31)::int, 1)), '')"
+_BASE32 = "array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (((('0x' || substr(sha1(h), 5 * (i // 4) + 1, 5))::bigint) >> (15 - 5 * (i % 4))) & 31)::int, 1)), '')"
 
 ORACLES: dict[str, str] = {
     "op10_archives": f"""
