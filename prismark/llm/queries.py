@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prismark.llm import archives, language, media, packing, token_files, toxicity
+from prismark.llm import archives, fingerprints, language, media, packing, token_files, toxicity
 from prismark.llm.store import scratch, written
 
 
@@ -52,6 +52,11 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_pieces(cut, 1024)
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of all documents and of their edited texts."""
+    return fingerprints.fingerprint_table(_table(spark, sf_dir, "documents"))
+
+
 def op10_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages through ZIP-packaged WARC files and back."""
     packages = written(archives.write_packages(_table(spark, sf_dir, "pages"), scratch(spark, "packages")), scratch(spark, "package-list"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op3_media_columns": op3_media_columns,
     "op4_language": op4_language,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_fingerprints": op8_fingerprints,
     "op10_archives": op10_archives,
     "op2_token_files": op2_token_files,
 }
