@@ -121,7 +121,7 @@ class WordScores:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.width = 1 + len(model.languages)
-        self.memory = WordMemory(self._look, 250_000, np.float32)
+        self.memory = WordMemory(self._look, 1_000_000, np.float32)
 
     def _look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get, none = self.model.index.get, len(self.model.index)

@@ -23,6 +23,17 @@ def shared_folder(spark: SparkSession) -> str:
     return base if "://" in base else "file://" + os.path.abspath(base)
 
 
+#: Rows of an Arrow batch of whole texts; Spark's default of 10 000 suits narrow rows.
+TEXT_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """The session, with Arrow batches small enough for whole texts unless the user chose a size."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    return spark
+
+
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder name under the shared folder."""
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"

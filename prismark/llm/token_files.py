@@ -25,10 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismark.llm.store import AtomicFile, RangeReader, discard, scratch, written
-from prismark.llm.tokens import BatchEncoder
+from prismark.llm.store import AtomicFile, RangeReader, discard, scratch, small_batches, written
+from prismark.llm.tokens import batch_encoder, forget_encoders
 from prismark.llm.words import plain_strings, text_slices
 
 MAGIC = b"FRQ1"
@@ -38,6 +39,8 @@ NULL_ID = np.iinfo(np.int64).min
 LENGTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(np.uint8)
 #: Documents' compressed ids that one file should hold, in bytes.
 FILE_BYTES = 12 << 20
+#: Tokens that a reader decodes at a time; a longer document passes alone.
+BLOCK_TOKENS = 1 << 19
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -75,11 +78,11 @@ def rank_by_frequency(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def token_rows(docs: DataFrame, tokenizer: str, blanks: str, end_id: int) -> DataFrame:
-    """doc_id, ids (little-endian uint32, or uint16 where the vocabulary allows; zlib) and, in rows of their own, id counts."""
+    """doc_id, ids (little-endian uint32, or uint16 where the vocabulary allows; zstd) and, in rows of their own, id counts."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = BatchEncoder(tokenizer, blanks)
-        size = max(encoder.plain.get_vocab_size(), end_id + 1)
+        encoder = batch_encoder(tokenizer, blanks)
+        size = max(encoder.splitting.get_vocab_size(), end_id + 1)
         unit = np.uint16 if size <= 1 << 16 else np.uint32
         counts = np.zeros(size, np.int64)
         for batch in batches:
@@ -87,7 +90,8 @@ def token_rows(docs: DataFrame, tokenizer: str, blanks: str, end_id: int) -> Dat
                 ids, offsets = encoder.encode(plain_strings(part.column("text")), end_id)
                 counts += np.bincount(ids, minlength=size)
                 small = ids.astype(unit)
-                packed = [zlib.compress(small[offsets[i] : offsets[i + 1]].tobytes(), 1) for i in range(len(offsets) - 1)]
+                squeeze = zstandard.ZstdCompressor(level=1).compress
+                packed = [squeeze(small[offsets[i] : offsets[i + 1]].tobytes()) for i in range(len(offsets) - 1)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(packed, pa.binary()), pa.nulls(len(packed), pa.binary())], ["doc_id", "ids", "counts"])
         if counts.any():
             yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.nulls(1, pa.binary()), pa.array([counts.tobytes()], pa.binary())], ["doc_id", "ids", "counts"])
@@ -114,7 +118,7 @@ def _summed(counts: DataFrame) -> np.ndarray | None:
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, blanks: str, end_id: int) -> DataFrame:
     """Encode whole texts and write them to `folder`; a row per file: path, first position, documents, tokens."""
-    spark = docs.sparkSession
+    spark = small_batches(docs.sparkSession)
     step = scratch(spark, "token-rows")
     rows = written(token_rows(docs, tokenizer, blanks, end_id), step)
     counts = _summed(rows.filter("counts is not null").select("counts"))
@@ -129,21 +133,21 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, blanks: str,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        forget_encoders()
         doc_ids, sizes, controls, parts, carried = [], [], [], [], np.zeros(0, np.uint32)
-        first = None
+        unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
-            keys = batch.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False)
-            ids = [np.frombuffer(zlib.decompress(x.as_buffer()), np.uint32 if wide else np.uint16) for x in batch.column("ids")]
-            first = keys[0] if first is None and len(keys) else first
-            doc_ids.append(keys)
-            sizes.append(np.array([len(x) for x in ids], np.uint64))
-            ranks = np.concatenate([carried, *(shared.value[x] for x in ids)])
-            whole = len(ranks) // 4 * 4  # a control byte has four
-            control, data = encode_ranks(ranks[:whole])
-            controls.append(control)
-            parts.append(data)
-            carried = ranks[whole:]
-        if first is None:
+            for part in text_slices(batch, "ids", 1 << 20):
+                doc_ids.append(part.column("doc_id").fill_null(NULL_ID).to_numpy(zero_copy_only=False))
+                ids = [np.frombuffer(unpack(x.as_buffer()), np.uint32 if wide else np.uint16) for x in part.column("ids")]
+                sizes.append(np.array([len(x) for x in ids], np.uint64))
+                ranks = np.concatenate([carried, *(shared.value[x] for x in ids)])
+                whole = len(ranks) // 4 * 4  # a control byte has four
+                control, data = encode_ranks(ranks[:whole])
+                controls.append(control)
+                parts.append(data)
+                carried = ranks[whole:]
+        if not doc_ids:
             return
         control, data = encode_ranks(carried)
         control, data = b"".join(controls) + control, b"".join(parts) + data
@@ -180,52 +184,54 @@ class TokenFile:
             raise ValueError(f"{path} is not a token file")
         self.documents, self.tokens, self.data_bytes = (int(x) for x in np.frombuffer(head[4:], "<u8"))
 
-    def sections(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """doc_ids, token counts, ranks."""
+    def blocks(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """doc_ids, token counts and ranks of some documents after the other, about BLOCK_TOKENS tokens at a time."""
         at, n = 28, self.documents
         doc_ids = np.frombuffer(self.reader.read(at, 8 * n), "<i8")
         sizes = np.frombuffer(self.reader.read(at + 8 * n, 8 * n), "<u8").astype(np.int64)
-        control = self.reader.read(at + 16 * n, -(-self.tokens // 4))
-        data = self.reader.read(at + 16 * n + len(control), self.data_bytes)
-        return doc_ids, sizes, decode_ranks(control, data, self.tokens)
-
-
-def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids of every document in the files."""
+        control = np.frombuffer(self.reader.read(at + 16 * n, -(-self.tokens // 4)), np.uint8)
+        data_at = at + 16 * n + len(control)
+        spare = len(control) * 4 - self.tokens  # the last control byte states one byte for each of these
+        quads = np.concatenate(([0], np.cumsum(LENGTHS.sum(axis=1)[control], dtype=np.int64)))
+        quads[-1] -= spare
+        ends = np.cumsum(sizes)
+        i = 0
+        while i < n:
+            low = int(ends[i] - sizes[i])
+            j = max(i + 1, int(np.searchsorted(ends, low + BLOCK_TOKENS, side="right")))
+            high = int(ends[j - 1])
+            a, b = low // 4, -(-high // 4)
+            data = self.reader.read(data_at + int(quads[a]), int(quads[b] - quads[a]))
+            ranks = decode_ranks(control[a:b].tobytes(), data, min(4 * b, self.tokens) - 4 * a)
+            yield doc_ids[i:j], sizes[i:j], ranks[low - 4 * a : high - 4 * a]
+            i = j
+
+
+def read_token_files(manifest: DataFrame, folder: str, ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and (ids) ids of every document in the files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         by_rank = None
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):
                 if by_rank is None:
                     with RangeReader(f"{folder}/ranks.bin") as table:
                         by_rank = np.frombuffer(table.read(0, table.size), "<u4")
-                doc_ids, sizes, ranks = TokenFile(path).sections()
-                ids = by_rank[ranks].astype("<i4")
-                ends = np.cumsum(sizes)
-                for i in range(0, len(sizes), 1000):
-                    j = min(i + 1000, len(sizes))
-                    low, high = int(ends[i] - sizes[i]), int(ends[j - 1])
-                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends[i:j] - low)), pa.int32()), pa.array(ids[low:high], pa.int32()))
-                    keys = pa.array(doc_ids[i:j], pa.int64(), mask=doc_ids[i:j] == NULL_ID)
-                    yield pa.RecordBatch.from_arrays([keys, pa.array(start + ends[i:j] - sizes[i:j], pa.int64()), pa.array(sizes[i:j], pa.int64()), lists], ["doc_id", "start", "n_tokens", "ids"])
+                for doc_ids, sizes, ranks in TokenFile(path).blocks():
+                    ends, values = np.cumsum(sizes), by_rank[ranks]
+                    raw = memoryview(values.astype("<u4").tobytes())
+                    crc = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip((ends - sizes).tolist(), ends.tolist())]
+                    columns = [pa.array(doc_ids, pa.int64(), mask=doc_ids == NULL_ID), pa.array(start + ends - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crc, pa.int64())]
+                    if ids:
+                        columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), pa.array(values.astype("<i4"), pa.int32())))
+                    yield pa.RecordBatch.from_arrays(columns, names)
+                    start += int(ends[-1])
 
-    return _a_file_a_task(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids array<int>")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32", *["ids"] * ids]
+    return _a_file_a_task(manifest).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * ids)
 
 
 def _a_file_a_task(manifest: DataFrame) -> DataFrame:
     files = manifest.count()
     return manifest.repartitionByRange(files, "path") if files > 1 else manifest
-
-
-def checksums(documents: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of read_token_files' rows."""
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("ids")
-            values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-            raw = [zlib.crc32(values[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[:-1], offsets[1:])]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "start", "n_tokens")), pa.array(raw, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return documents.mapInArrow(digest, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from prismark.llm.words import WordBatch, WordMemory, ragged_take
+from prismark.llm.words import WordBatch, WordMemory, ragged_take, whitespace_words
 
 #: White space whose neighbours decide how it is cut: texts with any of it are encoded whole.
 UNUSUAL_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -45,13 +45,13 @@ class BatchEncoder:
     """
 
     def __init__(self, path: str, blanks: str, separator: str = "<|endoftext|>"):
-        self.plain, self.splitting = _loaded(path), _loaded(path, False)
+        self.path, self.splitting = path, _loaded(path, False)
         self.blanks, self.separator = blanks, separator
-        self.separator_id = self.plain.token_to_id(separator)
+        self.separator_id = self.splitting.token_to_id(separator)
         self.memory = WordMemory(self._encode_words)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
+        return [e.ids for e in _loaded(self.path).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids. Many words go in one string: at a special token the tokenizer starts anew."""
@@ -67,7 +67,8 @@ class BatchEncoder:
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): ids[offsets[i]:offsets[i + 1]] are text i's, `end_id` last."""
         if self.blanks == "dropped":
-            return self._by_word(WordBatch(pc.ascii_split_whitespace(texts)), end_id)
+            # The tokenizer lower-cases anyway.
+            return self._by_word(whitespace_words(texts, lower_ascii=True), end_id)
         unusual = pc.match_substring_regex(texts, UNUSUAL_SPACE).to_numpy(zero_copy_only=False)
         marked = pc.replace_substring(pc.replace_substring(texts, " ", "\0 "), "\n", "\0\n\0")
         if not unusual.any():
@@ -79,9 +80,9 @@ class BatchEncoder:
         return np.concatenate(parts), np.concatenate(([0], np.cumsum([len(p) for p in parts])))
 
     def _by_word(self, batch: WordBatch, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        starts, lengths = self.memory.lists(batch.words)
+        starts, lengths, flat = self.memory.lists(batch.words)
         word_lengths = lengths[batch.codes]
-        ids = self.memory.flat[ragged_take(starts[batch.codes], word_lengths)]
+        ids = flat[ragged_take(starts[batch.codes], word_lengths)]
         before = np.concatenate(([0], np.cumsum(word_lengths)))[batch.offsets]
         n = len(before) - 1
         out = np.full(len(ids) + n, end_id, np.int32)
@@ -89,3 +90,16 @@ class BatchEncoder:
         keep[before[1:] + np.arange(n)] = False
         out[keep] = ids
         return out, before + np.arange(n + 1)
+
+
+@lru_cache(maxsize=2)
+def batch_encoder(path: str, blanks: str) -> BatchEncoder:
+    """One encoder for each Python worker, so that tasks after the first find their words remembered."""
+    return BatchEncoder(path, blanks)
+
+
+def forget_encoders() -> None:
+    """Give a Python worker's memory back before work of another kind."""
+    batch_encoder.cache_clear()
+    _loaded.cache_clear()
+    pa.default_memory_pool().release_unused()

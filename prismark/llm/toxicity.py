@@ -139,7 +139,7 @@ class Measure:
         self.lexicon = lexicon
         self.general, self.second = frozenset(GENERAL_TERMS), frozenset(SECOND_PERSON)
         self.width = 10
-        self.memory = WordMemory(self._look, 300_000, np.float32)
+        self.memory = WordMemory(self._look, 1_000_000, np.float32)
 
     def _look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get = self.lexicon.get

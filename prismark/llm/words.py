@@ -17,8 +17,12 @@ SLICE_BYTES = 6 << 20
 
 
 def plain_strings(column: pa.Array) -> pa.Array:
-    """`column` as text without nulls (null counts as empty)."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """`column` as text without nulls (null counts as empty), in memory of its own.
+
+    Some Arrow kernels misread slices of long strings, so no slice is passed on.
+    """
+    texts = pc.fill_null(column.cast(pa.large_string()), "")
+    return pa.concat_arrays([texts, pa.array([], pa.large_string())])
 
 
 def text_slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -71,9 +75,14 @@ class WordBatch:
 
 
 def whitespace_words(texts: pa.Array, lower_ascii: bool = False) -> WordBatch:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text, in order; optionally with A-Z lower-cased."""
-    texts = pc.ascii_lower(texts) if lower_ascii else texts
-    return WordBatch(pc.ascii_split_whitespace(texts))
+    """Words `[^\\x20\\x09-\\x0D]+` of each text, in order.
+
+    lower_ascii: the words' A-Z are lower-cased, after which some may be equal.
+    """
+    batch = WordBatch(pc.ascii_split_whitespace(texts))
+    if lower_ascii:
+        batch.words = pc.ascii_lower(batch.words)
+    return batch
 
 
 def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -84,50 +93,38 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 
 class WordMemory:
-    """Remembers a ragged list of integers for each word, up to a bound on words.
+    """Remembers a ragged list of integers for each of the words met so far.
 
     `compute` gives the lengths of some words' lists and all their integers in
-    a row. It is only a cache: when full it starts anew, so results never
-    depend on it.
+    a row. The words stay in one Arrow array, a few bytes each. It is only a
+    cache: beyond `most` words it keeps those in use and starts anew, so
+    results never depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 700_000, dtype=np.int32):
-        self.compute, self.most, self.dtype = compute, most, dtype
-        self._clear()
-
-    def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.starts = np.zeros(1024, np.int64)
-        self.lengths = np.zeros(1024, np.int64)
-        self.flat = np.zeros(4096, self.dtype)
-        self.used = 0
-
-    def _room(self, name: str, need: int) -> None:
-        held = getattr(self, name)
-        if need > len(held):
-            grown = np.zeros(max(need, 2 * len(held)), held.dtype)
-            grown[: len(held)] = held
-            setattr(self, name, grown)
-
-    def lists(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Places (start, length) in `flat` of each word's integers."""
-        texts = words.to_pylist()
-        if len(self.index) + len(texts) > self.most and len(self.index):
-            self._clear()
-        index = self.index
-        found = np.fromiter((index.get(w, -1) for w in texts), np.int64, len(texts))
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000, dtype=np.int32):
+        self.compute, self.most = compute, most
+        self.known = pa.array([], pa.large_string())
+        self.starts = self.lengths = np.zeros(0, np.int64)
+        self.flat = np.zeros(0, dtype)
+
+    def lists(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(starts, lengths, flat): word i's integers are flat[starts[i]:starts[i] + lengths[i]]."""
+        words = words.cast(pa.large_string())
+        found = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(found < 0)
+        if len(self.known) + len(missing) > self.most:
+            kept = np.unique(found[found >= 0])
+            self.flat = self.flat[ragged_take(self.starts[kept], self.lengths[kept])]
+            self.lengths = self.lengths[kept]
+            self.starts = np.cumsum(self.lengths) - self.lengths
+            self.known = self.known.take(pa.array(kept))
+            found[found >= 0] = np.searchsorted(kept, found[found >= 0])
         if len(missing):
-            new = [texts[i] for i in missing]
-            sizes, values = self.compute(new)
-            first, total = len(index), int(sizes.sum())
-            for name in ("starts", "lengths"):
-                self._room(name, first + len(new))
-            self._room("flat", self.used + total)
-            self.lengths[first : first + len(new)] = sizes
-            self.starts[first : first + len(new)] = self.used + np.cumsum(sizes) - sizes
-            self.flat[self.used : self.used + total] = values
-            self.used += total
-            index.update(zip(new, range(first, first + len(new))))
-            found[missing] = np.arange(first, first + len(new))
-        return self.starts[found], self.lengths[found]
+            new = words.take(pa.array(missing))
+            sizes, values = self.compute(new.to_pylist())
+            found[missing] = np.arange(len(self.known), len(self.known) + len(missing))
+            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+            self.lengths = np.concatenate((self.lengths, sizes))
+            self.flat = np.concatenate((self.flat, values.astype(self.flat.dtype)))
+            self.known = pa.concat_arrays([self.known, new])
+        return self.starts[found], self.lengths[found], self.flat
