@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from prismark.llm import archives, fingerprints, language, media, packing, token_files, toxicity
+from prismark.llm import archives, fingerprints, jaccard, language, media, packing, token_files, toxicity
 from prismark.llm.store import scratch, written
 
 
@@ -29,7 +29,7 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts through token files and back."""
     folder = scratch(spark, "token-files")
     manifest = token_files.write_token_files(_table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), "dropped", 1)
-    return token_files.checksums(token_files.read_token_files(manifest, folder))
+    return token_files.read_token_files(manifest, folder, ids=False)
 
 
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (_fold(3) == 1).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share most of their five-word shingles."""
+    return jaccard.similarity_classes(_table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' tokens in sequences of at most 1024."""
     cut = packing.pieces(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), "joined", 2, 1024)
@@ -67,6 +72,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_media_columns": op3_media_columns,
     "op4_language": op4_language,
+    "op5_jaccard_join": op5_jaccard_join,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_fingerprints": op8_fingerprints,
     "op10_archives": op10_archives,
