@@ -89,7 +89,6 @@ def followed(docs: DataFrame) -> DataFrame:
     sent to the range before it, so no range has to look into another.
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sketched = with_sketch(plain, "text", "own")
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
     size = plain.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
     ranges = max(1, min(size.n, -(-(size.b or 0) // RANGE_BYTES)))
@@ -100,16 +99,18 @@ def followed(docs: DataFrame) -> DataFrame:
     if cuts:
         # How many cuts lie at or below the key.
         place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= key))
-    dealt = sketched.withColumn("place", place.cast("int"))
+    dealt = plain.withColumn("place", place.cast("int"))
     firsts = {r.place: r.first for r in dealt.groupBy("place").agg(F.min(key).alias("first")).collect()}
     used = sorted(firsts)
     before = {firsts[p]: used[i - 1] for i, p in enumerate(used)}  # the first of all follows the last
     if not before:
-        return sketched.withColumns({"next_text": F.lit(""), "next_own": F.col("own")})
+        return with_sketch(plain, "text", "own").withColumns({"next_text": F.lit(""), "next_own": F.col("own")})
     # Equal ids stay in one range; only the first text of the range's first id is sent ahead.
-    heads = with_sketch(plain.filter(key.isin(list(before))).groupBy("doc_id").agg(F.min("text").alias("text")), "text", "own")
+    heads = plain.filter(key.isin(list(before))).groupBy("doc_id").agg(F.min("text").alias("text"))
     sent = heads.withColumn("place", F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), key))
     rows = dealt.withColumn("ahead", F.lit(False)).unionByName(sent.withColumn("ahead", F.lit(True)))
+    # A task for each range; the window below needs no other exchange.
+    rows = with_sketch(rows.repartitionByRange(len(used), "place"), "text", "own")
     in_order = W.partitionBy("place").orderBy("ahead", "doc_id", "text")
     after = F.lead(F.struct("text", "own")).over(in_order)
     return rows.withColumn("after", after).filter(~F.col("ahead")).select("doc_id", "text", "own", F.col("after.text").alias("next_text"), F.col("after.own").alias("next_own"))

@@ -6,8 +6,9 @@ k = ceil(n * num / den) with a partner, so in any global order of shingles the
 first n - k + 1, its 1-prefix, hold one that its partner's 1-prefix holds too;
 and prefixes l - 1 longer share l.
 
-1. Clusters. Shingles are ordered by how many sets hold them (counts gathered
-   over all texts), rare ones first. Sets that share a shingle of their
+1. Clusters. Shingles are ordered by how many sets hold them, rare ones first,
+   as a table of CELLS counters over all texts tells: a counter sums the
+   shingles of its hash, so the order is global whatever its precision. Sets that share a shingle of their
    1-prefixes and are near enough in size are chained, first within tasks, then
    by buckets of shingles; a shingle of a thousand sets makes a thousand edges.
    Linked sets are in one connected cluster.
@@ -33,21 +34,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, functions as F
 
 from prismark.llm.store import scratch, small_batches, written
-from prismark.llm.words import WordBatch, WordMemory, plain_strings, text_slices, whitespace_words
+from prismark.llm.words import WordBatch, WordMemory, held_in_worker, plain_strings, text_slices, whitespace_words
 
 SHINGLE = 5
-#: Sets that hold a shingle, in a task and in all, from which it counts as common; and how many
-#: common ones the order knows at most. The order decides costs, never results.
-COMMON_IN_TASK, COMMON_IN_ALL, COMMON = 2, 3, 1_000_000
-#: Shingles that a task counts at a time, at most; beyond, those met once are forgotten.
-COUNTED = 3_000_000
+#: Counters of shingles (16 bits each, 32 MB in all), and segments in which tasks' tables are summed.
+#: The order that they give decides costs, never results.
+CELLS, SEGMENTS = 1 << 24, 64
 #: Prefix entries that a task sorts at a time, and that one bucket should hold.
 TASK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
-#: Sets in one block of a cluster, and in one bin of small clusters.
-BLOCK_SETS = 1024
+#: Sets, and shingles, in one block of a cluster, and in one bin of small clusters, about.
+BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Texts whose ids may be broadcast to fetch them; more are joined by shuffle.
 BROADCAST_IDS = 500_000
 #: Cost of verifying a candidate, in postings, for each shingle of the set.
@@ -108,68 +108,59 @@ def _class_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         return _mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
 
 
-_SHINGLER: list[Shingler] = []
-
-
-def _shingler() -> Shingler:
-    """One for each Python worker, so that words stay remembered between tasks."""
-    if not _SHINGLER:
-        _SHINGLER.append(Shingler())
-    return _SHINGLER[0]
-
-
 def _text_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Parts of a batch, with their sets (hashes, offsets) and class keys."""
     for start in range(0, batch.num_rows, SLICE_ROWS):
         for part in text_slices(batch.slice(start, SLICE_ROWS)):
-            hashes, offsets = _shingler().sets(plain_strings(part.column("text")))
+            hashes, offsets = held_in_worker("shingles", Shingler).sets(plain_strings(part.column("text")))
             yield part, hashes, offsets, _class_keys(hashes, offsets)
 
 
+def _cells(hashes: np.ndarray) -> np.ndarray:
+    return (hashes % np.uint64(CELLS)).astype(np.int64)
+
+
 def set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key of each document's set and, in rows without doc_id, common shingles with their counts by task."""
+    """doc_id, n, key of each document's set; in rows without doc_id, segments (key) of tasks' counters."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        held: list[np.ndarray] = []
-        shingles, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-        def gather():
-            nonlocal shingles, counts
-            value = np.concatenate([shingles, *held])
-            weight = np.concatenate([counts, np.ones(len(value) - len(shingles), np.int64)])
-            order = np.argsort(value)
-            value, weight = value[order], weight[order]
-            first = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1]))) if len(value) else np.zeros(0, np.int64)
-            shingles, counts = value[first], np.add.reduceat(weight, first) if len(first) else weight
-            if len(shingles) > COUNTED:
-                shingles, counts = shingles[counts > 1], counts[counts > 1]
-            held.clear()
-
+        counters = np.zeros(CELLS, np.uint16)
+        names = ["doc_id", "n", "key", "counters"]
         for batch in batches:
             for part, hashes, offsets, keys in _text_sets(batch):
+                new = np.zeros(len(keys), bool)
                 for i, key in enumerate(keys.tolist()):
                     if key not in seen:  # copies count once
                         seen.add(key)
-                        held.append(hashes[offsets[i] : offsets[i + 1]])
-                if sum(map(len, held)) > TASK_ENTRIES:
-                    gather()
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array(keys, pa.int64())], ["doc_id", "n", "key"])
-        gather()
-        common = counts >= COMMON_IN_TASK
-        if common.any():
-            yield pa.RecordBatch.from_arrays([pa.nulls(int(common.sum()), pa.int64()), pa.array(counts[common], pa.int64()), pa.array(shingles[common].view(np.int64), pa.int64())], ["doc_id", "n", "key"])
+                        new[i] = True
+                n = np.diff(offsets)
+                np.add.at(counters, _cells(hashes[np.repeat(new, n)]), 1)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(n), pa.binary())], names)
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for i, segment in enumerate(np.split(counters, SEGMENTS)):
+            if segment.any():
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.array([squeeze(segment.tobytes())], pa.binary())], names)
+
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, n long, key long, counters binary")
+
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, n long, key long")
+def shingle_counters(rows: DataFrame) -> np.ndarray:
+    """All tasks' counters summed; those beyond 16 bits stay at the most."""
 
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(CELLS // SEGMENTS, np.int64)
+        unpack = zstandard.ZstdDecompressor().decompress
+        for blob in table.column("counters"):
+            total += np.frombuffer(unpack(blob.as_buffer()), np.uint16)
+        return pa.table({"key": table.column("key").slice(0, 1), "counters": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
 
-def common_shingles(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles in order of hash, counts) of the commonest, COMMON at most."""
-    top = rows.filter("doc_id is null").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON_IN_ALL).orderBy(F.desc("n"), "key").limit(COMMON)
-    table = top.toArrow()
-    keys, n = table.column("key").to_numpy(), table.column("n").to_numpy()
-    order = np.argsort(keys)
-    return keys[order].view(np.uint64), n[order]
+    summed = rows.filter("counters is not null").select("key", "counters").groupBy("key").applyInArrow(add, "key long, counters binary")
+    out = np.zeros(CELLS, np.uint16)
+    size = CELLS // SEGMENTS
+    for r in summed.collect():  # SEGMENTS rows, whatever the input
+        out[r.key * size : (r.key + 1) * size] = np.frombuffer(r.counters, np.uint16)
+    return out
 
 
 def least_shared(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -196,7 +187,7 @@ def _chain(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: i
 def cluster_edges(docs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: keys of sets that belong to one cluster."""
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(common_shingles(rows))  # COMMON entries at most
+    counters = spark.sparkContext.broadcast(shingle_counters(rows))  # CELLS numbers
     total = rows.filter("doc_id is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_ENTRIES)))
 
@@ -230,17 +221,10 @@ def cluster_edges(docs: DataFrame, rows: DataFrame, num: int, den: int) -> DataF
                     if key not in seen and n[i]:
                         seen.add(key)
                         new[i] = True
-                owner = np.repeat(np.arange(len(n)), n)
-                shingles, counts = common.value
-                rank = np.zeros(len(hashes), np.int64)
-                if len(shingles):
-                    place = np.minimum(np.searchsorted(shingles, hashes), len(shingles) - 1)
-                    rank = np.where(shingles[place] == hashes, counts[place], 0)
-                # Hashes are sorted within each set; only sets with common shingles need another order.
-                moved = np.flatnonzero(rank)
-                if len(moved):
-                    order = np.lexsort((hashes, rank, owner))
-                    hashes = hashes[order]
+                # Hashes are sorted within each set; a stable sort by (set, count) keeps that among equals.
+                owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
+                rank = counters.value[_cells(hashes)].astype(np.uint64)
+                hashes = hashes[np.argsort(owner << np.uint64(16) | rank, kind="stable")]
                 first = np.where(new, n - least_shared(n, num, den) + 1, 0)
                 take = np.repeat(offsets[:-1] - (np.cumsum(first) - first), first) + np.arange(int(first.sum()))
                 held.append((hashes[take], np.repeat(keys, first), np.repeat(n, first)))
@@ -404,11 +388,12 @@ def link_sets(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
 def links_within(docs: DataFrame, rows: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
     """a, b: links that join the sets of each cluster as all links would."""
     spark = docs.sparkSession
-    first = rows.filter("doc_id is not null").join(clusters.select(F.col("node").alias("key"), "root"), "key").groupBy("key", "root").agg(F.min("doc_id").alias("doc_id"))
-    size = clusters.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("blocks"))
+    first = rows.filter("doc_id is not null").join(clusters.select(F.col("node").alias("key"), "root"), "key").groupBy("key", "root").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
+    size = first.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("members"))
     members = written(first.join(size, "root"), scratch(spark, "cluster-members"))
-    many = members.count()
-    bins = max(1, -(-many // BLOCK_SETS))
+    facts = members.agg(F.count("*"), F.sum("n")).first()
+    many = facts[0]
+    bins = max(1, -(-many // BLOCK_SETS), -(-(facts[1] or 0) // BLOCK_SHINGLES))
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     texts = texts.join(F.broadcast(members) if many <= BROADCAST_IDS else members, "doc_id")
 

@@ -22,6 +22,7 @@ more frequent language, then by name; further columns are passed through
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from prismark.llm.store import small_batches
-from prismark.llm.words import WordMemory, plain_strings, text_slices, whitespace_words
+from prismark.llm.words import WordMemory, held_in_worker, plain_strings, text_slices, whitespace_words
 
 PER_LANGUAGE = 2_500
 LANGUAGES = 48
@@ -70,6 +71,7 @@ class LanguageModel:
     index: dict[str, int] = field(default_factory=dict)
     odds: np.ndarray = field(default_factory=lambda: np.zeros((1, 0), np.float32))  # a row of zeros last
     scripts: dict[str, np.ndarray] = field(default_factory=dict)  # languages that use a script
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  # of this fit
 
 
 def fit(docs: DataFrame, lang: str = "lang") -> LanguageModel:
@@ -228,9 +230,6 @@ def label_texts(texts: pa.Array, scores: WordScores) -> tuple[np.ndarray, np.nda
     return best, np.where(evidence, mass.max(axis=1) / np.maximum(total, 1), 0.0), offsets, letters, labels
 
 
-_SCORES: dict[int, WordScores] = {}
-
-
 def detect(docs: DataFrame, model: LanguageModel, spans: bool = False) -> DataFrame:
     """`docs` with lang_pred and lang_score (share of letters in it), of whole texts.
 
@@ -239,13 +238,11 @@ def detect(docs: DataFrame, model: LanguageModel, spans: bool = False) -> DataFr
     held = small_batches(docs.sparkSession).sparkContext.broadcast(model)  # bounded, see LanguageModel
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if id(held.value) not in _SCORES:
-            _SCORES.clear()
-            _SCORES[id(held.value)] = WordScores(held.value)
+        scores = held_in_worker(("language", held.value.name), lambda: WordScores(held.value))
         names = np.array([*held.value.languages, "und"], object)
         for batch in batches:
             for part in text_slices(batch):
-                best, score, offsets, letters, labels = label_texts(plain_strings(part.column("text")), _SCORES[id(held.value)])
+                best, score, offsets, letters, labels = label_texts(plain_strings(part.column("text")), scores)
                 more = [pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
                 if spans:
                     found = []

@@ -24,7 +24,6 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from prismark.llm.store import small_batches
-from prismark.llm.words import WordBatch, WordMemory, plain_strings, ragged_take, text_slices
+from prismark.llm.words import WordBatch, WordMemory, held_in_worker, plain_strings, ragged_take, text_slices
 
 BLANK = "\u2581"
 #: Characters of new chunks that one suffix array indexes.
@@ -225,10 +224,9 @@ class PieceCoder:
         return text[1:] if text.startswith(" ") else text
 
 
-@lru_cache(maxsize=1)
 def coder(path: str) -> PieceCoder:
     """One for each Python worker, so that chunks stay remembered between tasks."""
-    return PieceCoder(path)
+    return held_in_worker(("pieces", path), lambda: PieceCoder(path))
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:

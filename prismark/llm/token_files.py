@@ -29,8 +29,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismark.llm.store import AtomicFile, RangeReader, discard, scratch, small_batches, written
-from prismark.llm.tokens import batch_encoder, forget_encoders
-from prismark.llm.words import plain_strings, text_slices
+from prismark.llm.tokens import batch_encoder
+from prismark.llm.words import plain_strings, release_worker, text_slices
 
 MAGIC = b"FRQ1"
 #: Stands for a null doc_id in a file.
@@ -133,7 +133,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, blanks: str,
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        forget_encoders()
+        release_worker()
         doc_ids, sizes, controls, parts, carried = [], [], [], [], np.zeros(0, np.uint32)
         unpack = zstandard.ZstdDecompressor().decompress
         for batch in batches:
@@ -211,7 +211,7 @@ def read_token_files(manifest: DataFrame, folder: str, ids: bool = True) -> Data
     """doc_id, start, n_tokens, ids_crc32 and (ids) ids of every document in the files."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget_encoders()
+        release_worker()
         by_rank = None
         for batch in batches:
             for path, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist()):

@@ -9,14 +9,13 @@ space is encoded whole. Ids equal those of encoding each whole text.
 from __future__ import annotations
 
 import os
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from prismark.llm.words import WordBatch, WordMemory, ragged_take, whitespace_words
+from prismark.llm.words import WordBatch, WordMemory, held_in_worker, ragged_take, whitespace_words
 
 #: White space whose neighbours decide how it is cut: texts with any of it are encoded whole.
 UNUSUAL_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -26,7 +25,6 @@ UNUSUAL_SPACE = r"^[ \n]|[ \n]$|[ \n][ \n]|[\x00\t\v\f\r\x1c-\x1f\x{85}\x{a0}\x{
 JOINED_WORDS = 256
 
 
-@lru_cache(maxsize=8)
 def _loaded(path: str, plain: bool = True):
     """The tokenizer; `plain`: its special tokens' strings are ordinary text."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -45,13 +43,14 @@ class BatchEncoder:
     """
 
     def __init__(self, path: str, blanks: str, separator: str = "<|endoftext|>"):
-        self.path, self.splitting = path, _loaded(path, False)
+        self.path, self.splitting, self.plain = path, _loaded(path, False), None
         self.blanks, self.separator = blanks, separator
         self.separator_id = self.splitting.token_to_id(separator)
         self.memory = WordMemory(self._encode_words)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in _loaded(self.path).encode_batch_fast(texts, add_special_tokens=False)]
+        self.plain = self.plain or _loaded(self.path)
+        return [e.ids for e in self.plain.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths and ids. Many words go in one string: at a special token the tokenizer starts anew."""
@@ -92,14 +91,6 @@ class BatchEncoder:
         return out, before + np.arange(n + 1)
 
 
-@lru_cache(maxsize=2)
 def batch_encoder(path: str, blanks: str) -> BatchEncoder:
     """One encoder for each Python worker, so that tasks after the first find their words remembered."""
-    return BatchEncoder(path, blanks)
-
-
-def forget_encoders() -> None:
-    """Give a Python worker's memory back before work of another kind."""
-    batch_encoder.cache_clear()
-    _loaded.cache_clear()
-    pa.default_memory_pool().release_unused()
+    return held_in_worker(("tokens", path, blanks), lambda: BatchEncoder(path, blanks))

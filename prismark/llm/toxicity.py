@@ -20,6 +20,7 @@ further columns are ignored.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +31,7 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from prismark.llm.boosting import Boosted, Isotonic, fit_boosted, fit_isotonic
 from prismark.llm.store import discard, scratch, small_batches, written
-from prismark.llm.words import WordMemory, plain_strings, text_slices, whitespace_words
+from prismark.llm.words import WordMemory, held_in_worker, plain_strings, release_worker, text_slices, whitespace_words
 
 #: Labelled rows, at most, that a model is fitted on (half for each label).
 SAMPLE = 16_000
@@ -189,6 +190,7 @@ class ToxicityModel:
     trees: Boosted | None = None
     calibration: Isotonic | None = None
     share: float = 0.0
+    name: str = field(default_factory=lambda: uuid.uuid4().hex)  # of this fit
 
     def score(self, features: np.ndarray) -> np.ndarray:
         if self.trees is None:
@@ -210,6 +212,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
     lexicons = learn_lexicons(sample)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_worker()
         measures = [Measure(x) for x in lexicons[:FOLDS]]
         for batch in batches:
             for part in text_slices(batch):
@@ -242,7 +245,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     held = small_batches(docs.sparkSession).sparkContext.broadcast(model)  # bounded, see ToxicityModel
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        measure = _measure_of(held)
+        measure = held_in_worker(("toxicity", held.value.name), lambda: Measure(held.value.lexicon))
         for batch in batches:
             for part in text_slices(batch):
                 scores = held.value.score(measure.rows(plain_strings(part.column("text"))))
@@ -250,14 +253,3 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 
     plain = docs.drop("toxicity").withColumn("text", F.col("text").cast("string"))
     return plain.mapInArrow(rate, StructType([*plain.schema.fields, StructField("toxicity", DoubleType())]))
-
-
-_MEASURES: dict[int, Measure] = {}
-
-
-def _measure_of(held) -> Measure:
-    """One for each broadcast model and Python worker, so that words stay remembered between tasks."""
-    if id(held.value) not in _MEASURES:
-        _MEASURES.clear()
-        _MEASURES[id(held.value)] = Measure(held.value.lexicon)
-    return _MEASURES[id(held.value)]

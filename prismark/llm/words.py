@@ -6,16 +6,45 @@ spread to all occurrences with numpy.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Hashable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+T = TypeVar("T")
+
 #: Bytes of text handled at a time within an Arrow batch; longer single texts pass alone.
 SLICE_BYTES = 6 << 20
 
 
+_HELD: dict = {}
+
+
+def held_in_worker(key: Hashable, build: Callable[[], T]) -> T:
+    """What `build` makes, kept in this Python worker for later tasks of the same kind.
+
+    One thing is kept at a time: work of another kind gives its memory back first.
+    """
+    if key not in _HELD:
+        release_worker()
+        _HELD[key] = build()
+    return _HELD[key]
+
+
+def release_worker() -> None:
+    """Give back what held_in_worker keeps, and memory that allocators hold unused."""
+    _HELD.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def plain_strings(column: pa.Array) -> pa.Array:
     """`column` as text without nulls (null counts as empty), in memory of its own.
 
