@@ -133,7 +133,7 @@ class Package:
     def _directory(self) -> Iterator[Member]:
         tail_at = max(0, self.file.size - self.TAIL)
         tail = self.file.read(tail_at, self.file.size - tail_at)
-        at = tail.rfind(END)
+        at = tail.rfind(END, 0, max(0, len(tail) - 18))  # the record has 22 bytes at least
         while at >= 0 and at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] != len(tail):
             at = tail.rfind(END, 0, at)  # the same bytes within a comment
         if at < 0:
