@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismark.functions.hashing import content_hash, hash_number, ordered_hash, stable_hash
-from prismark.operators import alignment, audit, prompts
+from prismark.operators import alignment, audit, prompts, rollouts
 from prismark.operators.selection import hash_topk, ranked_in
 from prismark.plans.registry import query
 from prismark.plans.views import RECORDS, hashed_records, predictions, PREDICTIONS, records, series, SERIES, sql_hash, sql_number, table
@@ -405,3 +405,27 @@ def array_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     wrong = lambda x: F.isnan(x) | (F.abs(x) == float("inf"))
     return table(spark, sf_dir, "embeddings").groupBy("label").agg(
         F.count("*").alias("n"), F.count_if(F.size("embedding") != 64).alias("other_length"), F.countDistinct(F.size("embedding")).alias("lengths"), F.count_if(F.exists("embedding", wrong)).alias("not_finite"))
+
+
+@query("""
+    select label, sha256('[' || array_to_string(list_transform(embedding[1:4], lambda x: floor(x * 100)::int), ',') || ']') as digest, count(*) as n from embeddings group by 1, 2""")
+def token_array_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arrays of whole numbers by content."""
+    ids = F.transform(F.slice("embedding", 1, 4), lambda x: F.floor(x * 100).cast("int"))
+    return table(spark, sf_dir, "embeddings").groupBy("label", rollouts.array_hash(ids).alias("digest")).agg(F.count("*").alias("n"))
+
+
+@query("""
+    with t as (select label, unnest(list_transform(range(0, 4), lambda i: exp(-1 - abs(embedding[2 * i + 1]::double)) + exp(-1 - abs(embedding[2 * i + 2]::double)))) as m from embeddings)
+    select label, count(*) as tokens, round(avg(m), 6) as mean_mass, round(min(m), 6) as least_mass from t group by label""")
+def topk_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability mass of top entries by shard: four tokens of two entries each."""
+    logs = F.transform(F.slice("embedding", 1, 8), lambda x: -1 - F.abs(x.cast("double")))
+    rows = table(spark, sf_dir, "embeddings").select("label", F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.slice(logs, i * 2 + 1, 2)).alias("topk_logprobs"))
+    return rollouts.mass_summary(rows, "label")
+
+
+@query()
+def dual_rollouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quarter of the records twice, hard ones first."""
+    return rollouts.dual_rollouts(records(spark, sf_dir).drop("text"), 0.25, "dual", ["task", "split"]).groupBy("difficulty", "rollout_count").agg(F.count("*").alias("n"))

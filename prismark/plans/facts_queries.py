@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismark.operators import facts
+from prismark.operators import facts, questions
 from prismark.plans.registry import query
 from prismark.plans.views import SERIES, series, table
 
@@ -101,3 +101,10 @@ def weighted_mean_two_level(spark: SparkSession, sf_dir: str) -> DataFrame:
 def synthetic_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A seeded source of entities with its facts; no table stands behind it."""
     return facts.entity_facts(facts.synthetic_entities(spark, 192))
+
+
+@query()
+def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Questions of synthetic entities, counted by view and task."""
+    records = questions.entity_records(facts.synthetic_entities(spark, 192))
+    return records.groupBy("view_type", "task_type", "difficulty").agg(F.count("*").alias("n"), F.countDistinct("answer").alias("answers"), F.sum(F.size("numeric_targets")).alias("targets"))
