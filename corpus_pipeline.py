@@ -32,7 +32,10 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near copies, the document with the least doc_id."""
+    """Of each component of near copies, the document with the least doc_id.
+
+    Rows repeated under one doc_id are one document; rows without one stay.
+    """
     classes = jaccard.similarity_classes(docs)
     copies = written(classes.filter("doc_id <> component_id").select("doc_id"), scratch(spark, "copies"))
     small = copies.count() <= jaccard.BROADCAST_IDS

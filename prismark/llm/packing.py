@@ -14,8 +14,8 @@ rows themselves are joins on (value, rank). Then gaps are updated and the next
 round begins. Pieces for which no gap is left open new sequences.
 
 Cases: a null length counts as 0 and is placed like any other; a length above
-the capacity is an error; repeated rows are pieces of their own when their ids
-differ; an empty table gives an empty result; other columns are ignored.
+the capacity is an error; repeated rows and rows without a doc_id are pieces of
+their own; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,8 +35,6 @@ from prismark.llm.words import plain_strings, text_slices
 
 #: Rows of one value that one task ranks.
 SALT_ROWS = 10_000
-#: Pieces of one document that its sequence numbers leave room for.
-PIECE_BITS = 21
 
 
 def pieces(docs: DataFrame, tokenizer: str, blanks: str, end_id: int, capacity: int) -> DataFrame:
@@ -212,13 +210,15 @@ def _shrink(free: dict[int, int], flow: Flow) -> None:
 
 
 def packed_pieces(cut: DataFrame, capacity: int) -> DataFrame:
-    """`cut` (see pieces) with sequence_id and offset; doc_ids are distinct and not null.
+    """`cut` (see pieces) with sequence_id and offset.
 
-    Placed sequences are numbered from 0, those of one full piece by negative numbers.
+    Placed sequences are numbered from 0, those of one full piece by negative
+    numbers. Pieces are told apart by a row number that is written with them, so
+    repeated and null doc_ids are rows like any other.
     """
     spark = cut.sparkSession
-    cut = written(cut, scratch(spark, "pack-pieces"))
+    cut = written(cut.withColumn("_row", F.monotonically_increasing_id()), scratch(spark, "pack-pieces"))
     short = F.col("length") < capacity
-    placed = pack(cut.filter(short).select(F.col("doc_id").alias("id"), "length"), capacity).select(F.col("id").alias("doc_id"), "sequence_id", "offset")
-    full = cut.filter(~short).withColumns({"sequence_id": -1 - (F.shiftleft("doc_id", PIECE_BITS) + F.col("piece")), "offset": F.lit(0).cast("long")})
-    return cut.filter(short).join(placed, "doc_id").select(*full.columns).unionByName(full)
+    placed = pack(cut.filter(short).select(F.col("_row").alias("id"), "length"), capacity).select(F.col("id").alias("_row"), "sequence_id", "offset")
+    full = cut.filter(~short).withColumns({"sequence_id": -1 - F.col("_row"), "offset": F.lit(0).cast("long")})
+    return cut.filter(short).join(placed, "_row").select(*full.columns).unionByName(full).drop("_row")

@@ -57,6 +57,13 @@ def test_pieces_and_edge_cases(spark):
             assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
 
 
+def test_repeated_rows(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (1, "word " * 40)], "doc_id long, text string")
+    rows = packing.packed_pieces(packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "joined", 2, 16), 16).collect()
+    check_layout(rows, 16)
+    assert len(rows) == 3 + -(-42 // 16) and sum(r.doc_id is None for r in rows) == 1
+
+
 def test_empty_and_too_long(spark):
     assert packing.pack(spark.createDataFrame([], "id long, length long"), 10).count() == 0
     with pytest.raises(ValueError):
