@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -38,24 +39,37 @@ def decontaminate(train: DataFrame, protected: DataFrame, key: str) -> tuple[Dat
     return train.join(hits, key, "left_anti"), train.join(hits, key, "left_semi")
 
 
+def _run(i: Column, words: int) -> Column:
+    """Hash of the words from i on, from their hashes in _hashes."""
+    return F.xxhash64(*(F.get(F.col("_hashes"), i + k) for k in range(words)))
+
+
+def _runs_of(words: int) -> Callable[[Column], Column]:
+    return lambda i: _run(i, words)
+
+
 def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage: str, words: int = 8) -> DataFrame:
     """Rows of `texts` with the passages that they contain (column `item_id`).
 
     Passages meet texts by runs of `words` words: only texts that hold a passage's
     first run are compared with it, so no text meets every passage. Passages with
-    fewer words are met by their first word.
+    fewer words are met by their first word. A passage is found where it begins
+    and ends with words of the text.
     """
-    def runs(column: Column, n: int) -> Column:
-        split = F.split(F.trim(column), r"\s+")
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(split) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(split, i, n), " ")))
-
-    first = F.split(F.trim(F.col(passage)), r"\s+")
-    keyed = passages.filter(F.trim(passage) != "").withColumn("_long", F.size(first) >= words).withColumn("_run", F.when(F.col("_long"), F.xxhash64(F.array_join(F.slice(first, 1, words), " "))))
-    long_hits = texts.withColumn("_run", F.explode(F.array_distinct(runs(F.col(text), words)))).join(keyed.filter("_long"), "_run").filter(F.contains(F.col(text), F.trim(passage)))
-    word = F.xxhash64(F.get(first, F.lit(0)))
-    short = keyed.filter("not _long").withColumn("_run", word)
-    short_hits = texts.withColumn("_run", F.explode(F.array_distinct(runs(F.col(text), 1)))).join(short, "_run").filter(F.contains(F.col(text), F.trim(passage)))
-    return long_hits.unionByName(short_hits).drop("_run", "_long").distinct()
+    def hashed(df: DataFrame, column: str) -> DataFrame:
+        # Two projections, so that no array is made again for each element.
+        split = df.withColumn("_words", F.split(F.trim(F.col(column)), r"\s+"))
+        return split.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
+
+    holds = F.contains(F.col(text), F.trim(F.col(passage)))
+    keyed = hashed(passages.filter(F.trim(F.col(passage)) != ""), passage)
+    rows = hashed(texts, text)
+    hits = []
+    for n, part in ((words, keyed.filter(F.size("_hashes") >= words)), (1, keyed.filter(F.size("_hashes") < words))):
+        starts = F.sequence(F.lit(0), F.size("_hashes") - n)
+        runs = rows.filter(F.size("_hashes") >= n).withColumn("_run", F.explode(F.array_distinct(F.transform(starts, _runs_of(n))))).drop("_hashes")
+        hits.append(runs.join(part.withColumn("_run", _run(F.lit(0), n)).drop("_hashes"), "_run").filter(holds))
+    return hits[0].unionByName(hits[1]).drop("_run").distinct()
 
 
 def forbidden_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
