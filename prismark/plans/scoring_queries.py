@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from prismark.functions import losses, rewards, text
-from prismark.operators import audit, comparison, gates
+from prismark.operators import comparison, gates
 from prismark.plans.registry import query
-from prismark.plans.views import LONG_PAIRS, PAIRS, PREDICTIONS, SCORED, long_pairs, pairs, predictions, records, scored, table
+from prismark.plans.views import LONG_PAIRS, PAIRS, PREDICTIONS, SCORED, long_pairs, pairs, predictions, scored, table
 
 
 @query(f"select model, round(avg(exact), 6) as exact, round(avg(relaxed), 6) as relaxed from {SCORED} group by model")
