@@ -10,6 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from prismark.functions.hashing import SEED
 from prismark.operators.allocation import seed_number
+from prismark.shipping import ship_package
 
 
 def change_pct(start: Column, end: Column) -> Column:
@@ -104,7 +105,7 @@ def synthetic_entities(spark: SparkSession, n: int, seed: int = SEED, years: tup
 
     series = ", ".join(f"{k} array<double>" for k in ("revenue", "cost", "profit", "margin", "users", "arpu", "conversion", "cac"))
     schema = f"entity_id string, industry string, scenario string, years array<int>, {series}, product_mix_pct map<string,double>, views array<string>"
-    return spark.range(n).mapInPandas(lambda parts: (pd.DataFrame([entity(int(i)) for i in part["id"]]) for part in parts if len(part)), schema)
+    return ship_package(spark).range(n).mapInPandas(lambda parts: (pd.DataFrame([entity(int(i)) for i in part["id"]]) for part in parts if len(part)), schema)
 
 
 def entity_facts(entities: DataFrame) -> DataFrame:

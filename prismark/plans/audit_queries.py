@@ -370,7 +370,7 @@ def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
 
 
-@query("select conv_id, turn, sum(length(coalesce(text, ''))) over (partition by conv_id order by turn) - length(coalesce(text, '')) as start from conversations")
+@query("select conv_id, turn, (sum(length(coalesce(text, ''))) over (partition by conv_id order by turn) - length(coalesce(text, '')))::bigint as start from conversations")
 def running_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each turn begins in its conversation's text."""
     rows = alignment.running_offsets(table(spark, sf_dir, "conversations"), "conv_id", "turn", F.char_length(F.coalesce("text", F.lit(""))))

@@ -22,7 +22,7 @@ def _ends(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("last_profit") / F.col("last_revenue") - F.col("first_profit") / F.col("first_revenue")) * 100).alias("margin_change"), (F.col("last_arpu") / F.col("first_arpu")).alias("arpu_ratio"))
 
 
-@query(f"select entity, year, revenue, round((revenue / lag(revenue) over w - 1) * 100, 4) as revenue_yoy_pct, round((users / lag(users) over w - 1) * 100, 4) as users_yoy_pct from {SERIES} window w as (partition by entity order by year)")
+@query(f"select entity, year::int as year, revenue, round((revenue / lag(revenue) over w - 1) * 100, 4) as revenue_yoy_pct, round((users / lag(users) over w - 1) * 100, 4) as users_yoy_pct from {SERIES} window w as (partition by entity order by year)")
 def yoy_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change on the year before."""
     rows = facts.year_over_year(series(spark, sf_dir), "entity", "year", "revenue")

@@ -9,12 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from prismark.functions.hashing import SEED, content_hash, hash_number
 from prismark.functions.text import parse_number
+from prismark.shipping import ship_package
 
 MODELS = ("base", "cand")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return ship_package(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def sql_hash(namespace: str, *parts: str) -> str:
