@@ -24,8 +24,8 @@ Texts with equal sets are one class from the start and never make pairs.
 
 Cases: null texts, texts without words: empty set, no links; fewer than five
 words: the whole sequence is the one shingle; equal texts and repeated rows
-share a class; ties are broken by doc_id; empty tables give empty results;
-further columns are ignored. doc_ids are distinct and not null.
+share a class; ties are broken by doc_id; rows without a doc_id are left out;
+empty tables give empty results; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,13 +35,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
 from prismark.llm.store import scratch, small_batches, written
-from prismark.llm.words import WordBatch, WordMemory, held_in_worker, plain_strings, text_slices, whitespace_words
+from prismark.llm.words import WordBatch, WordMemory, held_in_worker, release_worker, plain_strings, text_slices, whitespace_words
 
 SHINGLE = 5
-#: Counters of shingles (16 bits each, 32 MB in all), and segments in which tasks' tables are summed.
+#: Counters of shingles (16 bits each in tasks, 8 bits when shared: 16 MB), and segments in which they are summed.
 #: The order that they give decides costs, never results.
 CELLS, SEGMENTS = 1 << 24, 64
 #: Prefix entries that a task sorts at a time, and that one bucket should hold.
@@ -146,7 +147,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
 
 
 def shingle_counters(rows: DataFrame) -> np.ndarray:
-    """All tasks' counters summed; those beyond 16 bits stay at the most."""
+    """All tasks' counters summed, as levels from 0 to 255 in the same order."""
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(CELLS // SEGMENTS, np.int64)
@@ -158,9 +159,14 @@ def shingle_counters(rows: DataFrame) -> np.ndarray:
     summed = rows.filter("counters is not null").select("key", "counters").groupBy("key").applyInArrow(add, "key long, counters binary")
     out = np.zeros(CELLS, np.uint16)
     size = CELLS // SEGMENTS
-    for r in summed.collect():  # SEGMENTS rows, whatever the input
+    for r in summed.toLocalIterator():  # SEGMENTS rows, whatever the input
         out[r.key * size : (r.key + 1) * size] = np.frombuffer(r.counters, np.uint16)
-    return out
+    # Four steps a count while counts are small; counts far above the mean need no order among them.
+    scale = min(4.0, 64.0 / max(float(out.mean()), 1e-9))
+    levels = np.empty(CELLS, np.uint8)
+    for i in range(0, CELLS, size):
+        levels[i : i + size] = np.minimum(out[i : i + size] * scale, 255)
+    return levels
 
 
 def least_shared(n: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -184,10 +190,8 @@ def _chain(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: i
     return edges[0], edges[1], kept
 
 
-def cluster_edges(docs: DataFrame, rows: DataFrame, num: int, den: int) -> DataFrame:
+def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: int, den: int) -> DataFrame:
     """a, b: keys of sets that belong to one cluster."""
-    spark = docs.sparkSession
-    counters = spark.sparkContext.broadcast(shingle_counters(rows))  # CELLS numbers
     total = rows.filter("doc_id is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_ENTRIES)))
 
@@ -399,9 +403,11 @@ def links_within(docs: DataFrame, rows: DataFrame, clusters: DataFrame, num: int
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, hashes, offsets, _ in _text_sets(batch):
+            for part, hashes, offsets, keys in _text_sets(batch):
                 blobs = [hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "root", "blocks")), pa.array(blobs, pa.binary())], ["key", "root", "blocks", "hashes"])
+                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "root", "blocks")), pa.array(blobs, pa.binary())], ["key", "root", "blocks", "hashes"])
+                # Another text under the same doc_id is not the member that is asked for.
+                yield whole.filter(pa.array(keys == part.column("key").to_numpy()))
 
     sets = texts.select("key", "root", "blocks", "text").mapInArrow(look, "key long, root long, blocks int, hashes binary")
     # A large cluster is compared block by block, its pairs of blocks in tasks of their own; small clusters share a bin.
@@ -417,6 +423,9 @@ def links_within(docs: DataFrame, rows: DataFrame, clusters: DataFrame, num: int
         side = (table.column("block").to_numpy() != table.column("i").to_numpy()).astype(np.int64)
         hashes = table.column("hashes").combine_chunks()
         links = []
+        new = np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (root[1:] != root[:-1])  # a repeated row's set came twice
+        root, key, side, hashes = root[new], key[new], side[new], hashes.filter(pa.array(new))
         starts = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1]))) if len(root) else []
         for a, b in zip(starts, [*starts[1:], len(root)]):
             links += link_sets(key[a:b], [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in range(a, b)], side[a:b], num, den)
@@ -430,7 +439,10 @@ def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFr
     """doc_id, n_shingles, component_id (least doc_id of its component) of every document."""
     spark = small_batches(docs.sparkSession)
     rows = written(set_rows(docs), scratch(spark, "set-rows"))
-    edges = written(cluster_edges(docs, rows, num, den), scratch(spark, "cluster-edges"))
+    counters = spark.sparkContext.broadcast(shingle_counters(rows))  # CELLS bytes
+    edges = written(cluster_edges(docs, rows, counters, num, den), scratch(spark, "cluster-edges"))
+    counters.destroy()
+    release_worker()
     links = written(links_within(docs, rows, components(edges), num, den), scratch(spark, "links"))
     roots = components(links).select(F.col("node").alias("key"), "root")
     own = rows.filter("doc_id is not null").join(roots, "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("group"))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
 from prismark.llm.store import small_batches
-from prismark.llm.words import WordMemory, held_in_worker, plain_strings, text_slices, whitespace_words
+from prismark.llm.words import WordMemory, held_in_worker, plain_strings, release_worker, text_slices, whitespace_words
 
 PER_LANGUAGE = 2_500
 LANGUAGES = 48
@@ -76,6 +76,7 @@ class LanguageModel:
 
 def fit(docs: DataFrame, lang: str = "lang") -> LanguageModel:
     """A model from texts with a language."""
+    small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
     totals = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not totals:
@@ -106,15 +107,18 @@ def fit(docs: DataFrame, lang: str = "lang") -> LanguageModel:
     names = [f"c{i}" for i in range(len(languages))]
     counted = counted.toDF("gram", *names).withColumn("total", sum((F.col(c) for c in names), F.lit(0)))
     scripts = counted.filter("gram like '#%'").collect()  # one for each script
-    top = counted.filter("gram not like '#%'").orderBy(F.desc("total"), "gram").limit(GRAMS).collect()
-    if not top:
+    # GRAMS rows at most, as columns: rows of Python objects would take many times their size.
+    top = counted.filter("gram not like '#%'").orderBy(F.desc("total"), "gram").limit(GRAMS).drop("total").toArrow()
+    if not top.num_rows:
         return LanguageModel(languages)
-    table = np.array([[r[c] for c in names] for r in top], np.float64) + 0.5
+    table = np.stack([top.column(c).to_numpy() for c in names], axis=1).astype(np.float64) + 0.5
     logs = np.log(table / table.sum(axis=0))
     odds = np.clip(logs - logs.mean(axis=1, keepdims=True), -6, 6) * WEIGHT
     by_script = {r.gram[1:]: np.array([r[c] for c in names], np.float64) for r in scripts}
     letters = np.maximum(sum(by_script.values()), 1)
-    return LanguageModel(languages, {r.gram: i for i, r in enumerate(top)}, np.vstack([odds, np.zeros((1, len(languages)))]).astype(np.float32), {s: n / letters >= OWN_SCRIPT for s, n in by_script.items() if s})
+    index = dict(zip(top.column("gram").to_pylist(), range(top.num_rows)))
+    release_worker()
+    return LanguageModel(languages, index, np.vstack([odds, np.zeros((1, len(languages)))]).astype(np.float32), {s: n / letters >= OWN_SCRIPT for s, n in by_script.items() if s})
 
 
 class WordScores:

@@ -13,9 +13,12 @@ import uuid
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
+from prismark.shipping import ship_package
+
 
 def shared_folder(spark: SparkSession) -> str:
     """URI of the folder all executors share; a local one is set only where none is configured."""
+    ship_package(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="prismark-")
@@ -31,7 +34,7 @@ def small_batches(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches small enough for whole texts unless the user chose a size."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
-    return spark
+    return ship_package(spark)
 
 
 def scratch(spark: SparkSession, tag: str) -> str:

@@ -58,8 +58,9 @@ class BatchEncoder:
             ids = self._encode(words)
             return np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(chain.from_iterable(ids), np.int32)
         joined = [self.separator.join(words[i : i + JOINED_WORDS]) + self.separator for i in range(0, len(words), JOINED_WORDS)]
-        encoded = self.splitting.encode_batch_fast(joined, add_special_tokens=False)
-        ids = np.concatenate([np.array(e.ids, np.int32) for e in encoded])
+        # A few strings at a time: encodings hold much more than ids.
+        parts = [np.array(e.ids, np.int32) for i in range(0, len(joined), 64) for e in self.splitting.encode_batch_fast(joined[i : i + 64], add_special_tokens=False)]
+        ids = np.concatenate(parts)
         ends = np.flatnonzero(ids == self.separator_id)
         return np.diff(ends, prepend=-1) - 1, ids[ids != self.separator_id]
 

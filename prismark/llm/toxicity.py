@@ -237,7 +237,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
         if mine.any():
             outside[mine] = fit_boosted(x[~mine], y[~mine]).predict(x[mine]) if len(set(y[~mine])) == 2 else 0
     weight = np.where(y == 1, totals[1] / max(1, (y == 1).sum()), totals[0] / max(1, (y == 0).sum()))
-    return ToxicityModel(lexicons[FOLDS], fit_boosted(x, y), fit_isotonic(outside, y, weight), share)
+    model = ToxicityModel(lexicons[FOLDS], fit_boosted(x, y), fit_isotonic(outside, y, weight), share)
+    del rows, x, outside
+    release_worker()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 T = TypeVar("T")
 
 #: Bytes of text handled at a time within an Arrow batch; longer single texts pass alone.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 _HELD: dict = {}
@@ -36,7 +36,7 @@ def held_in_worker(key: Hashable, build: Callable[[], T]) -> T:
 
 
 def release_worker() -> None:
-    """Give back what held_in_worker keeps, and memory that allocators hold unused."""
+    """Give back what held_in_worker keeps, and memory that allocators hold unused (on the driver: the latter)."""
     _HELD.clear()
     gc.collect()
     pa.default_memory_pool().release_unused()
@@ -118,7 +118,11 @@ def ragged_take(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start + 1, .. of each run, one run after the other."""
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
+    first = starts - (ends - lengths)
+    small = total < 1 << 30 and (not len(first) or max(int(first.max()), -int(first.min())) < 1 << 30)
+    out = np.repeat(first.astype(np.int32 if small else np.int64), lengths)
+    out += np.arange(total, dtype=out.dtype)
+    return out
 
 
 class WordMemory:
@@ -130,7 +134,7 @@ class WordMemory:
     results never depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_500_000, dtype=np.int32):
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, dtype=np.int32):
         self.compute, self.most = compute, most
         self.known = pa.array([], pa.large_string())
         self.starts = self.lengths = np.zeros(0, np.int64)

@@ -67,6 +67,9 @@ def test_copies_and_empty_tables(spark):
     docs = spark.createDataFrame([(i, "a b c d e f") for i in range(9, 0, -1)], "doc_id long, text string")
     assert {(r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()} == {(2, 1)}
     assert jaccard.similarity_classes(docs.limit(0)).count() == 0
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    odd = spark.createDataFrame([(1, text + " x"), (2, text), (2, other), (2, text), (3, other + " y"), (None, text)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(odd).collect()) == [(1, 1), (2, 1), (2, 1), (2, 2), (3, 2)]
 
 
 @pytest.mark.parametrize("seed", range(6))
