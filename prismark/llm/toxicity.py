@@ -41,6 +41,8 @@ LEAST_ROWS = 3
 #: Lengths of word beginnings that may be lexicon entries.
 BEGINNINGS = (4, 5, 6, 7)
 FOLDS = 3
+#: Bytes of text measured at a time; a word occurrence takes some 200 bytes meanwhile.
+SLICE = 2 << 20
 #: Words on either side within which a lexicon word counts as near a second-person word.
 NEAR = 4
 #: Second-person words.
@@ -136,11 +138,11 @@ class Measure:
     UPPER, SIGNS = re.compile(r"[A-ZÀ-ÖØ-Þ]"), re.compile(r"[^\w\s]")
     MIXED, DRAWN = re.compile(r"[^\W\d_][\d@$*#]+[^\W\d_]"), re.compile(r"([^\W\d_])\1\1")
 
-    def __init__(self, lexicon: dict[str, float]):
+    def __init__(self, lexicon: dict[str, float], remembered: int = 500_000):
         self.lexicon = lexicon
         self.general, self.second = frozenset(GENERAL_TERMS), frozenset(SECOND_PERSON)
         self.width = 10
-        self.memory = WordMemory(self._look, 1_000_000, np.float32)
+        self.memory = WordMemory(self._look, remembered, np.float32)
 
     def _look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get = self.lexicon.get
@@ -213,9 +215,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_worker()
-        measures = [Measure(x) for x in lexicons[:FOLDS]]
+        measures = [Measure(x, 150_000) for x in lexicons[:FOLDS]]
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 fold = part.column("fold").to_numpy()
                 texts = plain_strings(part.column("text"))
                 for f in range(FOLDS):
@@ -250,7 +252,7 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         measure = held_in_worker(("toxicity", held.value.name), lambda: Measure(held.value.lexicon))
         for batch in batches:
-            for part in text_slices(batch):
+            for part in text_slices(batch, limit=SLICE):
                 scores = held.value.score(measure.rows(plain_strings(part.column("text"))))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(scores, pa.float64())], [*part.schema.names, "toxicity"])
 
