@@ -68,10 +68,11 @@ def bootstrap_hashed(pairs: DataFrame, group: str, replicates: int) -> DataFrame
 
     rows = pairs.select(group, "id", (F.col("candidate") - F.col("baseline")).alias("delta"))
     numbered = rows.withColumn("at", F.row_number().over(W.partitionBy(group).orderBy("id")) - 1).withColumn("n", F.count("*").over(W.partitionBy(group)))
-    slots = numbered.select(group, F.col("at").alias("i"), "n").withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    # Draws depend on n alone: groups of one size share them.
+    slots = numbered.select(F.col("at").alias("i"), "n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "r", "i"), 256), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    drawn = slots.withColumn("at", pick.cast("int")).groupBy(group, "r", "at").count()
-    means = drawn.join(numbered.select(group, "at", "delta", "n"), [group, "at"]).groupBy(group, "r").agg((F.sum(F.col("delta") * F.col("count")) / F.first("n")).alias("m"))
+    drawn = slots.withColumn("at", pick.cast("int")).groupBy("n", "r", "at").count()
+    means = drawn.join(numbered.select(group, "at", "delta", "n"), ["n", "at"]).groupBy(group, "r").agg((F.sum(F.col("delta") * F.col("count")) / F.first("n")).alias("m"))
     return means.groupBy(group).agg(F.count("*").alias("replicates"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.round(F.avg((F.col("m") > 0).cast("double")), 6).alias("p_positive"))
 
 
