@@ -58,9 +58,9 @@ def script_of(letter: str) -> str:
 
 
 def grams(word: str) -> list[str]:
-    """The whole word, and its pieces of two to four characters, ends marked."""
+    """The whole word, and its pieces of three characters, ends marked."""
     marked = f"^{word}$"
-    return ["=" + word, *(marked[i : i + n] for n in (2, 3, 4) for i in range(len(marked) - n + 1))]
+    return ["=" + word, *(marked[i : i + 3] for i in range(len(marked) - 2))]
 
 
 @dataclass
