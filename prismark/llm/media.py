@@ -18,7 +18,6 @@ table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import zlib
@@ -29,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from prismark.llm.store import AtomicFile, RangeReader, scratch, small_batches, written
+from prismark.llm.words import release_worker
 
 #: Payload lengths are multiples of this: 24 rows of 24 samples.
 BLOCK = 576
@@ -51,7 +51,7 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def to_png(payload: bytes, level: int = 1) -> bytes:
+def to_png(payload: bytes, level: int = 6) -> bytes:
     """A greyscale image with `payload` as its samples, row by row."""
     height = len(payload) // WIDTH
     rows = np.zeros((height, WIDTH + 1), np.uint8)  # each row begins with filter type 0
@@ -98,12 +98,13 @@ def feature_of(payload: bytes) -> str:
 
 
 def write_shards(docs: DataFrame, folder: str) -> DataFrame:
-    """doc_id, digest, shard, offset, length of each text's stored payload."""
+    """doc_id, digest, shard (a file of `folder`), offset, length of each text's stored payload."""
     small_batches(docs.sparkSession)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        release_worker()
         task, number = TaskContext.get().partitionId(), 0
         known: dict[str, tuple[str, int, int]] = {}
         out = None
@@ -119,8 +120,8 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
                             if out is not None:
                                 out.write(b"\0" * 1024)
                                 out.__exit__(None, None, None)
-                            shard, number = f"{folder}/shard-{task:06d}-{number:04d}.tar", number + 1
-                            out = AtomicFile(shard)
+                            shard, number = f"shard-{task:06d}-{number:04d}.tar", number + 1
+                            out = AtomicFile(f"{folder}/{shard}")
                         member = tarfile.TarInfo(f"{digest}.png")
                         member.size = len(image)
                         out.write(member.tobuf(tarfile.USTAR_FORMAT))
@@ -150,8 +151,9 @@ def _by_shard(at: DataFrame) -> DataFrame:
     return at.repartitionByRange(max(1, -(-at.count() // READ_ROWS)), "shard", "offset").sortWithinPartitions("shard", "offset")
 
 
-def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[RangeReader, int, int]]]]:
+def _readers(batches: Iterator[pa.RecordBatch], folder: str) -> Iterator[tuple[pa.RecordBatch, Iterator[tuple[RangeReader, int, int]]]]:
     """Each batch, and an open file, offset and length for each of its rows; one file is open at a time."""
+    release_worker()
     opened: dict[str, RangeReader] = {}
 
     def rows(batch: pa.RecordBatch):
@@ -160,30 +162,30 @@ def _readers(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch
                 for reader in opened.values():
                     reader.close()
                 opened.clear()
-                opened[shard] = RangeReader(shard)
+                opened[shard] = RangeReader(f"{folder}/{shard}")
             yield opened[shard], offset, length
 
     for batch in batches:
         yield batch, rows(batch)
 
 
-def header_columns(at: DataFrame) -> DataFrame:
+def header_columns(at: DataFrame, folder: str) -> DataFrame:
     """`at` with width, height and bit_depth, from header bytes alone."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, rows in _readers(batches):
+        for batch, rows in _readers(batches, folder):
             found = np.array([png_header(file.read(offset, HEADER)) for file, offset, _ in rows], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(3))], [*batch.schema.names, "width", "height", "bit_depth"])
 
     return _by_shard(at).mapInArrow(look, "digest string, shard string, offset long, length long, width long, height long, bit_depth long")
 
 
-def payload_columns(at: DataFrame) -> DataFrame:
+def payload_columns(at: DataFrame, folder: str) -> DataFrame:
     """`at` with what reading each member whole gives: lengths, checksums, feature."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-        for batch, rows in _readers(batches):
+        for batch, rows in _readers(batches, folder):
             found = {n: [] for n in names}
             for file, offset, length in rows:
                 image = file.read(offset, length)
@@ -195,7 +197,7 @@ def payload_columns(at: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(v, kinds.get(n, pa.int64())) for n, v in found.items())], [*batch.schema.names, *names])
 
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in at.schema)
-    return at.mapInArrow(look, f"{schema}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _by_shard(at).mapInArrow(look, f"{schema}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 
 def media_table(docs: DataFrame, folder: str) -> DataFrame:
@@ -203,5 +205,7 @@ def media_table(docs: DataFrame, folder: str) -> DataFrame:
     spark = docs.sparkSession
     rows = written(write_shards(docs, folder), scratch(spark, "media-rows"))
     at = written(addresses(rows), scratch(spark, "media-addresses"))
-    read = written(payload_columns(header_columns(at)), scratch(spark, "media-read"))
+    # Headers and payloads in jobs of their own: one Python worker a task at a time.
+    headers = written(header_columns(at, folder), scratch(spark, "media-headers"))
+    read = written(payload_columns(headers, folder), scratch(spark, "media-read"))
     return rows.select("doc_id", "digest").join(read, "digest")

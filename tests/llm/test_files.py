@@ -18,17 +18,18 @@ def local(uri):
 def test_media_round_trip(spark):
     texts = [(1, "hello"), (2, None), (3, ""), (4, "hello"), (5, "é" * 5000), (4, "hello"), (6, "x" * 576)]
     docs = spark.createDataFrame([(d, t, "s", 9) for d, t in texts], "doc_id long, text string, shard string, offset int").repartition(3)
-    rows = media.media_table(docs, scratch(spark, "m")).collect()
+    folder = scratch(spark, "m")
+    rows = media.media_table(docs, folder).collect()
     assert sorted(r.doc_id for r in rows) == sorted(d for d, _ in texts)
     for r in rows:
         raw = (dict(texts)[r.doc_id] or "").encode()
         payload = raw + b"\xff" * (max(1, -(-len(raw) // 576)) * 576 - len(raw))
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]))
-        with RangeReader(r.shard) as file:
+        with RangeReader(f"{folder}/{r.shard}") as file:
             image = file.read(r.offset, r.length)
         assert media.from_png(image) == payload and (r.media_bytes, r.media_sha256) == (len(image), hashlib.sha256(image).hexdigest())
         assert (r.width, r.height, r.bit_depth) == (24, len(payload) // 24, 8)
-        with tarfile.open(local(r.shard)) as tar:
+        with tarfile.open(local(f"{folder}/{r.shard}")) as tar:
             assert tar.extractfile(f"{r.digest}.png").read() == image
     assert len({(r.shard, r.offset) for r in rows}) == len({r.digest for r in rows})
     assert media.media_table(docs.limit(0), scratch(spark, "m")).count() == 0
