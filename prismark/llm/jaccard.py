@@ -174,14 +174,28 @@ def least_shared(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return -(-n * num // den)
 
 
+def _bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Bands of sizes, ascending: any two sizes of one band are near enough for a link."""
+    if num >= den:
+        return n
+    least, top = [1], int(n.max(initial=1))
+    while least[-1] <= top:
+        least.append(least[-1] * den // num + 1)
+    return np.searchsorted(np.array(least), n, "right")
+
+
 def _chain(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(a, b, kept): edges between neighbours in size among the sets of a shingle, and a mask of chain ends.
+    """(a, b, kept): edges between neighbours in size among the sets of a shingle, and a mask of members that stand for their chain.
 
     The arrays are sorted by (shingle, n). A gap in size that no link can cross ends a chain.
+    Kept are a chain's first and last member in each band of sizes, so that kept neighbours are near enough
+    in size for a link: a set that is near any member, or between two, is near a kept one.
     """
     joined = (shingle[1:] == shingle[:-1]) & (n[1:] * num <= n[:-1] * den)
+    band = _bands(n, num, den)
+    inner = joined & (band[1:] == band[:-1])
     kept = np.ones(len(key), bool)
-    kept[1:-1] = ~(joined[1:] & joined[:-1])
+    kept[1:-1] = ~(inner[1:] & inner[:-1])
     a, b = np.minimum(key[1:], key[:-1])[joined], np.maximum(key[1:], key[:-1])[joined]
     different = a != b
     if not different.any():

@@ -72,6 +72,47 @@ def test_copies_and_empty_tables(spark):
     assert sorted((r.doc_id, r.component_id) for r in jaccard.similarity_classes(odd).collect()) == [(1, 1), (2, 1), (2, 1), (2, 2), (3, 2)]
 
 
+def test_sizes_inside_a_chain_of_another_task(spark):
+    hot = [f"w{i}" for i in range(5)]
+    tail = [f"w{i}" for i in range(5, 12)]
+    fill = {n: [f"f{n}_{i}" for i in range(n - 1)] for n in (7, 8, 11, 12)}
+    # Long texts make all shared shingles but the hot one common, so that prefixes hold only that.
+    long = [sum((hot[1:] + f for f in [tail, *fill.values()]), []) + [f"u{k}_{i}" for i in range(200)] for k in range(12)]
+    first = [hot + fill[7], hot + fill[8], hot + tail + ["x"], hot + fill[11], hot + fill[12]]
+    parts, rows = [], []
+    for part in (first, [hot + tail + ["y"]], long):
+        parts.append([(len(rows) + i, " ".join(words)) for i, words in enumerate(part)])
+        rows += parts[-1]
+    docs = spark.createDataFrame(spark.sparkContext.parallelize(parts, 3).flatMap(list), "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()}
+    assert got == brute_force(rows)
+    assert got[5] == (9, 2)
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_kept_members_join_what_whole_chains_join(seed):
+    rng = np.random.default_rng(seed)
+    n = np.sort(np.exp(rng.uniform(0, 9, 240)).astype(np.int64) + 1)
+    key, task = np.arange(240), rng.integers(0, 3, 240)
+
+    def roots(edges):
+        root = list(range(240))
+        for a, b in edges:
+            old, new = root[a], root[b]
+            root = [new if r == old else r for r in root]
+        return [root.index(r) for r in root]
+
+    edges, rest = [], []
+    for t in range(3):
+        a, b, kept = jaccard._chain(np.ones((task == t).sum(), np.uint64), key[task == t], n[task == t], 80, 100)
+        edges += zip(a, b)
+        rest += key[task == t][kept].tolist()
+    rest = np.sort(rest)
+    edges += zip(*jaccard._chain(np.ones(len(rest), np.uint64), rest, n[rest], 80, 100)[:2])
+    whole = zip(*jaccard._chain(np.ones(240, np.uint64), key, n, 80, 100)[:2])
+    assert roots(edges) == roots(whole)
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_adaptive_prefixes_lose_no_link(seed):
     rng = np.random.default_rng(seed)
