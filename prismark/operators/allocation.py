@@ -1,7 +1,7 @@
-"""Sequential allocators: they run on the driver over keys of a bounded panel, never over texts.
+"""Sequential allocators: they run on the driver over what plans make of all records, never over texts.
 
-Inputs are collected (group, task, key) triples of a selection of documented
-size; results are joined back as plans.
+Inputs are the tasks of each group, sizes of groups, or the few (key, task, chart)
+of each task and chart that can be chosen; results are joined back as plans.
 """
 
 from __future__ import annotations
@@ -118,17 +118,18 @@ def exact_panel(sizes: dict[str, int], rows: int, namespace: str = "panel") -> s
     """Groups that hold exactly `rows` rows together, found in hash order."""
     if not 0 < rows < sum(sizes.values()):
         raise ValueError("both panels need rows")
-    parent: dict[int, tuple[int, str] | None] = {0: None}
-    for group in sorted(sizes, key=lambda g: (seed_number(f"{namespace}:{g}"), g)):
-        for total in sorted(parent, reverse=True):
-            if (more := total + sizes[group]) <= rows:
-                parent.setdefault(more, (total, group))
-    if rows not in parent:
+    # Bit t of a number: whether the groups so far can add up to t.
+    order = sorted(sizes, key=lambda g: (seed_number(f"{namespace}:{g}"), g))
+    reached, within = [1], (1 << rows + 1) - 1
+    for group in order:
+        reached.append(reached[-1] | reached[-1] << sizes[group] & within)
+    if not reached[-1] >> rows & 1:
         raise ValueError(f"no groups add up to {rows}; sizes: {sorted(Counter(sizes.values()).items())}")
     chosen, at = set(), rows
-    while parent[at]:
-        at, group = parent[at]
-        chosen.add(group)
+    for k in range(len(order), 0, -1):
+        if not reached[k - 1] >> at & 1:  # only with this group
+            chosen.add(order[k - 1])
+            at -= sizes[order[k - 1]]
     return chosen
 
 

@@ -17,6 +17,12 @@ def hash_topk(df: DataFrame, namespace: str, key: str, k: int) -> DataFrame:
     return stable_order(df, namespace, key).orderBy("h", key).limit(k)
 
 
+def lowest_of_each(df: DataFrame, groups: list[str], h: Column, key: str, k: int) -> DataFrame:
+    """The k rows of lowest `h` of every group; tasks cut their rows to k a group before they are dealt out."""
+    rank = F.row_number().over(W.partitionBy(*groups).orderBy("h", key))
+    return df.withColumn("h", h).withColumn("_rank", rank).filter(F.col("_rank") <= k).drop("_rank")
+
+
 def largest_remainder(weights: DataFrame, key: str, weight: str, total: Column | int) -> DataFrame:
     """`weights` with quota: shares of `total` in whole numbers; leftovers go to the largest fractions, then by key.
 

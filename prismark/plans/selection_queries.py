@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from prismark.functions.hashing import stable_hash
 from prismark.operators import allocation, selection
 from prismark.plans.registry import query
 from prismark.plans.views import RECORDS, records, sql_hash, table
 
-#: Rows of the panel that the sequential allocators work on.
-PANEL = 300
-
 
 def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records(spark, sf_dir).drop("text", "n_chars")
@@ -100,24 +98,23 @@ def task_quota_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.task_quota_sample(_keyed(spark, sf_dir), "task", quotas, "quota", "id").select("id", "task")
 
 
-def _panel(spark: SparkSession, sf_dir: str, name: str) -> list:
-    """Keys of a bounded panel, for the driver."""
-    return selection.hash_topk(_keyed(spark, sf_dir), name, "id", PANEL).select(F.col("id").cast("string").alias("id"), "entity", "chart", "task").orderBy("id").collect()
-
-
-def _options(rows: list) -> dict[str, list[str]]:
+def _options(spark: SparkSession, sf_dir: str) -> dict[str, list[str]]:
+    """The tasks that each entity offers, over all records; the driver gets a row for each pair."""
     out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r.entity, [])
-        if r.task not in out[r.entity]:
-            out[r.entity].append(r.task)
+    for r in _keyed(spark, sf_dir).select("entity", "task").distinct().orderBy("entity", "task").collect():
+        out.setdefault(r.entity, []).append(r.task)
     return out
 
 
+def _sizes(spark: SparkSession, sf_dir: str, field: str) -> dict[str, int]:
+    """Number of records by a field."""
+    return {r[field]: r.n for r in _keyed(spark, sf_dir).groupBy(field).agg(F.count("*").alias("n")).orderBy(field).collect()}
+
+
 @query()
 def flow_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One task for each entity of a panel, tasks at their quotas."""
-    options = _options(_panel(spark, sf_dir, "flow"))
+    """One task for each entity, tasks at their quotas."""
+    options = _options(spark, sf_dir)
     supply = {t: sum(t in ts for ts in options.values()) for t in sorted({t for ts in options.values() for t in ts})}
     quotas = allocation.capped_quotas({t: float(n) for t, n in supply.items()}, len(options), supply)
     return spark.createDataFrame(sorted(allocation.assign_one_each(options, quotas, "flow").items()), "entity string, task string")
@@ -125,30 +122,29 @@ def flow_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def greedy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """60 records of a panel by task deficit, three a chart at most."""
-    rows = _panel(spark, sf_dir, "greedy")
-    supply: dict[str, int] = {}
-    for r in rows:
-        supply[r.task] = supply.get(r.task, 0) + 1
+    """60 records by task deficit, three a chart at most.
+
+    A chart gives no more than its three lowest hashes for a task, so the driver needs only those.
+    """
+    supply = _sizes(spark, sf_dir, "task")
     quotas = allocation.capped_quotas({t: 1.0 for t in sorted(supply)}, 60, supply)
-    ids = allocation.greedy_selection([(r.id, r.task, r.chart) for r in rows], quotas, 3)
+    rows = selection.lowest_of_each(_keyed(spark, sf_dir).withColumn("id", F.col("id").cast("string")), ["task", "chart"], stable_hash("greedy:candidate", F.col("task"), F.col("id")), "id", 3)
+    ids = allocation.greedy_selection([(r.id, r.task, r.chart) for r in rows.select("id", "task", "chart").collect()], quotas, 3)
     return spark.createDataFrame([(i, k) for k, i in enumerate(ids)], "id string, position int")
 
 
 @query()
 def disjoint_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A panel in two of equal size that share no chart."""
-    rows = _panel(spark, sf_dir, "panels")
-    sizes: dict[str, int] = {}
-    for r in rows:
-        sizes[r.chart] = sizes.get(r.chart, 0) + 1
-    first = allocation.exact_panel(sizes, len(rows) // 2)
-    return spark.createDataFrame([(r.id, r.chart, 1 if r.chart in first else 2) for r in rows], "id string, chart string, panel int")
+    """All records in two panels of equal size that share no chart."""
+    sizes = _sizes(spark, sf_dir, "chart")
+    first = allocation.exact_panel(sizes, sum(sizes.values()) // 2)
+    panels = spark.createDataFrame([(c, 1 if c in first else 2) for c in sizes], "chart string, panel int")
+    return _keyed(spark, sf_dir).join(F.broadcast(panels), "chart").select(F.col("id").cast("string").alias("id"), "chart", "panel")
 
 
 @query()
 def nested_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two tasks for each entity of a panel, slot by slot."""
-    options = {g: ts for g, ts in _options(_panel(spark, sf_dir, "nested")).items() if len(ts) > 1}
+    """Two tasks for each entity, slot by slot."""
+    options = {g: ts for g, ts in _options(spark, sf_dir).items() if len(ts) > 1}
     slots = allocation.nested_slots(options, {"en": 4.0, "de": 2.0, "fr": 2.0, "es": 1.0}, 2, "nested")
     return spark.createDataFrame([(g, t, i) for i, given in enumerate(slots) for g, t in sorted(given.items())] or [], "entity string, task string, slot int")

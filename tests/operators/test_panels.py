@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from prismark.operators import alignment, allocation, audit, prompts, selection
+from prismark.plans import selection_queries
 from prismark.sources import packages, records
 from prismark.streaming import scoring
 
@@ -47,6 +48,24 @@ def test_nested_slots():
     assert all(first[g] != second[g] for g in options) and sorted(first.values()).count("a") == 3
 
 
+def test_allocators_take_all_records(spark, tmp_path):
+    docs = [(i, "t", f"s{i % 13}", ["en", "de", "fr", "es"][i // 13 % 4], 1) for i in range(3000)]
+    # Only one record offers a second task, and two are the only ones, of their entity.
+    docs += [(3000, "t", "odd", "en", 1), (3001, "t", "odd", "de", 1)]
+    sf = str(tmp_path)
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, n_chars long").write.parquet(f"{sf}/documents.parquet")
+    rows = [(str(d), lang, f"{source}_{lang}") for d, _, source, lang, _ in docs]
+    assert {r.entity for r in selection_queries.flow_assignment(spark, sf).collect()} == {d[2] for d in docs}
+    nested = [(r.task, r.slot) for r in selection_queries.nested_selection(spark, sf).collect() if r.entity == "odd"]
+    assert {t for t, _ in nested} == {"en", "de"} and len(nested) == 2
+    panels = selection_queries.disjoint_panels(spark, sf).collect()
+    assert sorted(r.id for r in panels) == sorted(r[0] for r in rows) and sum(r.panel == 1 for r in panels) == len(rows) // 2
+    assert len({(r.chart, r.panel) for r in panels}) == len({r.chart for r in panels})
+    quotas = allocation.capped_quotas(dict.fromkeys(["de", "en", "es", "fr"], 1.0), 60, dict.fromkeys(["de", "en", "es", "fr"], 100))
+    whole = allocation.greedy_selection(rows, quotas, 3)
+    assert [r.id for r in selection_queries.greedy_selection(spark, sf).orderBy("position").collect()] == whole
+
+
 def test_splits_cover_every_stratum(spark):
     rows = spark.range(60).select(F.col("id"), (F.col("id") % 4).alias("s"))
     split = selection.stratified_split(rows, ["s"], (0.8, 0.1), "t", "id")
