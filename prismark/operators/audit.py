@@ -51,25 +51,30 @@ def _runs_of(words: int) -> Callable[[Column], Column]:
 def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage: str, words: int = 8) -> DataFrame:
     """Rows of `texts` with the passages that they contain (column `item_id`).
 
-    Passages meet texts by runs of `words` words: only texts that hold a passage's
-    first run are compared with it, so no text meets every passage. Passages with
-    fewer words are met by their first word. A passage is found where it begins
-    and ends with words of the text.
+    Passages meet texts by runs of their inner words, which the text has as words of its
+    own whatever stands before and after the passage: the longest of `words`, 3 or 1 that
+    there are. Passages of one or two words are met by their first 8, 3 or 1 characters.
+    Only texts that hold a passage's run are compared with it, so no text meets every passage.
     """
-    def hashed(df: DataFrame, column: str) -> DataFrame:
+    def hashed(df: DataFrame, column: str, pattern: str) -> DataFrame:
         # Two projections, so that no array is made again for each element.
-        split = df.withColumn("_words", F.split(F.trim(F.col(column)), r"\s+"))
+        split = df.withColumn("_words", F.split(F.trim(F.col(column)), pattern))
         return split.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
 
-    holds = F.contains(F.col(text), F.trim(F.col(passage)))
-    keyed = hashed(passages.filter(F.trim(F.col(passage)) != ""), passage)
-    rows = hashed(texts, text)
+    needle = F.trim(F.col(passage))
+    holds = F.contains(F.col(text), needle)
+    inner = F.size(F.split(needle, r"\s+")) - 2
+    tiers = [(r"\s+", n, 1, inner >= n) for n in sorted({words, 3, 1}, reverse=True)] + [("", n, 0, F.char_length(needle) >= n) for n in (8, 3, 1)]
+    keyed = passages.filter(needle != "").withColumn("_tier", F.coalesce(*(F.when(tier[3], i) for i, tier in enumerate(tiers))))
+    found = sorted(r[0] for r in keyed.select("_tier").distinct().collect())  # texts are cut into runs only for these
     hits = []
-    for n, part in ((words, keyed.filter(F.size("_hashes") >= words)), (1, keyed.filter(F.size("_hashes") < words))):
+    for i in found or [0]:
+        pattern, n, first, _ = tiers[i]
+        part = hashed(keyed.filter(F.col("_tier") == i), passage, pattern).withColumn("_run", _run(F.lit(first), n)).drop("_hashes", "_tier")
         starts = F.sequence(F.lit(0), F.size("_hashes") - n)
-        runs = rows.filter(F.size("_hashes") >= n).withColumn("_run", F.explode(F.array_distinct(F.transform(starts, _runs_of(n))))).drop("_hashes")
-        hits.append(runs.join(part.withColumn("_run", _run(F.lit(0), n)).drop("_hashes"), "_run").filter(holds))
-    return hits[0].unionByName(hits[1]).drop("_run").distinct()
+        runs = hashed(texts, text, pattern).filter(F.size("_hashes") >= n).withColumn("_run", F.explode(F.array_distinct(F.transform(starts, _runs_of(n))))).drop("_hashes")
+        hits.append(runs.join(part, "_run").filter(holds))
+    return reduce(DataFrame.unionByName, hits).drop("_run").distinct()
 
 
 def forbidden_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -93,6 +93,18 @@ def test_decontamination(spark):
     assert sorted((r.id, r.item_id) for r in audit.contained_passages(texts, "t", passages, "p").collect()) == [(1, 7), (2, 8)]
 
 
+def test_passages_glued_to_other_text(spark):
+    needles = ["b c d e f g h i", "k l m n o p q r s t u", "x y z", "hello", "two words", "\u4f60\u597d", "q", "\nv w x y", "  pad  "]
+    glue = ["", " ", "\u201c", "(", ".", ",", "\u4f60", "\n", "ab"]
+    texts = [f"{g}{n}{h}" for n in needles for g in glue for h in glue] + [f"{n} cut"[1:] for n in needles] + ["", None, "  "]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    passages = spark.createDataFrame([*enumerate(needles), (90, " "), (91, None)], "item_id int, p string")
+    want = {(i, k) for i, t in enumerate(texts) for k, n in enumerate(needles) if t and n.strip(" ") in t}
+    got = [(r.id, r.item_id) for r in audit.contained_passages(rows, "t", passages, "p").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert audit.contained_passages(rows, "t", passages.limit(0), "p").count() == 0
+
+
 def test_prompts(spark):
     turns = spark.createDataFrame([(1, 0, "user", "hi"), (1, 1, "assistant", "yes"), (1, 2, "user", "why?"), (2, 0, "user", None)], "conv_id int, turn int, role string, text string")
     got = {r.conv_id: r.prompt for r in prompts.flatten_conversation(turns).collect()}
