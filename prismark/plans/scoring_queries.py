@@ -339,7 +339,7 @@ def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def bootstrap_numpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval from numpy's generator, the same seed for every metric."""
-    return comparison.bootstrap_numpy(long_pairs(spark, sf_dir).select("id", "metric", "baseline", "candidate"), ["metric"], samples=200)
+    return comparison.bootstrap_numpy(long_pairs(spark, sf_dir).select("id", "metric", "baseline", "candidate"), ["metric"])
 
 
 @query(f"""

@@ -3,7 +3,9 @@ import os
 import duckdb
 import pytest
 
+from prismark.operators import comparison
 from prismark.plans.catalog import ORACLES, QUERIES
+from prismark.plans.views import long_pairs
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -38,3 +40,8 @@ def test_query(spark, duck, name):
         assert sorted(names) == columns
         order = [names.index(c) for c in columns]
         assert plain(rows) == plain([r[i] for i in order] for r in theirs.fetchall())
+
+
+def test_bootstrap_numpy_draws_the_full_number_of_replicates(spark):
+    pairs = long_pairs(spark, SF).select("id", "metric", "baseline", "candidate")
+    assert plain(QUERIES["bootstrap_numpy"](spark, SF).collect()) == plain(comparison.bootstrap_numpy(pairs, ["metric"], samples=2000).collect())
