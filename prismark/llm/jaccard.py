@@ -8,38 +8,52 @@ and prefixes l - 1 longer share l.
 
 1. Clusters. Shingles are ordered by how many sets hold them, rare ones first,
    as a table of CELLS counters over all texts tells: a counter sums the
-   shingles of its hash, so the order is global whatever its precision. Sets that share a shingle of their
-   1-prefixes and are near enough in size are chained, first within tasks, then
-   by buckets of shingles; a shingle of a thousand sets makes a thousand edges.
-   Linked sets are in one connected cluster.
-2. Links. Within a cluster, dealt in blocks of bounded size, shingles are
-   ordered by their counts there. Each set lengthens its prefix as long as the
-   estimated cost falls: postings to scan plus candidates (postings divided by
-   l) to verify. Two sets must share as many prefix shingles as the smaller of
-   their two l says, within those prefixes, before they are verified. Pairs
+   shingles of its hash, so the order is global whatever its precision. Sets
+   that share a shingle of their 1-prefixes and are near enough in size are
+   chained, first within tasks, then by buckets of shingles; a shingle of a
+   thousand sets makes a thousand edges. Of a chain a task sends its first and
+   last set in each band of sizes, so whatever is near any member of the chain
+   is near one that was sent. Linked sets are in one connected cluster.
+   Where a cluster stays large, its texts alone are counted and chained again:
+   fewer texts share the counters, which then tell rare shingles better.
+2. Links. Clusters are dealt in blocks of bounded size. In a block, shingles
+   are ordered by their counts there. Each set lengthens its prefix as long as
+   the estimated cost falls: postings to scan plus candidates (postings divided
+   by l) to verify. Two sets must share as many prefix shingles as the smaller
+   of their two l says, within those prefixes, before they are verified. Pairs
    that are connected already are not verified again.
+   A cluster of several blocks is first compared block by block, with some
+   pivots in all of its blocks. Sets of its greatest component so far need no
+   comparing with each other any more; only the others go to every block.
 3. Components of the links.
 
-Texts with equal sets are one class from the start and never make pairs.
+Texts with equal sets are one class from the start and never make pairs. A
+class is told by two 64-bit sums over its set and the set's size. Two shingles
+of a text of n have one hash with a chance of n^2 / 2^53 (at a million shingles
+one text in ten thousand counts one too few).
 
 Cases: null texts, texts without words: empty set, no links; fewer than five
 words: the whole sequence is the one shingle; equal texts and repeated rows
 share a class; ties are broken by doc_id; rows without a doc_id are left out;
-empty tables give empty results; further columns are ignored.
+rows of one doc_id with several texts count as documents of their own; very
+long texts are cut nowhere and handled one at a time; empty tables give empty
+results; further columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from prismark.llm.store import scratch, small_batches, written
-from prismark.llm.words import WordBatch, WordMemory, held_in_worker, release_worker, plain_strings, text_slices, whitespace_words
+from prismark.llm.store import Steps, keyed_join, scratch, small_batches, written
+from prismark.llm.words import WordBatch, WordMemory, held_in_worker, plain_strings, release_held, release_worker, text_slices, whitespace_words
 
 SHINGLE = 5
 #: Counters of shingles (16 bits each in tasks, 8 bits when shared: 16 MB), and segments in which they are summed.
@@ -51,6 +65,12 @@ TASK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Texts whose ids may be broadcast to fetch them; more are joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Blocks from which a cluster's texts are counted and chained again, and the rounds of that at most.
+LARGE_BLOCKS, ROUNDS = 8, 3
+#: Sets of a large cluster that all of its blocks see.
+PIVOTS = 4
+#: Class keys that a task remembers, so as to send copies once.
+SEEN = 200_000
 #: Cost of verifying a candidate, in postings, for each shingle of the set.
 VERIFY_COST = 0.5
 HASH_BITS = np.uint64(52)
@@ -69,7 +89,7 @@ class Shingler:
     """Sets of shingle hashes of texts."""
 
     def __init__(self):
-        self.memory = WordMemory(self._hash, 1_000_000, np.int64)
+        self.memory = WordMemory(self._hash, dtype=np.int64)
 
     @staticmethod
     def _hash(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,19 +122,39 @@ class Shingler:
         return keys & ((np.uint64(1) << HASH_BITS) - np.uint64(1)), np.concatenate(([0], np.cumsum(np.bincount((keys >> HASH_BITS).astype(np.int64), minlength=len(counts)))))
 
 
-def _class_keys(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """A number for each set, equal for equal sets (with the size, it names a class)."""
+def _class_keys(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two numbers for each set, equal for equal sets; with the size they name a class."""
+    keys = []
     with np.errstate(over="ignore"):
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes + _P))))
-        return _mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64)
+        for turn in (_P, np.uint64(0xC2B2AE3D27D4EB4F)):
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_mix(hashes * turn + _P))))
+            keys.append(_mix(total[offsets[1:]] - total[offsets[:-1]] + np.diff(offsets).astype(np.uint64)).view(np.int64))
+    return keys[0], keys[1]
 
 
-def _text_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
-    """Parts of a batch, with their sets (hashes, offsets) and class keys."""
+def _text_sets(batch: pa.RecordBatch) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Parts of a batch, with their sets (hashes, offsets) and both class keys."""
     for start in range(0, batch.num_rows, SLICE_ROWS):
         for part in text_slices(batch.slice(start, SLICE_ROWS)):
             hashes, offsets = held_in_worker("shingles", Shingler).sets(plain_strings(part.column("text")))
-            yield part, hashes, offsets, _class_keys(hashes, offsets)
+            yield part, hashes, offsets, *_class_keys(hashes, offsets)
+
+
+class _Seen:
+    """The classes that a task met lately; forgetting some costs time only."""
+
+    def __init__(self):
+        self.keys: set[int] = set()
+
+    def new(self, keys: np.ndarray) -> np.ndarray:
+        if len(self.keys) > SEEN:
+            self.keys.clear()
+        out = np.zeros(len(keys), bool)
+        for i, key in enumerate(keys.tolist()):
+            if key not in self.keys:
+                self.keys.add(key)
+                out[i] = True
+        return out
 
 
 def _cells(hashes: np.ndarray) -> np.ndarray:
@@ -122,50 +162,51 @@ def _cells(hashes: np.ndarray) -> np.ndarray:
 
 
 def set_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, n, key of each document's set; in rows without doc_id, segments (key) of tasks' counters."""
+    """doc_id, n, key, key2 of each document's set; in rows without doc_id, segments (key) of tasks' counters."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         counters = np.zeros(CELLS, np.uint16)
-        names = ["doc_id", "n", "key", "counters"]
+        names = ["doc_id", "n", "key", "key2", "counters"]
         for batch in batches:
-            for part, hashes, offsets, keys in _text_sets(batch):
-                new = np.zeros(len(keys), bool)
-                for i, key in enumerate(keys.tolist()):
-                    if key not in seen:  # copies count once
-                        seen.add(key)
-                        new[i] = True
+            for part, hashes, offsets, keys, keys2 in _text_sets(batch):
                 n = np.diff(offsets)
-                np.add.at(counters, _cells(hashes[np.repeat(new, n)]), 1)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.int64()), pa.nulls(len(n), pa.binary())], names)
+                cells, times = np.unique(_cells(hashes[np.repeat(seen.new(keys), n)]), return_counts=True)  # copies count once
+                counters[cells] = np.minimum(counters[cells].astype(np.int64) + times, 65535)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys), pa.array(keys2), pa.nulls(len(n), pa.binary())], names)
         squeeze = zstandard.ZstdCompressor(level=1).compress
         for i, segment in enumerate(np.split(counters, SEGMENTS)):
             if segment.any():
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.array([squeeze(segment.tobytes())], pa.binary())], names)
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([i], pa.int64()), pa.nulls(1, pa.int64()), pa.array([squeeze(segment.tobytes())], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, n long, key long, counters binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, n long, key long, key2 long, counters binary")
+
+
+def _steps_of(counts: np.ndarray) -> np.ndarray:
+    """Ascending bounds, 254 at most, that tell counts apart: by quantiles, and above those by a growing factor."""
+    bounds = np.unique(np.quantile(counts, np.linspace(0, 1, 129)[1:]))
+    top = max(float(bounds[-1]), 1.0)
+    return np.concatenate((bounds, top * 2.0 ** (np.arange(1, 255 - len(bounds)) / 4)))
 
 
 def shingle_counters(rows: DataFrame) -> np.ndarray:
     """All tasks' counters summed, as levels from 0 to 255 in the same order."""
 
     def add(table: pa.Table) -> pa.Table:
+        release_held()
         total = np.zeros(CELLS // SEGMENTS, np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
         for blob in table.column("counters"):
             total += np.frombuffer(unpack(blob.as_buffer()), np.uint16)
-        return pa.table({"key": table.column("key").slice(0, 1), "counters": pa.array([np.minimum(total, 65535).astype(np.uint16).tobytes()], pa.binary())})
+        return pa.table({"key": table.column("key").slice(0, 1), "counters": pa.array([total.tobytes()], pa.binary())})
 
     summed = rows.filter("counters is not null").select("key", "counters").groupBy("key").applyInArrow(add, "key long, counters binary")
-    out = np.zeros(CELLS, np.uint16)
-    size = CELLS // SEGMENTS
+    levels, size, steps = np.zeros(CELLS, np.uint8), CELLS // SEGMENTS, None
     for r in summed.toLocalIterator():  # SEGMENTS rows, whatever the input
-        out[r.key * size : (r.key + 1) * size] = np.frombuffer(r.counters, np.uint16)
-    # Four steps a count while counts are small; counts far above the mean need no order among them.
-    scale = min(4.0, 64.0 / max(float(out.mean()), 1e-9))
-    levels = np.empty(CELLS, np.uint8)
-    for i in range(0, CELLS, size):
-        levels[i : i + size] = np.minimum(out[i : i + size] * scale, 255)
+        counts = np.frombuffer(r.counters, np.int64)
+        if steps is None:  # hashes spread shingles alike over all segments, so one tells the steps
+            steps = _steps_of(counts)
+        levels[r.key * size : (r.key + 1) * size] = np.searchsorted(steps, counts, "left")
     return levels
 
 
@@ -210,7 +251,7 @@ def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: in
     buckets = int(max(1, -(-total // BUCKET_ENTRIES)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        seen = _Seen()
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def flush() -> Iterator[pa.RecordBatch]:
@@ -232,13 +273,9 @@ def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: in
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts]), *(pa.array(x, pa.binary()) for x in blobs), pa.array(edges, pa.binary())], ["bucket", "shingles", "keys", "sizes", "edges"])
 
         for batch in batches:
-            for _, hashes, offsets, keys in _text_sets(batch):
+            for _, hashes, offsets, keys, _ in _text_sets(batch):
                 n = np.diff(offsets)
-                new = np.zeros(len(n), bool)
-                for i, key in enumerate(keys.tolist()):
-                    if key not in seen and n[i]:
-                        seen.add(key)
-                        new[i] = True
+                new = seen.new(keys) & (n > 0)
                 # Hashes are sorted within each set; a stable sort by (set, count) keeps that among equals.
                 owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 rank = counters.value[_cells(hashes)].astype(np.uint64)
@@ -252,6 +289,7 @@ def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: in
             yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
+        release_held()
         column = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
         shingle, key, n = column("shingles", np.uint64), column("keys", np.int64), column("sizes", np.int32).astype(np.int64)
         order = np.lexsort((n, shingle))
@@ -286,29 +324,34 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[roots[member]], names[member]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(steps: Steps, edges: DataFrame) -> DataFrame:
     """node, root of every node of `edges` (a, b); the root is the component's least node.
 
     Large-star and small-star rounds over edges, each written to the shared
     folder. Tasks first keep a spanning forest of their edges.
     """
-    spark = edges.sparkSession
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        release_held()
+        held, size, most = [], 0, TASK_ENTRIES
+
+        def forest() -> tuple[np.ndarray, np.ndarray]:
+            return _forest(np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held]))
+
         for batch in batches:
-            a = np.concatenate((a, batch.column("a").to_numpy()))
-            b = np.concatenate((b, batch.column("b").to_numpy()))
-            if len(a) > TASK_ENTRIES:
-                a, b = _forest(a, b)
-        a, b = _forest(a, b)
+            held.append((batch.column("a").to_numpy(), batch.column("b").to_numpy()))
+            size += batch.num_rows
+            if size > most:
+                held = [forest()]
+                size, most = len(held[0][0]), max(TASK_ENTRIES, 2 * len(held[0][0]))
+        a, b = forest() if held else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def state(table: DataFrame):
         return table.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
 
     # a < b throughout.
-    current = written(edges.select("a", "b").mapInArrow(thin, "a long, b long"), scratch(spark, "cc"))
+    current = steps.table(edges.select("a", "b").mapInArrow(thin, "a long, b long"), "cc")
     before = state(current)
     while before[0]:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -319,7 +362,7 @@ def components(edges: DataFrame) -> DataFrame:
         lowest = large.groupBy("b").agg(F.min("a").alias("m"))
         pairs = large.join(lowest, "b")
         small = pairs.select(F.col("m").alias("a"), F.col("a").alias("b")).filter("a < b").unionByName(lowest.select(F.col("m").alias("a"), "b")).distinct()
-        current = written(small, scratch(spark, "cc"))
+        current = steps.table(small, "cc")
         after = state(current)
         if after == before:
             break
@@ -403,64 +446,177 @@ def link_sets(keys: np.ndarray, sets: list[np.ndarray], side: np.ndarray, num: i
     return links
 
 
-def links_within(docs: DataFrame, rows: DataFrame, clusters: DataFrame, num: int, den: int) -> DataFrame:
-    """a, b: links that join the sets of each cluster as all links would."""
-    spark = docs.sparkSession
-    first = rows.filter("doc_id is not null").join(clusters.select(F.col("node").alias("key"), "root"), "key").groupBy("key", "root").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
-    size = first.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("members"))
-    members = written(first.join(size, "root"), scratch(spark, "cluster-members"))
-    facts = members.agg(F.count("*"), F.sum("n")).first()
-    many = facts[0]
-    bins = max(1, -(-many // BLOCK_SETS), -(-(facts[1] or 0) // BLOCK_SHINGLES))
+def with_classes(docs: DataFrame) -> DataFrame:
+    """`docs` (its doc_id and text at least) with n, key and key2, which name a row's class."""
+    kept = [c for c in docs.columns if c not in ("n", "key", "key2")]
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, _, offsets, keys, keys2 in _text_sets(batch):
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(offsets)), pa.array(keys), pa.array(keys2)], [*part.schema.names, "n", "key", "key2"])
+
+    small_batches(docs.sparkSession)
+    plain = docs.select(*kept).withColumn("text", F.col("text").cast("string"))
+    fields = [StructField(c, LongType()) for c in ("n", "key", "key2")]
+    return plain.mapInArrow(look, StructType([*plain.schema.fields, *fields]))
+
+
+def _with_reps(docs: DataFrame, members: DataFrame, many: int) -> DataFrame:
+    """The text of each member's least document, with the member's columns."""
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    texts = texts.join(F.broadcast(members) if many <= BROADCAST_IDS else members, "doc_id")
+    return texts.join((F.broadcast(members) if many <= BROADCAST_IDS else members).withColumnRenamed("rep", "doc_id"), "doc_id")
+
+
+def member_sets(docs: DataFrame, members: DataFrame, many: int) -> DataFrame:
+    """node, root, blocks, block, hashes of `members` (node, rep, n, key, key2, root, blocks)."""
+    names = ["node", "root", "blocks"]
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, hashes, offsets, keys in _text_sets(batch):
+            for part, hashes, offsets, keys, keys2 in _text_sets(batch):
                 blobs = [hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
-                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in ("key", "root", "blocks")), pa.array(blobs, pa.binary())], ["key", "root", "blocks", "hashes"])
+                whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "hashes"])
                 # Another text under the same doc_id is not the member that is asked for.
-                yield whole.filter(pa.array(keys == part.column("key").to_numpy()))
+                yield whole.filter(pa.array((keys == part.column("key").to_numpy()) & (keys2 == part.column("key2").to_numpy())))
+
+    sets = _with_reps(docs, members, many).select(*names, "key", "key2", "text").mapInArrow(look, "node long, root long, blocks int, hashes binary")
+    return sets.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
-    sets = texts.select("key", "root", "blocks", "text").mapInArrow(look, "key long, root long, blocks int, hashes binary")
-    # A large cluster is compared block by block, its pairs of blocks in tasks of their own; small clusters share a bin.
-    block = F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    dealt = sets.withColumn("block", block).withColumn("other", other).select(
-        F.when(F.col("blocks") > 1, F.col("root")).otherwise(F.pmod(F.xxhash64("root"), F.lit(bins))).alias("bin"), (F.col("blocks") > 1).alias("large"),
-        F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "root", "key", "block", "hashes")
+
+def _compared(dealt: DataFrame, num: int, den: int, *by: str) -> DataFrame:
+    """a, b: links among the sets (node, root, side, hashes) of each group that are in one cluster."""
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("root", "ascending"), ("key", "ascending")])
-        root, key = table.column("root").to_numpy(), table.column("key").to_numpy()
-        side = (table.column("block").to_numpy() != table.column("i").to_numpy()).astype(np.int64)
-        hashes = table.column("hashes").combine_chunks()
+        release_held()
+        table = table.select(["root", "node", "side", "hashes"]).sort_by([("root", "ascending"), ("node", "ascending")])
+        root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
+        side, hashes = table.column("side").to_numpy(), table.column("hashes").combine_chunks()
+        new = np.ones(len(node), bool)
+        new[1:] = (node[1:] != node[:-1]) | (root[1:] != root[:-1])  # repeated rows, and pivots in their own block, came twice
+        root, node, side, hashes = root[new], node[new], side[new], hashes.filter(pa.array(new))
         links = []
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (root[1:] != root[:-1])  # a repeated row's set came twice
-        root, key, side, hashes = root[new], key[new], side[new], hashes.filter(pa.array(new))
         starts = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1]))) if len(root) else []
         for a, b in zip(starts, [*starts[1:], len(root)]):
-            links += link_sets(key[a:b], [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in range(a, b)], side[a:b], num, den)
-        pairs = np.array(links, np.int64).reshape(-1, 2)
-        return pa.table({"a": pa.array(pairs.min(axis=1, initial=2**63 - 1) if len(pairs) else pairs[:, 0]), "b": pa.array(pairs.max(axis=1, initial=-(2**63)) if len(pairs) else pairs[:, 1])})
+            links += link_sets(node[a:b], [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in range(a, b)], side[a:b], num, den)
+        pairs = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
-    return dealt.groupBy("bin", "large", "i", "j").applyInArrow(compare, "a long, b long")
+    return dealt.groupBy(*by).applyInArrow(compare, "a long, b long")
 
 
-def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id of its component) of every document."""
+def links_within(steps: Steps, docs: DataFrame, members: DataFrame, num: int, den: int) -> list[DataFrame]:
+    """a, b: links that join the members of each cluster as all links would."""
+    facts = members.agg(F.count("*"), F.sum("n"), F.max("blocks")).first()
+    many, blocks = facts[0], facts[2] or 0
+    bins = max(1, -(-many // BLOCK_SETS), -(-(facts[1] or 0) // BLOCK_SHINGLES))
+    sets = member_sets(docs, members, many).withColumn("side", F.lit(0).cast("long"))
+    if blocks > 1:
+        sets = steps.table(sets, "cluster-sets")
+    # Small clusters share a bin.
+    small = sets.filter("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
+    found = [steps.table(_compared(small, num, den, "bin"), "links")]
+    if blocks < 2:
+        return found
+    large = sets.filter("blocks > 1")
+    # PIVOTS sets of each large cluster, one for each order of hashes, come into all of its blocks.
+    pivots = large.groupBy("root").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "hashes")).alias(f"p{i}") for i in range(PIVOTS)), F.max("blocks").alias("blocks"))
+    everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    pivots = pivots.select("root", "blocks", everywhere, F.explode(F.array(*(f"p{i}" for i in range(PIVOTS)))).alias("p")).select("root", "block", "p.node", "p.hashes", F.lit(0).cast("long").alias("side"))
+    within = large.select("root", "block", "node", "hashes", "side").unionByName(pivots)
+    found.append(steps.table(_compared(within, num, den, "root", "block"), "links"))
+    # What is not in its cluster's greatest component yet meets every block.
+    joined = components(steps, found[-1])
+    part = large.select("node", "root", "blocks").distinct().join(joined.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node"))
+    part = steps.table(part, "cluster-parts")
+    sizes = part.groupBy("root", "part").count()
+    greatest = sizes.groupBy("root").agg(F.max_by("part", F.struct("count", "part")).alias("main"))
+    rest = part.join(F.broadcast(greatest) if greatest.count() <= BROADCAST_IDS else greatest, "root").filter("part <> main").select("node")
+    rest = steps.table(rest, "cluster-rest")
+    left = rest.count()
+    if left:
+        away = large.join(F.broadcast(rest) if left <= BROADCAST_IDS else rest, "node")
+        # Dealt in blocks as well: each comparison is of one block with one block of the rest.
+        visits = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+        share = away.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("lots"))
+        away = away.join(F.broadcast(share) if share.count() <= BROADCAST_IDS else share, "root").withColumn("lot", F.pmod(F.xxhash64(F.lit("lot"), "node"), F.col("lots")).cast("int"))
+        guests = away.withColumn("block", visits).select("root", "block", "lot", "node", "hashes", F.lit(1).cast("long").alias("side"))
+        hosts = large.join(F.broadcast(share) if share.count() <= BROADCAST_IDS else share, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("root", "block", "lot", "node", "hashes", "side")
+        found.append(steps.table(_compared(hosts.unionByName(guests), num, den, "root", "block", "lot"), "links"))
+    return found
+
+
+def clusters(steps: Steps, docs: DataFrame, rows: DataFrame, classes: DataFrame, total: int, num: int, den: int) -> DataFrame:
+    """node, rep, n, key, key2, root, blocks of the classes that share a cluster with others."""
+    spark = docs.sparkSession
+    before, current, done = None, docs, None
+    for turn in range(ROUNDS):
+        counters = spark.sparkContext.broadcast(shingle_counters(rows))  # CELLS bytes
+        edges = steps.table(cluster_edges(current, rows, counters, num, den), "cluster-edges")
+        counters.destroy()
+        release_worker()
+        found = components(steps, edges).withColumnRenamed("node", "key")
+        members = (classes if turn == 0 else again).join(found, "key").select("node", "rep", "n", "key", "key2", "root")
+        size = members.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"), F.count("*").alias("members"))
+        members = steps.table(keyed_join(members, steps.table(size, "cluster-sizes"), ["root"], "members", total), "cluster-members")
+        large = F.col("blocks") >= LARGE_BLOCKS
+        small = members.filter(~large)
+        done = small if done is None else done.unionByName(small)
+        again = members.filter(large).drop("root", "blocks")
+        many = again.count()
+        if not many or before is not None and many > 0.8 * before or turn == ROUNDS - 1:
+            return done.unionByName(members.filter(large))
+        before = many
+        current = steps.table(_with_reps(docs, again.select("rep").distinct(), many), "cluster-texts")
+        rows = steps.table(set_rows(current), "set-rows")
+    return done
+
+
+def classified(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n, key, key2 (the class of its text) and component_id of every document."""
     spark = small_batches(docs.sparkSession)
     rows = written(set_rows(docs), scratch(spark, "set-rows"))
-    counters = spark.sparkContext.broadcast(shingle_counters(rows))  # CELLS bytes
-    edges = written(cluster_edges(docs, rows, counters, num, den), scratch(spark, "cluster-edges"))
-    counters.destroy()
-    release_worker()
-    links = written(links_within(docs, rows, components(edges), num, den), scratch(spark, "links"))
-    roots = components(links).select(F.col("node").alias("key"), "root")
-    own = rows.filter("doc_id is not null").join(roots, "key", "left").select("doc_id", "n", F.coalesce("root", "key").alias("group"))
-    own = written(own, scratch(spark, "groups"))
-    least = own.filter("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
-    joined = own.filter("n > 0").join(least, "group").select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"))
-    return joined.unionByName(own.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    own = rows.filter("doc_id is not null").drop("counters")
+    with Steps(spark) as steps:
+        grouped = own.filter("n > 0").groupBy("key", "n", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+        classes = steps.table(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
+        total = own.count()
+        members = steps.table(clusters(steps, docs, rows, classes.drop("copies"), total, num, den), "clusters")
+        links = links_within(steps, docs, members, num, den)
+        roots = components(steps, reduce(DataFrame.unionByName, links))
+        grouped = steps.table(classes.join(roots, "node").select("node", "root", "rep", "copies"), "class-groups")
+        least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes"))
+        named = keyed_join(grouped.select("node", "root"), steps.table(least, "components"), ["root"], "n_classes", total).select("node", "component_id")
+        named = classes.join(named, "node", "left").select("key", "n", "key2", F.coalesce("component_id", "rep").alias("component_id"), "copies")
+        named = written(named, scratch(spark, "class-components"))
+    found = keyed_join(own.filter("n > 0"), named, ["key", "n", "key2"], "copies", total)
+    return found.select("doc_id", "n", "key", "key2", "component_id").unionByName(own.filter("n = 0").select("doc_id", "n", "key", "key2", F.col("doc_id").alias("component_id")))
+
+
+def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id of its component) of every document."""
+    return classified(docs, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def one_of_each(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """`docs` without rows that are near copies of a document with a smaller doc_id.
+
+    Rows repeated under one doc_id are one document, unless their texts are of different
+    classes: then those of a class that goes are removed and the others stay. Rows without
+    a doc_id stay.
+    """
+    spark = docs.sparkSession
+    found = classified(docs, num, den)
+    copies = written(found.filter("doc_id <> component_id").select("doc_id", "key", "key2").distinct(), scratch(spark, "copies"))
+    # Ids of which some texts go and others stay.
+    mixed = written(found.filter("doc_id = component_id").select("doc_id").distinct().join(copies.select("doc_id"), "doc_id", "left_semi"), scratch(spark, "mixed-ids"))
+
+    def bounded(ids: DataFrame) -> DataFrame:
+        return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+    out = docs.join(bounded(copies.select("doc_id").distinct()), "doc_id", "left_anti").select(*docs.columns)
+    if mixed.isEmpty():
+        return out
+    odd = with_classes(docs.join(bounded(mixed), "doc_id", "left_semi").select(*docs.columns))
+    named = copies.toDF("_id", "_key", "_key2")
+    stay = odd.join(named, (F.col("doc_id") == F.col("_id")) & (F.col("key") == F.col("_key")) & (F.col("key2") == F.col("_key2")), "left_anti")
+    return out.unionByName(stay.select(*docs.columns))

@@ -1,29 +1,37 @@
 """Best-fit packing of token pieces into sequences, in bulk-synchronous rounds.
 
 Only the first piece of a document can be shorter than a sequence, so only
-those are placed; full pieces are sequences of their own.
-
-A round works on two tables, unplaced pieces by length and open sequences by
-gap. Both are dealt by range of their value, with a rank among equal values
-(counted in salted runs, so a value that a third of all rows share is spread).
-A successor sweep takes lengths from the longest down; each run of equal pieces
-goes to the smallest gaps that hold it, which equal pieces fill up, and a gap
-that two pieces want is left to the one of lower rank. The sweep sees counts by value, at most one for each
-number up to the capacity, however many rows there are; the sweeps over the
-rows themselves are joins on (value, rank). Then gaps are updated and the next
-round begins. Pieces for which no gap is left open new sequences.
+those are placed; full pieces are sequences of their own. Pieces of over half a
+sequence cannot share one and open one each.
+
+A round:
+
+1. Pieces and gaps are range-sorted together, the longest first, with the id as
+   a tie-break, so a length that a third of all rows have is cut into ranges too.
+2. Each task sweeps its range: every piece, longest first, takes its successor,
+   the smallest gap that holds it; what it leaves of the gap may be taken again.
+3. Pieces left over look to the ranges before theirs. A task tells how many
+   pieces it has left, how long they are at most, and how many of its gaps hold
+   any piece of a later range. From these numbers, a few for each range, runs of
+   pieces are assigned to runs of gaps, the nearest range first; where several
+   want a gap, the lower rank has it. Rows find each other by (range, rank).
+4. Gaps are updated, and the next round begins.
+
+Where most pieces found no gap, as many sequences as all waiting tokens need
+are opened; they are gaps like others. Once what waits fits into one task, that
+task ends the work: best fit over all gaps, new sequences where none holds a piece.
 
 Cases: a null length counts as 0 and is placed like any other; a length above
 the capacity is an error; repeated rows and rows without a doc_id are pieces of
-their own; an empty table gives an empty result; other columns are ignored.
+their own; a very long text is many pieces; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +39,12 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from prismark.llm.store import scratch, small_batches, written
 from prismark.llm.tokens import batch_encoder
-from prismark.llm.words import plain_strings, text_slices
+from prismark.llm.words import plain_strings, release_held, text_slices
 
-#: Rows of one value that one task ranks.
-SALT_ROWS = 10_000
+#: Rows, about, of the range that a task sweeps, and that the last task takes at most.
+RANGE_ROWS = 25_000
+#: Share of the waiting pieces above which a round that leaves so many makes new sequences be opened.
+STALLED = 0.7
 
 
 def pieces(docs: DataFrame, tokenizer: str, blanks: str, end_id: int, capacity: int) -> DataFrame:
@@ -65,150 +75,174 @@ def pieces(docs: DataFrame, tokenizer: str, blanks: str, end_id: int, capacity:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-class Flow(NamedTuple):
-    """`count` pieces of `length` from `rank` on; each gap from `gap_rank` on takes `each` of them."""
+#: Kinds of rows of a swept range.
+PIECE, GAP, LEFT, HELD = 0, 1, 2, 3
+#: Pieces: id, size, and where they went (sequence_id, offset) or their rank among those left over.
+#: Gaps: id (their sequence), size (what is left), and their rank among those that hold any piece of a later range.
+#: A LEFT row: id pieces are left over, sizes from offset to size; rank gaps are left in all.
+#: HELD rows: from rank on, id gaps of at least `size` that hold any piece of a later range.
+_SWEPT = "kind int, range int, id long, size long, sequence_id long, offset long, rank long"
+#: Sequences opened where no gap holds a piece are numbered from here; those of pieces of over half a sequence from 0.
+OPENED = 1 << 61
 
-    length: int
-    rank: int
-    gap: int
-    gap_rank: int
-    count: int
-    each: int
-    fresh: bool  # the gaps are new sequences, numbered by gap_rank
 
+def best_fit(lengths: list[int], gaps: list[tuple[int, int]], capacity: int, opened: int | None = None) -> tuple[list[int | None], list[int], list[tuple[int, int]]]:
+    """(sequence or None, offset) of each piece as two lists; gaps left as (gap, sequence), ascending.
 
-def sweep(lengths: dict[int, int], gaps: dict[int, int]) -> list[Flow]:
-    """Best-fit flows between runs of equal values.
-
-    The longest pieces choose first, each the smallest gap that holds it; equal
-    pieces fill it up, as it stays their smallest. No gap serves two lengths.
+    Pieces come longest first; each takes the smallest gap that holds it, of equal ones the
+    lowest sequence. opened: the next free sequence number, where pieces without a gap open one.
     """
-    flows = []
-    free = sorted([g, 0, n] for g, n in gaps.items() if n > 0)
-    for length in sorted((x for x in lengths if lengths[x] > 0), reverse=True):
-        rank, left, i = 0, lengths[length], bisect_left(free, [length, 0, 0])
-        while left and i < len(free):
-            gap, at, n = free[i]
-            each = gap // max(length, 1) if length else left
-            whole = min(n, left // each)
-            if whole:
-                flows.append(Flow(length, rank, gap, at, whole * each, each, False))
-            elif n:
-                whole = 1
-                flows.append(Flow(length, rank, gap, at, left, each, False))
-            rank, left = rank + flows[-1].count, left - flows[-1].count
-            if whole == n:
-                free.pop(i)
-            else:
-                free[i] = [gap, at + whole, n - whole]
-    return flows
-
-
-def openings(waiting: dict[int, int], taken: dict[int, int], widest: int, capacity: int, first: int, stuck: bool) -> list[Flow]:
-    """Flows into new sequences, numbered from `first`.
-
-    Pieces of over half a sequence that no gap holds can't share, so all of them
-    open one. Only if that and the gaps placed nothing, the longest others open
-    as many as all waiting tokens need.
+    free = sorted(gaps)
+    where: list[int | None] = []
+    offsets: list[int] = []
+    for length in lengths:
+        i = bisect_left(free, (length, -(1 << 63)))
+        if i < len(free):
+            gap, sequence = free.pop(i)
+        elif opened is not None:
+            gap, sequence, opened = capacity, opened, opened + 1
+        else:
+            where.append(None)
+            offsets.append(0)
+            continue
+        where.append(sequence)
+        offsets.append(capacity - gap)
+        if gap > length:
+            insort(free, (gap - length, sequence))
+    return where, offsets, free
+
+
+def _swept(rows: DataFrame, capacity: int, opened: int | None = None) -> DataFrame:
+    """Best fit in each range of `rows` (kind, id, size), which are sorted; pieces may open sequences from `opened` on."""
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        release_held()
+        held = list(batches)
+        if not sum(b.num_rows for b in held):
+            return
+        kind, ids, size = (np.concatenate([b.column(c).to_numpy() for b in held]) for c in ("kind", "id", "size"))
+        piece, gap = kind == PIECE, kind == GAP
+        where, offsets, free = best_fit(size[piece].tolist(), list(zip(size[gap].tolist(), ids[gap].tolist())), capacity, opened)
+        n, m = len(where), len(free)
+        over = np.array([w is None for w in where], bool)
+        gaps = np.array([g for g, _ in free], np.int64)
+        # Any piece of a later range is no longer than the least value of this one.
+        first = int(np.searchsorted(gaps, max(1, int(size.min()))))
+        cuts = [first]
+        while cuts[-1] < m:
+            cuts.append(int(np.searchsorted(gaps, 2 * gaps[cuts[-1]])))
+        left = size[piece][over]
+        k = len(cuts) - 1
+        rank = np.full(n, -1, np.int64)
+        rank[over] = np.arange(len(left))
+        columns = {
+            "kind": (np.repeat([PIECE, GAP, LEFT, HELD], [n, m, 1, k]), pa.int32()),
+            "range": (np.full(n + m + 1 + k, TaskContext.get().partitionId()), pa.int32()),
+            "id": ([*ids[piece].tolist(), *(s for _, s in free), len(left), *np.diff(cuts).tolist()], pa.int64()),
+            "size": ([*size[piece].tolist(), *gaps.tolist(), int(left.max(initial=0)), *gaps[cuts[:-1]].tolist()], pa.int64()),
+            "sequence_id": ([*where, *[None] * (m + 1 + k)], pa.int64()),
+            "offset": ([*offsets, *[0] * m, int(left.min(initial=capacity)), *[0] * k], pa.int64()),
+            "rank": ([*rank.tolist(), *(np.arange(m) - first).tolist(), m, *(np.array(cuts[:-1], np.int64) - first).tolist()], pa.int64()),
+        }
+        yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in columns.values()], list(columns))
+
+    return rows.mapInArrow(sweep, _SWEPT)
+
+
+def flows(told: list[tuple[int, int, int, int, int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(range, first rank, pieces, range of gaps, first gap rank, pieces in each gap) of runs of pieces to runs of gaps.
+
+    told: (range, kind, id, size, rank) of LEFT and HELD rows. The pieces of a range go to the nearest range
+    before it, to the smallest of its gaps first; a gap serves one range in a round.
+    """
+    out, free = [], []
+    for number, kind, count, size, rank in sorted(told, key=lambda t: (t[0], t[1], -t[3])):
+        if kind == HELD:
+            free.append([number, rank, count, size])
+            continue
+        at = 0
+        while count and free:
+            of, gap_rank, gaps, room = free[-1]
+            each = max(1, room // size) if size else count
+            take = min(count, gaps * each)
+            out.append((number, at, take, of, gap_rank, each))
+            used = -(-take // each)
+            at, count = at + take, count - take
+            free[-1][1:3] = gap_rank + used, gaps - used
+            if gaps == used:
+                free.pop()
+    return out
+
+
+def _matched(over: DataFrame, gaps: DataFrame, runs: DataFrame, capacity: int) -> DataFrame:
+    """id, length, sequence_id, offset of the pieces (range, rank, id, size) that runs give a gap."""
+    nth = F.col("rank") - F.col("first")
+    chosen = over.join(runs, _in_run(over)).select("id", F.col("size").alias("length"), F.col("of").alias("range"), (F.col("gap") + F.floor(nth / F.col("each"))).alias("rank"), nth.alias("nth"))
+    in_gap = W.partitionBy("sequence_id").orderBy("nth")  # as many as a gap holds of them
+    met = chosen.join(gaps.select("range", "rank", F.col("id").alias("sequence_id"), F.col("size").alias("room")), ["range", "rank"])
+    return met.select("id", "length", "sequence_id", (F.lit(capacity) - F.col("room") + F.sum("length").over(in_gap) - F.col("length")).alias("offset"))
+
+
+def _in_run(over: DataFrame):
+    return (over["range"] == F.col("in_range")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("n"))
+
+
+def pack(items: DataFrame, capacity: int, stored: bool = False) -> DataFrame:
+    """id, length, sequence_id, offset for each (id, length) of `items`; ids are distinct.
+
+    stored: `items` is a table as it lies in files, which gives the same rows whenever it is read.
     """
-    flows = []
-    longest = sorted((x for x in waiting if waiting[x] > 0), reverse=True)
-    for x in longest:
-        if x > widest and 2 * x > capacity:
-            flows.append(Flow(x, taken.get(x, 0), capacity, first, waiting[x], 1, True))
-            first += waiting[x]
-    if flows or not stuck:
-        return flows
-    need = max(1, -(-sum(x * n for x, n in waiting.items()) // capacity))
-    for x in longest:
-        each = capacity // x if x else waiting[x]
-        count = min(waiting[x], need * each)
-        flows.append(Flow(x, taken.get(x, 0), capacity, first, count, each, True))
-        first, need = first - (-count // each), need - -(-count // each)
-        if need <= 0:
-            break
-    return flows
-
-
-def _ranked(table: DataFrame, value: str, key: str, rows: int) -> DataFrame:
-    """`table` with `rank`: 0, 1, .. within each value, by salted runs."""
-    salts = max(1, -(-rows // SALT_ROWS))
-    salted = table.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(salts)).cast("int"))
-    # A row for each value and salt.
-    runs = salted.groupBy(value, "salt").count().select(value, "salt", (F.sum("count").over(W.partitionBy(value).orderBy("salt")) - F.col("count")).alias("before"))
-    own = F.row_number().over(W.partitionBy(value, "salt").orderBy(key)) - 1
-    return salted.withColumn("own", own).join(runs, [value, "salt"]).withColumn("rank", F.col("before") + F.col("own")).drop("salt", "own", "before")
-
-
-def pack(items: DataFrame, capacity: int) -> DataFrame:
-    """id, length, sequence_id, offset for each (id, length) of `items`; ids are distinct."""
     spark = items.sparkSession
-    placements: list[DataFrame] = []
-    left = written(items.select(F.col("id").cast("long"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length")), scratch(spark, "pack-items"))
-    lengths = {r[0]: r[1] for r in left.groupBy("length").count().collect()}  # at most capacity + 1
-    if max(lengths, default=0) > capacity:
+    plain = items.select(F.col("id").cast("long"), F.coalesce(F.col("length").cast("long"), F.lit(0)).alias("length"))
+    plain = plain if stored else written(plain, scratch(spark, "pack-items"))
+    facts = plain.agg(F.max("length"), F.count_if(F.col("length") * 2 <= capacity)).first()
+    if (facts[0] or 0) > capacity:
         raise ValueError("a piece is longer than a sequence")
-    gaps, free, opened = spark.createDataFrame([], "sequence_id long, gap long"), {}, 0
-    while any(lengths.values()):
-        flows = sweep(lengths, free)
-        after, taken = dict(free), {}
-        for f in flows:
-            used = -(-f.count // f.each)
-            after[f.gap] -= used
-            taken[f.length] = taken.get(f.length, 0) + f.count
-        waiting = {x: n - taken.get(x, 0) for x, n in lengths.items()}
-        for f in [f for f in flows]:
-            _shrink(after, f)
-        widest = max((g for g, n in after.items() if n > 0), default=0)
-        new = openings(waiting, taken, widest, capacity, opened, not flows)
-        for f in new:
-            opened += -(-f.count // f.each)
-            waiting[f.length] -= f.count
-            _shrink(after, f)
-        rows = sum(lengths.values())
-        # Fewer flows than twice the capacity and one, however many rows: safe to broadcast.
-        table = F.broadcast(spark.createDataFrame([tuple(f) for f in [*flows, *new]], "length long, rank0 long, gap long, gap0 long, n long, each long, fresh boolean"))
-        nth = F.col("rank") - F.col("rank0")
-        chosen = (
-            _ranked(left, "length", "id", rows)
-            .join(table.withColumnRenamed("length", "run"), (F.col("length") == F.col("run")) & (F.col("rank") >= F.col("rank0")) & (nth < F.col("n")), "left")
-            .select("id", "length", "fresh", "gap", F.floor(F.col("gap0") + nth / F.col("each")).alias("gap_rank"), (F.lit(capacity) - F.col("gap") + (nth % F.col("each")) * F.col("length")).alias("offset"))
-        )
-        if flows:
-            by_rank = _ranked(gaps, "gap", "sequence_id", sum(free.values())).select(F.col("gap").alias("of_gap"), F.col("rank").alias("of_rank"), F.col("sequence_id").alias("old"))
-            chosen = chosen.join(by_rank, (F.col("gap") == F.col("of_gap")) & (F.col("gap_rank") == F.col("of_rank")) & ~F.col("fresh"), "left")
-        else:
-            chosen = chosen.withColumn("old", F.lit(None).cast("long"))
-        chosen = written(chosen.select("id", "length", F.when(F.col("fresh"), F.col("gap_rank")).otherwise(F.col("old")).alias("sequence_id"), "offset"), scratch(spark, "pack-round"))
-        placements.append(chosen.filter("sequence_id is not null"))
-        left, lengths = chosen.filter("sequence_id is null").select("id", "length"), {x: n for x, n in waiting.items() if n > 0}
-        if not lengths:
+    half = F.col("length") * 2 > capacity
+    alone = scratch(spark, "pack-alone")
+    placed, swept = [alone], []
+    opening = written(plain.filter(half).select("id", "length", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset")), alone)
+    gaps = opening.select(F.col("sequence_id").alias("id"), (F.lit(capacity) - F.col("length")).alias("size")).filter("size > 0")
+    waiting, left, opened = plain.filter(~half).select("id", F.col("length").alias("size")), facts[1], OPENED
+    many = gaps.count() if left else 0
+    order = [F.desc("size"), F.desc("kind"), F.asc("id")]
+    while left:
+        rows = waiting.select(F.lit(PIECE).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(GAP).alias("kind"), "id", "size"))
+        last = left + many <= RANGE_ROWS
+        dealt = rows.coalesce(1) if last else rows.repartitionByRange(-(-(left + many) // RANGE_ROWS), *order)
+        swept.append(scratch(spark, "pack-swept"))
+        table = written(_swept(dealt.sortWithinPartitions(*order), capacity, opened if last else None), swept[-1])
+        if last:
             break
-        # Each sequence's new gap; those too small for whatever is left are done.
-        least = min(lengths)
-        filled = placements[-1].groupBy("sequence_id").agg(F.sum("length").alias("filled"))
-        gaps = (
-            gaps.join(filled, "sequence_id", "full")
-            .select("sequence_id", (F.coalesce("gap", F.lit(capacity)) - F.coalesce("filled", F.lit(0))).alias("gap"))
-            .filter(F.col("gap") >= max(least, 1))
-        )
-        gaps = written(gaps, scratch(spark, "pack-gaps"))
-        free = {g: n for g, n in after.items() if n > 0 and g >= max(least, 1)}
-    result = spark.createDataFrame([], "id long, length long, sequence_id long, offset long")
-    for table in placements:
-        result = result.unionByName(table)
+        told = [tuple(r) for r in table.filter(F.col("kind").isin(LEFT, HELD)).select("range", "kind", "id", "size", "rank", "offset").collect()]  # at most a dozen a range
+        before, left = left, sum(t[2] for t in told if t[1] == LEFT)
+        if not left:
+            break
+        least = min(t[5] for t in told if t[1] == LEFT and t[2])
+        many = sum(t[4] for t in told if t[1] == LEFT)
+        over, gaps = table.filter((F.col("kind") == PIECE) & F.col("sequence_id").isNull()), table.filter(F.col("kind") == GAP)
+        runs = flows([t[:5] for t in told])
+        if runs:
+            to = F.broadcast(spark.createDataFrame(runs, "in_range int, first long, n long, of int, gap long, each long"))
+            placed.append(scratch(spark, "pack-matched"))
+            met = written(_matched(over, gaps, to, capacity), placed[-1])
+            left -= sum(r[2] for r in runs)
+            over = over.join(to, _in_run(over), "left_anti")
+            gaps = gaps.join(met.groupBy(F.col("sequence_id").alias("id")).agg(F.sum("length").alias("filled")), "id", "left").withColumn("size", F.col("size") - F.coalesce("filled", F.lit(0)))
+        waiting, gaps = over.select("id", "size"), gaps.select("id", "size").filter(F.col("size") >= max(1, least))
+        if left > before * STALLED:
+            need = -(-waiting.agg(F.sum("size")).first()[0] // capacity) + 1
+            gaps = gaps.unionByName(spark.range(opened, opened + need).select("id", F.lit(capacity).cast("long").alias("size")))
+            opened, many = opened + need, many + need
+    result = spark.read.schema("id long, length long, sequence_id long, offset long").parquet(*placed)
+    if swept:
+        rows = spark.read.schema(_SWEPT).parquet(*swept).filter((F.col("kind") == PIECE) & F.col("sequence_id").isNotNull())
+        result = result.unionByName(rows.select("id", F.col("size").alias("length"), "sequence_id", "offset"))
     return result
 
 
-def _shrink(free: dict[int, int], flow: Flow) -> None:
-    """Add what a flow leaves of its gaps."""
-    full, rest = divmod(flow.count, flow.each)
-    for taken, n in ((flow.each, full), (rest, 1 if rest else 0)):
-        if n:
-            gap = flow.gap - taken * flow.length
-            free[gap] = free.get(gap, 0) + n
-
-
 def packed_pieces(cut: DataFrame, capacity: int) -> DataFrame:
     """`cut` (see pieces) with sequence_id and offset.
 
@@ -219,6 +253,6 @@ def packed_pieces(cut: DataFrame, capacity: int) -> DataFrame:
     spark = cut.sparkSession
     cut = written(cut.withColumn("_row", F.monotonically_increasing_id()), scratch(spark, "pack-pieces"))
     short = F.col("length") < capacity
-    placed = pack(cut.filter(short).select(F.col("_row").alias("id"), "length"), capacity).select(F.col("id").alias("_row"), "sequence_id", "offset")
+    placed = pack(cut.filter(short).select(F.col("_row").alias("id"), "length"), capacity, stored=True).select(F.col("id").alias("_row"), "sequence_id", "offset")
     full = cut.filter(~short).withColumns({"sequence_id": -1 - F.col("_row"), "offset": F.lit(0).cast("long")})
     return cut.filter(short).join(placed, "_row").select(*full.columns).unionByName(full).drop("_row")

@@ -11,29 +11,44 @@ import tempfile
 import uuid
 
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from prismark.shipping import ship_package
 
+#: Folders made for local sessions that have none configured, by application.
+_LOCAL: dict[str, str] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """URI of the folder all executors share; a local one is set only where none is configured."""
+    """URI of the folder all executors share, as `spark.checkpoint.dir` names it.
+
+    A name without a scheme is one of Hadoop's default file system. Only a
+    local session may go without: it gets a temporary folder of its own.
+    """
     ship_package(spark)
     base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="prismark-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base if "://" in base else "file://" + os.path.abspath(base)
+    if base:
+        path = spark._jvm.org.apache.hadoop.fs.Path(base)
+        whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+        return "file://" + whole.removeprefix("file:") if whole.startswith("file:/") and not whole.startswith("file://") else whole
+    context = spark.sparkContext
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="prismark-")
+    return _LOCAL[context.applicationId]
 
 
-#: Rows of an Arrow batch of whole texts; Spark's default of 10 000 suits narrow rows.
-TEXT_ROWS = 2000
+#: Rows, and bytes, of an Arrow batch of whole texts; Spark's defaults suit narrow rows.
+TEXT_ROWS, TEXT_BYTES = 2000, "16m"
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
     """The session, with Arrow batches small enough for whole texts unless the user chose a size."""
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_ROWS))
+    for name, default, value in (("maxRecordsPerBatch", "10000", str(TEXT_ROWS)), ("maxBytesPerBatch", "67108864b", TEXT_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, value)
     return ship_package(spark)
 
 
@@ -48,10 +63,56 @@ def written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(spark: SparkSession, path: str) -> None:
-    """Delete a scratch folder that no later result reads."""
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete scratch folders that no later result reads."""
+    for path in paths:
+        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
+class Steps:
+    """Scratch tables of one computation; those not named as kept go when it ends."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def table(self, df: DataFrame, tag: str, kept: bool = False) -> DataFrame:
+        """`df` written under the shared folder and read again; `kept`: a result still reads it afterwards."""
+        path = scratch(self.spark, tag)
+        if not kept:
+            self.paths.append(path)
+        return written(df, path)
+
+    def __enter__(self) -> "Steps":
+        return self
+
+    def __exit__(self, *_) -> None:
+        discard(self.spark, *self.paths)
+
+
+#: A key of at least one row in so many is heavy; there are at most so many such keys.
+HEAVY = 1000
+
+
+def keyed_join(left: DataFrame, right: DataFrame, on: list[str], count: str, rows: int, how: str = "inner") -> DataFrame:
+    """`left` joined with `right`, which has one row for each key, and in `count` how many rows of `left` (of `rows`) have it.
+
+    The HEAVY keys at most with a share of 1 / HEAVY of the rows are broadcast, so no
+    task gets a hot key's rows; the others meet by shuffle. Rows with a null key match nothing.
+    """
+    is_heavy = F.col(count) * HEAVY >= F.lit(rows)
+    heavy, light = F.broadcast(right.filter(is_heavy).drop(count)), right.filter(~is_heavy).drop(count)
+    null = F.lit(False)
+    for c in on:
+        null = null | F.col(c).isNull()
+    known = left.filter(~null)
+    met = known.join(heavy, on)
+    rest = known.join(F.broadcast(heavy.select(*on)), on, "left_anti").join(light, on, how)
+    out = met.unionByName(rest)
+    if how == "left":
+        fill = [F.lit(None).cast(f.dataType).alias(f.name) for f in right.drop(count, *on).schema]
+        out = out.unionByName(left.filter(null).select("*", *fill))
+    return out
 
 
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:

@@ -45,6 +45,12 @@ def release_worker() -> None:
         libc.malloc_trim(0)
 
 
+def release_held() -> None:
+    """For work that keeps nothing itself: give back what earlier tasks in this worker kept."""
+    if _HELD:
+        release_worker()
+
+
 def plain_strings(column: pa.Array) -> pa.Array:
     """`column` as text without nulls (null counts as empty), in memory of its own.
 
@@ -130,12 +136,12 @@ class WordMemory:
 
     `compute` gives the lengths of some words' lists and all their integers in
     a row. The words stay in one Arrow array, a few bytes each. It is only a
-    cache: beyond `most` words it keeps those in use and starts anew, so
-    results never depend on it.
+    cache: beyond `most` words or `most_bytes` it keeps those in use and starts
+    anew, so results never depend on it.
     """
 
-    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 1_000_000, dtype=np.int32):
-        self.compute, self.most = compute, most
+    def __init__(self, compute: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], most: int = 400_000, dtype=np.int32, most_bytes: int = 48 << 20):
+        self.compute, self.most, self.most_bytes = compute, most, most_bytes
         self.known = pa.array([], pa.large_string())
         self.starts = self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, dtype)
@@ -145,7 +151,7 @@ class WordMemory:
         words = words.cast(pa.large_string())
         found = pc.fill_null(pc.index_in(words, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
         missing = np.flatnonzero(found < 0)
-        if len(self.known) + len(missing) > self.most:
+        if len(self.known) + len(missing) > self.most or self.known.nbytes + self.flat.nbytes > self.most_bytes:
             kept = np.unique(found[found >= 0])
             self.flat = self.flat[ragged_take(self.starts[kept], self.lengths[kept])]
             self.lengths = self.lengths[kept]

@@ -35,9 +35,46 @@ def test_few_sequences(spark, kind):
     assert used <= best * 1.02 + 2
 
 
-def test_sweep_takes_the_smallest_gap_that_holds():
-    flows = packing.sweep({40: 3, 10: 1}, {45: 1, 90: 1, 100: 5})
-    assert [(f.length, f.gap, f.count, f.each) for f in flows] == [(40, 45, 1, 1), (40, 90, 2, 2), (10, 100, 1, 10)]
+def test_best_fit_takes_the_smallest_gap_that_holds():
+    where, offsets, free = packing.best_fit([40, 40, 40, 10], [(45, 7), (90, 8), (100, 9)], 100)
+    assert list(zip(where, offsets)) == [(7, 55), (8, 10), (8, 50), (8, 90)] and free == [(5, 7), (100, 9)]
+    assert packing.best_fit([60, 50, 40], [], 100)[0] == [None] * 3
+    assert packing.best_fit([60, 50, 40], [], 100, 5)[:2] == ([5, 6, 5], [0, 0, 60])
+
+
+def test_runs_go_to_the_nearest_range_and_its_smallest_gaps():
+    left, held = packing.LEFT, packing.HELD
+    told = [(0, left, 0, 0, 9), (0, held, 2, 900, 0), (0, held, 1, 2000, 2), (1, left, 5, 300, 4), (1, held, 1, 310, 0), (2, left, 9, 100, 0)]
+    assert packing.flows(told) == [(1, 0, 5, 0, 0, 3), (2, 0, 3, 1, 0, 3), (2, 3, 6, 0, 2, 20)]
+
+
+def plain_best_fit(items, capacity):
+    """Sequences that best fit, longest first, opens."""
+    gaps = []
+    for n in sorted(items, reverse=True):
+        fit = min((g for g in gaps if g >= n), default=None)
+        if fit is not None:
+            gaps.remove(fit)
+        gaps.append((capacity if fit is None else fit) - n)
+    return len(gaps)
+
+
+def test_one_task_is_best_fit(spark):
+    rng = random.Random(3)
+    items = [(i, rng.randint(1, 100)) for i in range(300)]
+    rows = packing.pack(spark.createDataFrame(items, "id long, length long"), 100).collect()
+    assert check_layout(rows, 100) == plain_best_fit([n for _, n in items], 100)
+
+
+@pytest.mark.parametrize("kind", ["uniform", "tiny", "hot", "half"])
+def test_many_ranges_come_near_best_fit(spark, monkeypatch, kind):
+    monkeypatch.setattr(packing, "RANGE_ROWS", 60)
+    rng = random.Random(5)
+    length = {"uniform": lambda: rng.randint(1, 100), "tiny": lambda: rng.randint(1, 6), "hot": lambda: 37 if rng.random() < 0.4 else rng.randint(1, 60), "half": lambda: rng.choice([50, 51, 49])}[kind]
+    items = [(i, length()) for i in range(900)]
+    rows = packing.pack(spark.createDataFrame(items, "id long, length long"), 100).collect()
+    assert sorted((r.id, r.length) for r in rows) == items
+    assert check_layout(rows, 100) <= plain_best_fit([n for _, n in items], 100) * 1.05 + 2
 
 
 def test_pieces_and_edge_cases(spark):
