@@ -11,10 +11,11 @@ Of records with equal payloads of at least `least` bytes, the one with the
 smallest id is a `response`; the others are `revisit`s that refer to it and
 keep the payload's digest and, in their HTTP header, its length.
 
-Cases: null html counts as empty; rows repeated under one id are each written
-and are of one kind; a null url is written as `urn:none`; rows with a null
-page_id are left out; empty tables give no packages and no rows; other columns
-are ignored.
+Cases: null html counts as empty; rows repeated under one id are each a record,
+of the kind that their own payload gives them (equal payloads under the smallest
+id are all responses); a null url is written as `urn:none`; rows with a null
+page_id are left out; very long payloads are one member each; empty tables give
+no packages and no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,12 +32,14 @@ from typing import NamedTuple
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismark.llm.store import AtomicFile, RangeReader, scratch, small_batches, written
+from prismark.llm.store import AtomicFile, RangeReader, keyed_join, scratch, small_batches, written
 
 #: Bytes of payload that one package should hold.
 PACKAGE_BYTES = 16 << 20
 #: Index lines whose records one reading step takes.
 STEP_RECORDS = 500
+#: Revisits, of some 100 bytes each, that may be broadcast to their pages; more are joined by shuffle.
+BROADCAST_ROWS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 LOCAL, CENTRAL, END, END64, LOCATOR64 = b"PK\x03\x04", b"PK\x01\x02", b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07"
 MANY = 0xFFFFFFFF
@@ -184,14 +187,16 @@ def with_kinds(pages: DataFrame, least: int) -> DataFrame:
     """page_id, url, html (null for revisits), size, digest, refers_to."""
     spark, pages = pages.sparkSession, pages.filter("page_id is not null")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
-    keys = written(pages.select(F.col("page_id").cast("long"), F.unhex(F.sha1(F.encode(html, "UTF-8"))).alias("sha1"), F.octet_length(html).cast("long").alias("size")), scratch(spark, "warc-keys"))
+    own = {"sha1": F.unhex(F.sha1(F.encode(html, "UTF-8"))), "size": F.octet_length(html).cast("long")}
+    keys = written(pages.select(F.col("page_id").cast("long"), *(v.alias(k) for k, v in own.items())), scratch(spark, "warc-keys"))
     # The payloads that recur: pre-aggregated, a row each.
-    first = keys.filter(F.col("size") >= least).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    revisits = keys.join(first, ["sha1", "size"]).filter(F.col("page_id") > F.col("first")).select("page_id", F.col("first").alias("refers_to")).dropDuplicates(["page_id"])
+    first = keys.filter(F.col("size") >= least).groupBy("sha1", "size").agg(F.min("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
+    first = written(first, scratch(spark, "warc-firsts"))
+    revisits = written(keyed_join(keys, first, ["sha1", "size"], "n", keys.count()).filter(F.col("page_id") > F.col("refers_to")).distinct(), scratch(spark, "warc-revisits"))
+    revisits = F.broadcast(revisits) if revisits.count() <= BROADCAST_ROWS else revisits
     return (
-        pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"))
-        .join(revisits, "page_id", "left")
-        .withColumns({"size": F.octet_length("html").cast("long"), "sha1": F.unhex(F.sha1(F.encode("html", "UTF-8")))})
+        pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), *(v.alias(k) for k, v in own.items()))
+        .join(revisits, ["page_id", "sha1", "size"], "left")
         .withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
     )
 
