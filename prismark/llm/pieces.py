@@ -12,18 +12,23 @@ text exactly if each two neighbours are the encoding of theirs. So an edge is
 followed only when its piece may stand after the one that ends where it
 begins, and one path remains. Whether two pieces may meet is worked out once,
 by merging the characters of both, and remembered. Runs of blanks, whose
-pieces all have one score, are merged directly.
+pieces all have one score, break that rule; chunks with such a run are merged
+directly, best neighbours first by a heap.
 
 Cases: null texts count as empty and have no ids; characters outside the
-vocabulary become their bytes' pieces; repeated rows are encoded again; empty
-tables give empty results; columns other than doc_id and text are passed through.
+vocabulary become their bytes' pieces; a very long chunk is indexed in parts
+that overlap by a piece, a very long run of blanks costs n log n; repeated rows
+are encoded again; empty tables give empty results; columns other than doc_id
+and text are passed through.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +42,12 @@ from prismark.llm.words import WordBatch, WordMemory, held_in_worker, plain_stri
 BLANK = "\u2581"
 #: Characters of new chunks that one suffix array indexes.
 INDEXED = 300_000
-#: Stands between chunks in the indexed text; no piece has it.
-BETWEEN = "\x01"
+#: Chunks longer than this are relaxed one by one.
+LONG = 2_000
+#: Stands between chunks in the indexed text: a code that no text has.
+BETWEEN = 0xD800
+#: Pairs of pieces whose meeting is remembered.
+MEETS = 2_000_000
 CHUNK = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 
 
@@ -80,17 +89,38 @@ class PieceModel:
 
     def merge(self, text: str) -> list[int]:
         """The encoding of `text`: the best-scored neighbours are merged first, the leftmost of equals."""
-        parts = list(text)
-        while len(parts) > 1:
-            best, at = -np.inf, -1
-            for i in range(len(parts) - 1):
-                piece = self.id.get(parts[i] + parts[i + 1])
-                if piece is not None and self.score[piece] > best:
-                    best, at = self.score[piece], i
-            if at < 0:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.id.get(p, self.unknown) for p in parts]
+        n = len(text)
+        size = [1] * n + [0]  # of the part that begins here; 0: none does
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+        def pair(i: int) -> tuple[float, int, int] | None:
+            """What merging the part at i with the next one would give, if that is a piece."""
+            j = after[i]
+            if j < n and size[i] + size[j] <= self.width:
+                piece = self.id.get(text[i : j + size[j]])
+                if piece is not None:
+                    return -self.score[piece], i, size[i] + size[j]
+            return None
+
+        heap = [p for p in map(pair, range(n - 1)) if p]
+        heapify(heap)
+        while heap:
+            _, i, whole = heappop(heap)
+            j = after[i] if size[i] else n
+            if j == n or size[i] + size[j] != whole:
+                continue  # one of the two has been merged meanwhile
+            size[i], size[j] = whole, 0
+            after[i] = after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            for p in [pair(k) for k in (before[i], i) if k >= 0]:
+                if p:
+                    heappush(heap, p)
+        out, i = [], 0
+        while i < n:
+            out.append(self.id.get(text[i : i + size[i]], self.unknown))
+            i = after[i]
+        return out
 
     def may_meet(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether right[i] may follow left[i] (negative: a chunk's start)."""
@@ -98,15 +128,20 @@ class PieceModel:
         code = left * (self.unknown + 1) + right
         codes, place = np.unique(code[~free], return_inverse=True)
         known = np.empty(len(codes), bool)
+        if len(self.meets) > MEETS:
+            self.meets.clear()
         for i, c in enumerate(codes.tolist()):
-            answer = self.meets.get(c)
-            if answer is None:
-                a, b = divmod(c, self.unknown + 1)
-                answer = self.meets[c] = self.merge(self.text[a] + self.text[b]) == [a, b]
-            known[i] = answer
+            known[i] = self._meet(c)
         free[~free] = known[place]
         return free
 
+    def _meet(self, code: int) -> bool:
+        answer = self.meets.get(code)
+        if answer is None:
+            a, b = divmod(code, self.unknown + 1)
+            answer = self.meets[code] = self.merge(self.text[a] + self.text[b]) == [a, b]
+        return answer
+
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of all occurrences of pieces in a text of code points."""
         order = suffix_array(codes, self.width)
@@ -125,14 +160,16 @@ class PieceModel:
         found: list[list[int]] = [[]] * len(chunks)
         relaxed = []
         for i, chunk in enumerate(chunks):
-            if BLANK * 2 in chunk or BETWEEN in chunk:
+            if BLANK * 2 in chunk:
                 found[i] = self.merge(chunk)
+            elif len(chunk) > LONG:
+                found[i] = self._relax_long(chunk)
             else:
                 relaxed.append(i)
         i = 0
         while i < len(relaxed):
             j, size = i, 0
-            while j < len(relaxed) and (size < INDEXED or j == i):
+            while j < len(relaxed) and size < INDEXED:
                 size += len(chunks[relaxed[j]]) + 1
                 j += 1
             for k, ids in zip(relaxed[i:j], self._relax([chunks[x] for x in relaxed[i:j]])):
@@ -155,10 +192,10 @@ class PieceModel:
         return np.fromiter(map(len, out), np.int64, len(out)), np.fromiter((x for ids in out for x in ids), np.int32)
 
     def _relax(self, chunks: list[str]) -> list[list[int]]:
-        text = BETWEEN.join(chunks) + BETWEEN
-        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.int64)
+        codes = np.frombuffer(" ".join([*chunks, ""]).encode("utf-32-le"), "<u4").astype(np.int64)
         sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
         begins = np.cumsum(sizes + 1) - sizes - 1
+        codes[begins + sizes] = BETWEEN
         start, end, piece = self.edges(codes)
         single = np.zeros(len(codes), bool)
         single[start[end == start + 1]] = True
@@ -189,12 +226,46 @@ class PieceModel:
         return result
 
 
+    def _relax_long(self, chunk: str) -> list[int]:
+        """The same for one chunk, from left to right over parts of INDEXED characters."""
+        n, unknown = len(chunk), self.unknown
+        last, came = array("i", [-2]) * (n + 1), array("q", [0]) * (n + 1)
+        last[0] = -1
+        for at in range(0, n, INDEXED):
+            part = chunk[at : at + INDEXED + self.width]
+            start, end, piece = self.edges(np.frombuffer(part.encode("utf-32-le"), "<u4").astype(np.int64))
+            here = start < INDEXED
+            start, end, piece = start[here], end[here], piece[here]
+            order = np.argsort(start, kind="stable")
+            cuts = np.searchsorted(start[order], np.arange(min(INDEXED, n - at) + 1))
+            ends, found = (end[order] + at).tolist(), piece[order].tolist()
+            if len(self.meets) > MEETS:
+                self.meets.clear()
+            for k, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist()), at):
+                left = last[k]
+                if left == -2:
+                    continue
+                free, single = left < 0 or left == unknown, False
+                for i in range(a, b):
+                    p, e = found[i], ends[i]
+                    single = single or e == k + 1
+                    if free or self._meet(left * (unknown + 1) + p):
+                        last[e], came[e] = p, k
+                if not single:
+                    last[k + 1], came[k + 1] = unknown, k
+        at, ids = n, []
+        while at > 0:
+            ids.append(last[at])
+            at = came[at]
+        return ids[::-1]
+
+
 class PieceCoder:
     """Encodes and decodes arrays of texts."""
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.memory = WordMemory(lambda words: self.model.encode_chunks([w if w.startswith(BLANK) else BLANK + w for w in words]), 1_000_000)
+        self.memory = WordMemory(lambda words: self.model.encode_chunks([w if w.startswith(BLANK) else BLANK + w for w in words]))
         m = self.model
         turned = {i: b for b, i in m.bytes.items()}
         self.surface = [bytes([turned[i]]) if i in turned else t.replace(BLANK, " ").encode() for i, t in enumerate(m.text)]

@@ -1,5 +1,7 @@
 import hashlib
+import random
 import tarfile
+import time
 import zipfile
 import zlib
 
@@ -64,6 +66,15 @@ def test_archives_round_trip(spark, least):
     assert archives.read_packages(archives.write_packages(frame.limit(0), scratch(spark, "w"))).count() == 0
 
 
+def test_one_page_id_with_several_payloads(spark):
+    rows = [(1, "A"), (5, "A"), (5, "B only here"), (5, "B only here"), (None, "A"), (7, "B only here")]
+    pages = spark.createDataFrame([(i, None, h) for i, h in rows], "page_id long, url string, html string").repartition(3)
+    packages = archives.write_packages(pages, scratch(spark, "w"))
+    read = archives.read_packages(spark.createDataFrame(packages.collect(), packages.schema)).collect()
+    assert sorted((r.page_id, r.record_type, r.refers_to or 0, r.payload) for r in read) == [
+        (1, "response", 0, b"A"), (5, "response", 0, b"B only here"), (5, "response", 0, b"B only here"), (5, "revisit", 1, b""), (7, "revisit", 5, b"")]
+
+
 @pytest.mark.parametrize("zip64", [True, False])
 def test_packages_of_either_form(spark, zip64):
     uri = scratch(spark, "z") + "/p.wacz"
@@ -109,6 +120,28 @@ def test_pieces_equal_the_library(spark):
     assert pieces.encode(docs.limit(0), path).count() == 0
 
 
+def test_very_long_chunks():
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    model = pieces.PieceModel(path)
+    rng = random.Random(2)
+    letters = "".join(rng.choices("etaoinshrdlu", k=700_000))
+    texts = [letters, "ab" * 5_000 + "\x01é漢" * 2_000, "a" * 9_000, "word  " * 900 + " " * 3_000 + "x", "\x01 \x01\x01"]
+    for text in texts:
+        chunks = pieces.CHUNK.findall(pieces.BLANK + text.replace(" ", pieces.BLANK))
+        started = time.time()
+        lengths, ids = model.encode_chunks(chunks)
+        assert ids.tolist() == library.encode(text) and lengths.sum() == len(ids)
+        assert time.time() - started < 30
+
+
+def test_a_million_blanks():
+    model = pieces.PieceModel(public_tokenizers.path("piece_bpe_32k.model"))
+    started = time.time()
+    ids = model.merge(pieces.BLANK * 1_000_000)
+    assert sum(len(model.text[i]) for i in ids) == 1_000_000 and time.time() - started < 60
+
+
 def test_suffix_array():
     import numpy as np
 
