@@ -12,7 +12,7 @@ Cases: null texts count as empty; two empty fingerprints are alike (1), an
 empty and another one are not (0); equal texts have equal fingerprints; the
 document after another is the next one in ascending doc_id (repeated ids: in
 order of their texts), after the last the first, a lone one follows itself; rows with a null doc_id
-come first; empty tables give empty results; other columns are ignored.
+come first; very long texts are sketched whole; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ KEEP_BITS = 3
 SHINGLE = 5
 #: Bytes of text that one range of documents should hold.
 RANGE_BYTES = 8 << 20
+#: Quantiles of doc_id that tell the ranges; ranges looked through at a time; firsts of ranges that may be broadcast; tasks at most.
+KNOTS, LOT, BROADCAST_RANGES, MOST_TASKS = 500, 10_000, 500_000, 50_000
 
 
 def words(text: Column) -> Column:
@@ -82,6 +84,43 @@ def merged(a: Column, b: Column) -> Column:
     return F.array_sort(F.array_union(a, b))
 
 
+def _places(plain: DataFrame, key: Column) -> tuple[Column, int]:
+    """Number of a document's range, ascending with its key, and how many there are; they hold RANGE_BYTES of text each, about.
+
+    KNOTS quantiles of the keys, however many documents there are, with straight lines between them.
+    """
+    size = plain.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
+    ranges = max(1, min(size.n, -(-(size.b or 0) // RANGE_BYTES)))
+    knots = min(KNOTS, ranges)
+    cuts = [] if ranges == 1 else sorted({int(c) for c in plain.select(key.alias("k")).stat.approxQuantile("k", [i / knots for i in range(knots + 1)], 0.2 / knots)})
+    if len(cuts) < 2:
+        return F.lit(0).cast("long"), 1
+    each = -(-ranges // (len(cuts) - 1))
+    # The last knot at or below the key, by bisection over a constant array.
+    table = F.array(*(F.lit(c).cast("long") for c in cuts))
+    at = F.greatest(F.lit(0), F.least(F.lit(len(cuts) - 2), F.size(F.filter(table, lambda c: c <= key)) - 1))
+    low, high = F.get(table, at), F.get(table, at + 1)
+    step = F.floor((key.cast("double") - low.cast("double")) / (high.cast("double") - low.cast("double")) * each)
+    return at.cast("long") * each + F.greatest(F.lit(0), F.least(F.lit(each - 1), step)).cast("long"), each * (len(cuts) - 1)
+
+
+def _heads(dealt: DataFrame, key: Column) -> DataFrame:
+    """The first document of each range, with the number of the range before it as its place."""
+    firsts = dealt.groupBy("place").agg(F.min(key).alias("first"))
+    # The next range that holds any document: looked up in lots of LOT ranges, then between lots.
+    lot = firsts.withColumn("lot", F.floor(F.col("place") / LOT))
+    in_lot = W.partitionBy("lot").orderBy("place")
+    inner = lot.withColumn("before", F.lag("place").over(in_lot))
+    edges = lot.groupBy("lot").agg(F.max("place").alias("last")).withColumn("group", F.lit(0))
+    over = W.partitionBy("group").orderBy("lot")  # a row for each LOT ranges
+    ends = edges.select("lot", F.coalesce(F.lag("last").over(over), F.max("last").over(W.partitionBy("group"))).alias("end"))
+    before = inner.join(ends, "lot").select("first", F.coalesce("before", "end").alias("place"))
+    small = before.count() <= BROADCAST_RANGES
+    texts = dealt.select("doc_id", "text", key.alias("first"))
+    # Equal ids stay in one range; only the first text of the range's first id is sent ahead.
+    return texts.join(F.broadcast(before) if small else before, "first").groupBy("doc_id", "place").agg(F.min("text").alias("text"))
+
+
 def followed(docs: DataFrame) -> DataFrame:
     """doc_id, text, own (sketch), next_text, next_own: each document and the one after it.
 
@@ -90,27 +129,11 @@ def followed(docs: DataFrame) -> DataFrame:
     """
     plain = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    size = plain.agg(F.sum(F.octet_length("text")).alias("b"), F.count("*").alias("n")).first()
-    ranges = max(1, min(size.n, -(-(size.b or 0) // RANGE_BYTES)))
-    # As many numbers as there are ranges.
-    cuts = plain.select(key.alias("k")).stat.approxQuantile("k", [i / ranges for i in range(1, ranges)], 0.2 / ranges) if ranges > 1 else []
-    cuts = sorted({int(c) for c in cuts})
-    place = F.lit(0)
-    if cuts:
-        # How many cuts lie at or below the key.
-        place = F.size(F.filter(F.array(*(F.lit(c) for c in cuts)), lambda c: c <= key))
-    dealt = plain.withColumn("place", place.cast("int"))
-    firsts = {r.place: r.first for r in dealt.groupBy("place").agg(F.min(key).alias("first")).collect()}
-    used = sorted(firsts)
-    before = {firsts[p]: used[i - 1] for i, p in enumerate(used)}  # the first of all follows the last
-    if not before:
-        return with_sketch(plain, "text", "own").withColumns({"next_text": F.lit(""), "next_own": F.col("own")})
-    # Equal ids stay in one range; only the first text of the range's first id is sent ahead.
-    heads = plain.filter(key.isin(list(before))).groupBy("doc_id").agg(F.min("text").alias("text"))
-    sent = heads.withColumn("place", F.element_at(F.create_map(*(F.lit(x) for pair in before.items() for x in pair)), key))
-    rows = dealt.withColumn("ahead", F.lit(False)).unionByName(sent.withColumn("ahead", F.lit(True)))
-    # A task for each range; the window below needs no other exchange.
-    rows = with_sketch(rows.repartitionByRange(len(used), "place"), "text", "own")
+    place, ranges = _places(plain, key)
+    dealt = plain.withColumn("place", place)
+    rows = dealt.withColumn("ahead", F.lit(False)).unionByName(_heads(dealt, key).select("doc_id", "text", "place", F.lit(True).alias("ahead")))
+    # The window below needs no other exchange.
+    rows = with_sketch(rows.repartitionByRange(min(ranges, MOST_TASKS), "place"), "text", "own")
     in_order = W.partitionBy("place").orderBy("ahead", "doc_id", "text")
     after = F.lead(F.struct("text", "own")).over(in_order)
     return rows.withColumn("after", after).filter(~F.col("ahead")).select("doc_id", "text", "own", F.col("after.text").alias("next_text"), F.col("after.own").alias("next_own"))
