@@ -328,7 +328,8 @@ def components(steps: Steps, edges: DataFrame) -> DataFrame:
     """node, root of every node of `edges` (a, b); the root is the component's least node.
 
     Large-star and small-star rounds over edges, each written to the shared
-    folder. Tasks first keep a spanning forest of their edges.
+    folder. Tasks first keep a spanning forest of their edges; once all edges
+    fit into one task, that task ends the work.
     """
 
     def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -354,6 +355,9 @@ def components(steps: Steps, edges: DataFrame) -> DataFrame:
     current = steps.table(edges.select("a", "b").mapInArrow(thin, "a long, b long"), "cc")
     before = state(current)
     while before[0]:
+        if before[0] <= TASK_ENTRIES:
+            current = steps.table(current.coalesce(1).mapInArrow(thin, "a long, b long"), "cc")
+            break
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         # Large star: greater neighbours of a go to the least of a and its neighbours.

@@ -5,7 +5,9 @@ frequent words score it in each; Viterbi over a text's words, with a penalty
 for switching, labels spans. A text's language is that of most of its letters.
 
 Fitting uses about `PER_LANGUAGE` texts of each language, chosen by a hash of
-doc_id, and at most `LANGUAGES` languages and `GRAMS` n-grams.
+doc_id, learns every language that occurs, and keeps `GRAMS` n-grams for each
+language on average (`LEAST_GRAMS` at least, as many as make `CELLS` log-odds at
+most), those with the greatest shares of their languages.
 
 Viterbi runs over blocks of words side by side: each block first gets its best
 scores between any two states, these are chained along each text, and then all
@@ -30,15 +32,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
-from prismark.llm.store import small_batches
-from prismark.llm.words import WordMemory, held_in_worker, plain_strings, release_worker, text_slices, whitespace_words
+from prismark.llm.store import scratch, small_batches, written
+from prismark.llm.words import SLICE_BYTES, WordMemory, held_in_worker, plain_strings, release_worker, text_slices, whitespace_words
 
 PER_LANGUAGE = 2_500
-LANGUAGES = 48
-GRAMS = 60_000
+#: n-grams kept for each language on average, and at least in all; numbers that a table of log-odds, or of scores between states, has at most.
+GRAMS, LEAST_GRAMS, CELLS = 4_000, 60_000, 4_000_000
 #: Log-odds that a change of language between two words costs.
 SWITCH = 8.0
 #: n-grams overlap, so their sum overstates the evidence.
@@ -65,7 +68,7 @@ def grams(word: str) -> list[str]:
 
 @dataclass
 class LanguageModel:
-    """Log-odds of n-grams by language; bounded by GRAMS and LANGUAGES."""
+    """Log-odds of n-grams by language; bounded by CELLS."""
 
     languages: list[str] = field(default_factory=list)  # most frequent first
     index: dict[str, int] = field(default_factory=dict)
@@ -78,13 +81,14 @@ def fit(docs: DataFrame, lang: str = "lang") -> LanguageModel:
     """A model from texts with a language."""
     small_batches(docs.sparkSession)
     known = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col(lang).cast("string").alias("lang")).filter("lang is not null and text is not null")
-    totals = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    totals = {r.lang: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}  # a row for each language
     if not totals:
         return LanguageModel()
     languages = list(totals)
-    share = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, PER_LANGUAGE / n))))
+    few = {lang: n for lang, n in totals.items() if n > PER_LANGUAGE}
+    share = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for lang, n in few.items() for x in (lang, PER_LANGUAGE / n))), F.col("lang")), F.lit(1.0)) if few else F.lit(1.0)
     fraction = F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
-    sample = known.filter(F.col("lang").isin(languages)).filter(fraction < F.element_at(share, F.col("lang"))).select("lang", "text")
+    sample = known.filter(fraction < share).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
@@ -103,20 +107,29 @@ def fit(docs: DataFrame, lang: str = "lang") -> LanguageModel:
             part = keys[i : i + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in part]), pa.array([k[1] for k in part]), pa.array([rows[k] for k in part], pa.int64())], ["lang", "gram", "n"])
 
-    counted = sample.mapInArrow(count, "lang string, gram string, n long").groupBy("gram").pivot("lang", languages).agg(F.sum("n")).na.fill(0)
-    names = [f"c{i}" for i in range(len(languages))]
-    counted = counted.toDF("gram", *names).withColumn("total", sum((F.col(c) for c in names), F.lit(0)))
-    scripts = counted.filter("gram like '#%'").collect()  # one for each script
-    # GRAMS rows at most, as columns: rows of Python objects would take many times their size.
-    top = counted.filter("gram not like '#%'").orderBy(F.desc("total"), "gram").limit(GRAMS).drop("total").toArrow()
+    counted = written(sample.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), scratch(docs.sparkSession, "language-grams"))
+    number = {lang: i for i, lang in enumerate(languages)}
+    is_script = F.col("gram").startswith("#")
+    scripts = counted.filter(is_script).collect()  # one for each language and script
+    mass = F.broadcast(counted.filter(~is_script).groupBy("lang").agg(F.sum("n").alias("all")))  # a row for each language
+    most = min(max(LEAST_GRAMS, GRAMS * len(languages)), max(1, CELLS // len(languages)))
+    kept = counted.filter(~is_script).join(mass, "lang").groupBy("gram").agg(F.sum(F.col("n") / F.col("all")).alias("share")).orderBy(F.desc("share"), "gram").limit(most).select("gram")
+    # CELLS rows at most, as columns: rows of Python objects would take many times their size.
+    top = counted.join(F.broadcast(kept), "gram").toArrow()
     if not top.num_rows:
         return LanguageModel(languages)
-    table = np.stack([top.column(c).to_numpy() for c in names], axis=1).astype(np.float64) + 0.5
+    names = pc.unique(top.column("gram")).sort()
+    table = np.full((len(names), len(languages)), 0.5)
+    at = pc.index_in(top.column("gram"), names).to_numpy(), pc.index_in(top.column("lang"), pa.array(languages)).to_numpy()
+    table[at] += top.column("n").to_numpy()
     logs = np.log(table / table.sum(axis=0))
     odds = np.clip(logs - logs.mean(axis=1, keepdims=True), -6, 6) * WEIGHT
-    by_script = {r.gram[1:]: np.array([r[c] for c in names], np.float64) for r in scripts}
-    letters = np.maximum(sum(by_script.values()), 1)
-    index = dict(zip(top.column("gram").to_pylist(), range(top.num_rows)))
+    by_script: dict[str, np.ndarray] = {}
+    for r in scripts:
+        by_script.setdefault(r.gram[1:], np.zeros(len(languages)))[number[r.lang]] = r.n
+    letters = np.maximum(sum(by_script.values(), np.zeros(len(languages))), 1)
+    index = dict(zip(names.to_pylist(), range(len(names))))
+    del top, table, logs, at
     release_worker()
     return LanguageModel(languages, index, np.vstack([odds, np.zeros((1, len(languages)))]).astype(np.float32), {s: n / letters >= OWN_SCRIPT for s, n in by_script.items() if s})
 
@@ -127,7 +140,7 @@ class WordScores:
     def __init__(self, model: LanguageModel):
         self.model = model
         self.width = 1 + len(model.languages)
-        self.memory = WordMemory(self._look, 1_000_000, np.float32)
+        self.memory = WordMemory(self._look, dtype=np.float32)
 
     def _look(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         get, none = self.model.index.get, len(self.model.index)
@@ -174,32 +187,39 @@ def viterbi(scores: np.ndarray, offsets: np.ndarray, switch: float) -> np.ndarra
     index = at + np.arange(BLOCK)[:, None]
     index = np.where(index < stop, index, n)
     padded = np.vstack([scores, np.zeros((1, states), scores.dtype)])
-    # Best scores of a block between the state before it and its last state.
-    between = np.full((many, states, states), -1e9, np.float32)
-    between[:, np.arange(states), np.arange(states)] = 0
-    for t in range(BLOCK):
-        np.maximum(between, between.max(axis=2, keepdims=True) - switch, out=between)
-        between += padded[index[t]][:, None, :]
     # Chain the blocks of each text; texts with more blocks come first.
     vector = np.tile(-1e-3 * np.arange(states, dtype=np.float32), (len(blocks), 1))
     before = np.zeros((many, states), np.float32)
     active = np.searchsorted(-blocks, -np.arange(int(blocks.max())), side="left")
-    for k in range(int(blocks.max())):
-        m = int(active[k])
-        row = first[:m] + k
-        before[row] = vector[:m]
-        vector[:m] = (vector[:m, :, None] + between[row]).max(axis=1)
-        vector[:m] -= vector[:m].max(axis=1, keepdims=True)
+    done = 0
+    while done < len(active):
+        stop_at = done + max(1, int(np.searchsorted(np.cumsum(active[done:]) * states**2, CELLS, side="right")))
+        rows = np.concatenate([first[: active[k]] + k for k in range(done, stop_at)])
+        # Best scores of a block between the state before it and its last state.
+        between = np.full((len(rows), states, states), -1e9, np.float32)
+        between[:, np.arange(states), np.arange(states)] = 0
+        for t in range(BLOCK):
+            np.maximum(between, between.max(axis=2, keepdims=True) - switch, out=between)
+            between += padded[index[t][rows]][:, None, :]
+        at = 0
+        for k in range(done, stop_at):
+            m = int(active[k])
+            before[first[:m] + k] = vector[:m]
+            vector[:m] = (vector[:m, :, None] + between[at : at + m]).max(axis=1)
+            vector[:m] -= vector[:m].max(axis=1, keepdims=True)
+            at += m
+        done = stop_at
     # All blocks at once from their known start.
     now = before
-    stay, source = np.zeros((BLOCK, many, states), bool), np.zeros((BLOCK, many), np.int8)
+    number = np.int8 if states < 128 else np.int32
+    stay, source = np.zeros((BLOCK, many, states), bool), np.zeros((BLOCK, many), number)
     for t in range(BLOCK):
         best = now.max(axis=1, keepdims=True) - switch
         source[t] = now.argmax(axis=1)
         stay[t] = now >= best
         now = np.maximum(now, best) + padded[index[t]]
-    label = np.zeros((BLOCK, many, states), np.int8)
-    state = np.tile(np.arange(states, dtype=np.int8), (many, 1))
+    label = np.zeros((BLOCK, many, states), number)
+    state = np.tile(np.arange(states, dtype=number), (many, 1))
     for t in range(BLOCK - 1, -1, -1):
         label[t] = state
         kept = np.take_along_axis(stay[t], state.astype(np.int64), axis=1)
@@ -244,8 +264,10 @@ def detect(docs: DataFrame, model: LanguageModel, spans: bool = False) -> DataFr
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = held_in_worker(("language", held.value.name), lambda: WordScores(held.value))
         names = np.array([*held.value.languages, "und"], object)
+        states = max(1, len(held.value.languages))
+        rows = max(1, CELLS // states**2)  # as many texts as one step of the chains takes
         for batch in batches:
-            for part in text_slices(batch):
+            for part in (p for i in range(0, batch.num_rows, rows) for p in text_slices(batch.slice(i, rows), limit=SLICE_BYTES * 32 // max(32, states))):
                 best, score, offsets, letters, labels = label_texts(plain_strings(part.column("text")), scores)
                 more = [pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
                 if spans:

@@ -6,13 +6,14 @@ by it the shard, offset and length of the stored bytes. Metadata columns
 (width, height, bit depth) come from the 33 header bytes alone; features and
 checksums from the whole member, decoded.
 
-Each writing task keeps one copy of what it meets; where several tasks met the
-same payload, the first address by (shard, offset) is the payload's address and
-the other copies are never read.
+Each writing task keeps one copy of what it met lately; where several copies of
+a payload were stored, the first address by (shard, offset) is the payload's
+address and the other copies are never read.
 
 Cases: null texts count as empty; an empty text is one block of padding; equal
-texts share one address; a repeated row points where the first does; an empty
-table gives an empty result; other columns are ignored.
+texts share one address; a repeated row points where the first does; a very long
+text is one member, held in memory alone; an empty table gives an empty result;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,8 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismark.llm.store import AtomicFile, RangeReader, scratch, small_batches, written
-from prismark.llm.words import release_worker
+from prismark.llm.store import AtomicFile, RangeReader, keyed_join, scratch, small_batches, written
+from prismark.llm.words import release_worker, text_slices
 
 #: Payload lengths are multiples of this: 24 rows of 24 samples.
 BLOCK = 576
@@ -41,6 +42,8 @@ PNG = b"\x89PNG\r\n\x1a\n"
 SHARD_BYTES = 64 << 20
 #: Stored payloads that one reading task takes.
 READ_ROWS = 4000
+#: Payloads whose addresses a writing task remembers; beyond that it may store a payload once more.
+KNOWN = 100_000
 
 
 def padded(text: bytes) -> bytes:
@@ -109,8 +112,10 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
         known: dict[str, tuple[str, int, int]] = {}
         out = None
         try:
-            for batch in batches:
+            for batch in (part for whole in batches for part in text_slices(whole)):
                 found = []
+                if len(known) > KNOWN:
+                    known.clear()
                 for text in batch.column("text"):
                     payload = padded(text.as_buffer().to_pybytes() if text.is_valid else b"")
                     digest = hashlib.sha256(payload).hexdigest()
@@ -142,8 +147,8 @@ def write_shards(docs: DataFrame, folder: str) -> DataFrame:
 
 
 def addresses(rows: DataFrame) -> DataFrame:
-    """digest, shard, offset, length: one address for each payload."""
-    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+    """digest, shard, offset, length: one address for each payload, and how many documents have it."""
+    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at"), F.count("*").alias("documents")).select("digest", "at.*", "documents")
 
 
 def _by_shard(at: DataFrame) -> DataFrame:
@@ -177,7 +182,8 @@ def header_columns(at: DataFrame, folder: str) -> DataFrame:
             found = np.array([png_header(file.read(offset, HEADER)) for file, offset, _ in rows], np.int64).reshape(-1, 3)
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(found[:, i]) for i in range(3))], [*batch.schema.names, "width", "height", "bit_depth"])
 
-    return _by_shard(at).mapInArrow(look, "digest string, shard string, offset long, length long, width long, height long, bit_depth long")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in at.schema)
+    return _by_shard(at).mapInArrow(look, f"{schema}, width long, height long, bit_depth long")
 
 
 def payload_columns(at: DataFrame, folder: str) -> DataFrame:
@@ -208,4 +214,4 @@ def media_table(docs: DataFrame, folder: str) -> DataFrame:
     # Headers and payloads in jobs of their own: one Python worker a task at a time.
     headers = written(header_columns(at, folder), scratch(spark, "media-headers"))
     read = written(payload_columns(headers, folder), scratch(spark, "media-read"))
-    return rows.select("doc_id", "digest").join(read, "digest")
+    return keyed_join(rows.select("doc_id", "digest"), read, ["digest"], "documents", rows.count())

@@ -46,7 +46,7 @@ class BatchEncoder:
         self.path, self.splitting, self.plain = path, _loaded(path, False), None
         self.blanks, self.separator = blanks, separator
         self.separator_id = self.splitting.token_to_id(separator)
-        self.memory = WordMemory(self._encode_words)
+        self.memory = WordMemory(self._encode_words, 1_000_000)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         self.plain = self.plain or _loaded(self.path)
