@@ -7,8 +7,9 @@ mixed with digits or signs, letters drawn out). All but the nearness are sums
 over words, so each distinct word of a batch is looked at once.
 
 Fitting uses at most `SAMPLE` labelled rows, chosen by a hash of doc_id within
-each label; the lexicon that a training row is measured with never comes from
-that row's own fold. Scoring reads every text whole.
+each label; the lexicon that a training row is measured with is chosen and
+weighted without that row's own fold. Scoring reads every text whole, a very
+long one as a slice of its own.
 
 Cases: null and empty texts have zero features and get the score of such a
 row; labels that are null or belong to no row are ignored; a repeated row is
@@ -111,24 +112,17 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     """term to lower bound of its log-odds: without fold 0, without fold 1, .., and from all rows."""
     size = {(r.fold, r.label): r["count"] for r in sample.groupBy("fold", "label").count().collect()}
     by_fold = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}") for f in range(FOLDS) for c in ("ones", "zeros")]
-    n1, n0 = (sum(n for (_, x), n in size.items() if x == label) for label in (1, 0))
-
-    def bound(ones, zeros, of1, of0, log, sqrt):
-        return log((ones + 0.5) / (of1 + 1.0)) - log((zeros + 0.5) / (of0 + 1.0)) - sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
-
-    terms = (
-        _term_counts(sample).groupBy("term").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"), *by_fold)
-        .filter(F.col("ones") >= LEAST_ROWS)
-        .withColumn("bound", bound(F.col("ones"), F.col("zeros"), n1, n0, F.log, F.sqrt))
-        .filter(F.col("bound") >= BANDS[-1])
-        .orderBy(F.desc("bound"), "term").limit(LEXICON).collect()
-    )
+    folder = scratch(sample.sparkSession, "toxicity-terms")
+    counted = written(_term_counts(sample).groupBy("term").agg(*by_fold), folder)
     out = []
-    for left_out in range(FOLDS + 1):
+    for left_out in range(FOLDS + 1):  # the last one leaves none out
         folds = [f for f in range(FOLDS) if f != left_out]
-        of1, of0 = (sum(size.get((f, x), 0) for f in folds) for x in (1, 0))
-        scored = {t.term: float(bound(sum(t[f"ones{f}"] for f in folds), sum(t[f"zeros{f}"] for f in folds), of1, of0, np.log, np.sqrt)) for t in terms}
-        out.append({t: s for t, s in scored.items() if s >= BANDS[-1]})
+        n1, n0 = (sum(size.get((f, x), 0) for f in folds) for x in (1, 0))
+        ones, zeros = (sum((F.col(f"{c}{f}") for f in folds), F.lit(0)) for c in ("ones", "zeros"))
+        bound = F.log((ones + 0.5) / (n1 + 1.0)) - F.log((zeros + 0.5) / (n0 + 1.0)) - F.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
+        best = counted.filter(ones >= LEAST_ROWS).select("term", bound.alias("bound")).filter(F.col("bound") >= BANDS[-1]).orderBy(F.desc("bound"), "term").limit(LEXICON)
+        out.append({r.term: r.bound for r in best.collect()})
+    discard(sample.sparkSession, folder)
     return out
 
 
@@ -227,7 +221,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> ToxicityMod
                     yield pa.RecordBatch.from_arrays([kept.column("doc_id"), kept.column("label"), kept.column("fold"), pa.array([r.tobytes() for r in rows], pa.binary())], ["doc_id", "label", "fold", "features"])
 
     # At most SAMPLE rows of a few numbers (documents repeated under one doc_id aside).
-    rows = sample.repartition(8, "doc_id").mapInArrow(measure, "doc_id long, label int, fold int, features binary").orderBy("doc_id", "features").collect()
+    rows = sample.repartition(8, "doc_id").mapInArrow(measure, "doc_id long, label int, fold int, features binary").collect()
+    rows.sort(key=lambda r: (r.doc_id, r.features))
     discard(spark, folder)
     if len({r.label for r in rows}) < 2:
         return ToxicityModel(share=share)
