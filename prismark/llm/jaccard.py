@@ -182,7 +182,7 @@ def set_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(look, "doc_id long, n long, key long, key2 long, counters binary")
 
 
-def _steps_of(counts: np.ndarray) -> np.ndarray:
+def _bounds_of(counts: np.ndarray) -> np.ndarray:
     """Ascending bounds, 254 at most, that tell counts apart: by quantiles, and above those by a growing factor."""
     bounds = np.unique(np.quantile(counts, np.linspace(0, 1, 129)[1:]))
     top = max(float(bounds[-1]), 1.0)
@@ -191,22 +191,25 @@ def _steps_of(counts: np.ndarray) -> np.ndarray:
 
 def shingle_counters(rows: DataFrame) -> np.ndarray:
     """All tasks' counters summed, as levels from 0 to 255 in the same order."""
+    segment, bounds = CELLS // SEGMENTS, None
 
     def add(table: pa.Table) -> pa.Table:
         release_held()
-        total = np.zeros(CELLS // SEGMENTS, np.int64)
+        total = np.zeros(segment, np.int64)
         unpack = zstandard.ZstdDecompressor().decompress
         for blob in table.column("counters"):
             total += np.frombuffer(unpack(blob.as_buffer()), np.uint16)
+        if bounds is not None:
+            total = np.searchsorted(bounds, total, "left").astype(np.uint8)
         return pa.table({"key": table.column("key").slice(0, 1), "counters": pa.array([total.tobytes()], pa.binary())})
 
-    summed = rows.filter("counters is not null").select("key", "counters").groupBy("key").applyInArrow(add, "key long, counters binary")
-    levels, size, steps = np.zeros(CELLS, np.uint8), CELLS // SEGMENTS, None
-    for r in summed.toLocalIterator():  # SEGMENTS rows, whatever the input
-        counts = np.frombuffer(r.counters, np.int64)
-        if steps is None:  # hashes spread shingles alike over all segments, so one tells the steps
-            steps = _steps_of(counts)
-        levels[r.key * size : (r.key + 1) * size] = np.searchsorted(steps, counts, "left")
+    told = rows.filter("counters is not null").select("key", "counters")
+    # Hashes spread shingles alike over all segments, so one tells the bounds.
+    one = told.filter("key = 0").groupBy("key").applyInArrow(add, "key long, counters binary").first()
+    bounds = _bounds_of(np.frombuffer(one.counters, np.int64) if one else np.arange(2))
+    levels = np.zeros(CELLS, np.uint8)
+    for r in told.groupBy("key").applyInArrow(add, "key long, counters binary").toLocalIterator():  # SEGMENTS rows, whatever the input
+        levels[r.key * segment : (r.key + 1) * segment] = np.frombuffer(r.counters, np.uint8)
     return levels
 
 

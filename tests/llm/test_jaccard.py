@@ -63,6 +63,51 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
     assert got == brute_force(rows)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_small_buckets_blocks_and_many_partitions(spark, seed, monkeypatch):
+    for name, value in {"TASK_ENTRIES": 150, "BUCKET_ENTRIES": 100, "BLOCK_SETS": 4, "BLOCK_SHINGLES": 400, "LARGE_BLOCKS": 2, "BROADCAST_IDS": 3}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(50 + seed, 220)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + 2 * seed)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()}
+    assert got == brute_force(rows)
+
+
+def test_chain_between_sizes_of_another_partition(spark):
+    # L and B have J = 0.80 and share one rare shingle; sets of other sizes beside L hold it too.
+    def text(name, n, *more):
+        return " ".join([*more, *(f"{name}{i}" for i in range(n))])
+
+    shared = [f"s{i}" for i in range(84)]
+    first = [(1, " ".join(shared) + " " + text("u", 20))] + [(10 + n, text(f"d{n}_", n - 1, *shared[:5])) for n in (60, 74, 90, 110, 130)]
+    other = [(18, " ".join(shared))]
+    filler = [(1000 + k, " ".join(shared[1:]) + " " + text(f"f{k}_", 300)) for k in range(6)]  # all shared shingles but one are common
+    docs = spark.createDataFrame(spark.sparkContext.parallelize([first, other, filler], 3).flatMap(list), "doc_id long, text string")
+    rows = first + other + filler
+    want = brute_force(rows)
+    assert want[18] == (80, 1)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()} == want
+
+
+def test_a_very_long_text_and_its_copy(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(900_000)]  # longer than a slice
+    rows = [(2, " ".join(words)), (5, " ".join(words[:-90_000])), (7, " ".join(words[:-200_000])), (9, "short text of five words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()}
+    assert got == {2: (len({tuple(words[i : i + 5]) for i in range(len(words) - 4)}), 2), 5: (got[5][0], 2), 7: (got[7][0], 2), 9: (1, 9)}
+
+
+def test_one_of_each_group(spark):
+    text, other = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(1, text + " x"), (2, text), (2, other), (2, text), (3, other + " y"), (None, text), (4, None), (5, ""), (1, text + " x")]
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, key long").repartition(3)
+    kept = jaccard.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == sorted([(1, text + " x"), (1, text + " x"), (2, other), (0, text), (4, ""), (5, "")])
+    assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
 def test_copies_and_empty_tables(spark):
     docs = spark.createDataFrame([(i, "a b c d e f") for i in range(9, 0, -1)], "doc_id long, text string")
     assert {(r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()} == {(2, 1)}
