@@ -120,7 +120,8 @@ def learn_lexicons(sample: DataFrame) -> list[dict[str, float]]:
         n1, n0 = (sum(size.get((f, x), 0) for f in folds) for x in (1, 0))
         ones, zeros = (sum((F.col(f"{c}{f}") for f in folds), F.lit(0)) for c in ("ones", "zeros"))
         bound = F.log((ones + 0.5) / (n1 + 1.0)) - F.log((zeros + 0.5) / (n0 + 1.0)) - F.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
-        best = counted.filter(ones >= LEAST_ROWS).select("term", bound.alias("bound")).filter(F.col("bound") >= BANDS[-1]).orderBy(F.desc("bound"), "term").limit(LEXICON)
+        least = -(-LEAST_ROWS * len(folds) // FOLDS)  # as rare in these folds as LEAST_ROWS is in all
+        best = counted.filter(ones >= least).select("term", bound.alias("bound")).filter(F.col("bound") >= BANDS[-1]).orderBy(F.desc("bound"), "term").limit(LEXICON)
         out.append({r.term: r.bound for r in best.collect()})
     discard(sample.sparkSession, folder)
     return out

@@ -1,7 +1,4 @@
 import hashlib
-import os
-
-import pytest
 
 from prismark.llm import fingerprints, url_lists
 
@@ -71,24 +68,15 @@ def test_lists_as_of_fetch(spark):
     assert all(r.lists == [] for r in none.collect())
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables are absent")
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    sf = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    kept = docs
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = kept
-        kept = stage(spark, kept, sf).cache()
-        assert kept.columns == docs.columns, name
-        assert 0.6 * before.count() <= kept.count() <= before.count()
-    assert kept.select("text").distinct().count() == kept.count()
-    toxic = docs.join(spark.read.parquet(f"{sf}/labels.parquet").filter("toxic = 1"), "doc_id")
-    assert toxic.join(kept, "doc_id").count() <= 0.2 * toxic.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, kept, sf)
-    assert packed.select("doc_id").distinct().count() == kept.count()
-    empty = docs.limit(0)
-    for name, stage in corpus_pipeline.STAGES:
-        assert stage(spark, empty, sf).count() == 0, name
-        empty = docs.limit(0)
+def test_hot_hosts_and_clashing_columns(spark):
+    frame = spark.createDataFrame([("bad", f"h{i % 7}.net", "add", i % 5) for i in range(30)] + [("net", "net", "add", 3)], "list string, domain string, action string, day int")
+    valid = url_lists.intervals(frame, "day")
+    rows = [(i, f"http://h{i % 7 if i % 3 else 0}.net/" + "x" * (200_000 if i == 5 else 1), i % 9, ["own"], "c", "d") for i in range(4000)]
+    captures = spark.createDataFrame(rows, "page long, url string, day int, lists array<string>, captures string, domain string").repartition(5)
+    got = {r.page: (r.lists, r.captures, r.domain) for r in url_lists.evaluate(captures, valid, "day").collect()}
+    since = {}
+    for _, domain, _, day in frame.collect():
+        since[domain] = min(day, since.get(domain, 99))
+    for page, url, day, *_ in rows:
+        host = url.split("/")[2]
+        assert got[page] == (sorted([x for x, d in (("bad", host), ("net", "net")) if since.get(d, 99) <= day]), "c", "d")
