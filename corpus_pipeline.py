@@ -6,6 +6,8 @@ the columns of `documents`; the last returns the pieces and where they lie.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -19,31 +21,55 @@ MAIN_LANGUAGE = 0.4
 CAPACITY = 1024
 
 
+def _judged(docs: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of `docs` whose text `keep` keeps; columns that clash with those it adds are set aside meanwhile."""
+    clash = {c: f"_own_{c}" for c in docs.columns if c not in ("doc_id", "text")}
+    kept = keep(docs.withColumnsRenamed(clash)).select(*(clash.get(c, c) for c in docs.columns))
+    return kept.withColumnsRenamed({v: k for k, v in clash.items()})
+
+
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose calibrated toxicity stays below TOXIC."""
+    """Documents whose calibrated toxicity stays below TOXIC.
+
+    Cases: null and empty texts have no toxic feature and stay, as all documents
+    do where no label is known; repeated rows are scored each; a very long text
+    is scored whole; an empty table stays empty; columns of any name are passed
+    through, a column `toxicity` as it was.
+    """
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model).filter(F.col("toxicity") < TOXIC).select(*docs.columns)
+    return _judged(docs, lambda texts: toxicity.score(texts, model).filter(F.col("toxicity") < TOXIC))
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that are mainly in one known language."""
-    found = language.detect(docs, language.fit(docs))
-    return found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= MAIN_LANGUAGE)).select(*docs.columns)
+    """Documents that are mainly in one known language.
+
+    Cases: null and empty texts and those without a letter have no language and
+    go; where nothing has a `lang`, nothing is known and all go; repeated rows
+    are judged each; a very long text is judged whole; an empty table stays
+    empty; columns of any name are passed through.
+    """
+    model = language.fit(docs)
+    return _judged(docs, lambda texts: language.detect(texts, model).filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= MAIN_LANGUAGE)))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies, the document with the least doc_id.
 
-    Rows repeated under one doc_id are one document; rows without one stay.
+    Cases: null, empty and wordless texts have no copies and stay; rows repeated
+    under one doc_id are one document, and where their texts differ each text is
+    judged by itself; rows without a doc_id stay; very long texts are compared
+    whole; an empty table stays empty; columns of any name are passed through.
     """
-    classes = jaccard.similarity_classes(docs)
-    copies = written(classes.filter("doc_id <> component_id").select("doc_id"), scratch(spark, "copies"))
-    small = copies.count() <= jaccard.BROADCAST_IDS
-    return docs.join(F.broadcast(copies) if small else copies, "doc_id", "left_anti").select(*docs.columns)
+    return jaccard.one_of_each(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All tokens in sequences of at most CAPACITY."""
+    """All tokens in sequences of at most CAPACITY: a row for each piece, see packing.packed_pieces.
+
+    Cases: a null or empty text is its end id alone; a very long one is many
+    pieces; repeated rows and rows without a doc_id are documents of their own;
+    an empty table gives no pieces; other columns are ignored.
+    """
     cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), "joined", 2, CAPACITY)
     return packing.packed_pieces(cut, CAPACITY)
 
