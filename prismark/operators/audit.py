@@ -48,13 +48,17 @@ def _runs_of(words: int) -> Callable[[Column], Column]:
     return lambda i: _run(i, words)
 
 
+#: Passages whose runs may be broadcast; more are joined by shuffle.
+BROADCAST_PASSAGES = 200_000
+
+
 def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage: str, words: int = 8) -> DataFrame:
     """Rows of `texts` with the passages that they contain (column `item_id`).
 
     Passages meet texts by runs of their inner words, which the text has as words of its
     own whatever stands before and after the passage: the longest of `words`, 3 or 1 that
     there are. Passages of one or two words are met by their first 8, 3 or 1 characters.
-    Only texts that hold a passage's run are compared with it, so no text meets every passage.
+    Only (text key, run) pairs are compared; texts themselves are looked at where a run met.
     """
     def hashed(df: DataFrame, column: str, pattern: str) -> DataFrame:
         # Two projections, so that no array is made again for each element.
@@ -62,19 +66,22 @@ def contained_passages(texts: DataFrame, text: str, passages: DataFrame, passage
         return split.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w))).drop("_words")
 
     needle = F.trim(F.col(passage))
-    holds = F.contains(F.col(text), needle)
     inner = F.size(F.split(needle, r"\s+")) - 2
     tiers = [(r"\s+", n, 1, inner >= n) for n in sorted({words, 3, 1}, reverse=True)] + [("", n, 0, F.char_length(needle) >= n) for n in (8, 3, 1)]
     keyed = passages.filter(needle != "").withColumn("_tier", F.coalesce(*(F.when(tier[3], i) for i, tier in enumerate(tiers))))
-    found = sorted(r[0] for r in keyed.select("_tier").distinct().collect())  # texts are cut into runs only for these
+    found = {r[0]: r[1] for r in keyed.groupBy("_tier").count().collect()}  # texts are cut into runs only for these
+    small = sum(found.values()) <= BROADCAST_PASSAGES
+    bounded = F.broadcast if small else (lambda df: df)
+    keys = texts.select(F.md5(F.col(text)).alias("_key"), F.col(text).alias("_text"))
     hits = []
-    for i in found or [0]:
+    for i in sorted(found) or [0]:
         pattern, n, first, _ = tiers[i]
-        part = hashed(keyed.filter(F.col("_tier") == i), passage, pattern).withColumn("_run", _run(F.lit(first), n)).drop("_hashes", "_tier")
+        part = hashed(keyed.filter(F.col("_tier") == i), passage, pattern).select(_run(F.lit(first), n).alias("_run"), "item_id")
         starts = F.sequence(F.lit(0), F.size("_hashes") - n)
-        runs = hashed(texts, text, pattern).filter(F.size("_hashes") >= n).withColumn("_run", F.explode(F.array_distinct(F.transform(starts, _runs_of(n))))).drop("_hashes")
-        hits.append(runs.join(part, "_run").filter(holds))
-    return reduce(DataFrame.unionByName, hits).drop("_run").distinct()
+        runs = hashed(keys, "_text", pattern).filter(F.size("_hashes") >= n).select("_key", F.explode(F.array_distinct(F.transform(starts, _runs_of(n)))).alias("_run"))
+        hits.append(runs.join(bounded(part), "_run").select("_key", "item_id"))
+    met = reduce(DataFrame.unionByName, hits).distinct().join(bounded(passages), "item_id")
+    return texts.withColumn("_key", F.md5(F.col(text))).join(met, "_key").filter(F.contains(F.col(text), needle)).drop("_key")
 
 
 def forbidden_overlap(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:

@@ -40,7 +40,7 @@ def bootstrap_numpy(pairs: DataFrame, group: list[str], samples: int = 2000, see
 
     A group's differences lie in one task, as this resampling is defined on the
     whole vector in order of id: for evaluation panels, not for raw corpora
-    (see bootstrap_hashed). Replicates are drawn `chunk` at a time.
+    (see bootstrap_by_value). Replicates are drawn `chunk` at a time.
     """
     def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
         deltas = pdf.sort_values("id")["delta"].to_numpy(np.float64)
@@ -58,22 +58,26 @@ def bootstrap_numpy(pairs: DataFrame, group: list[str], samples: int = 2000, see
     return pairs.withColumn("delta", F.col("candidate") - F.col("baseline")).groupBy(*group).applyInPandas(estimate, f"{kinds}, n long, delta double, low double, high double, p_positive double")
 
 
-def bootstrap_hashed(pairs: DataFrame, group: str, replicates: int) -> DataFrame:
-    """The interval from replicates drawn by hash: slot i of replicate r takes row sha256(r:i) mod n of its group.
+def bootstrap_by_value(pairs: DataFrame, group: list[str], samples: int = 2000, seed: int = SEED, cells: int = 4_000_000) -> DataFrame:
+    """The interval at any number of rows: a resample is a draw of how often each distinct difference occurs.
 
-    All joins are on (group, position): it runs on any number of rows, at
-    n x replicates rows of two numbers, summed as they are made.
+    Rows are counted by (group, difference) before they are dealt out; a group's task gets its distinct
+    differences, three for a metric of 0 and 1. `cells` bounds the counts that are drawn at a time.
     """
-    from pyspark.sql import Window as W
-
-    rows = pairs.select(group, "id", (F.col("candidate") - F.col("baseline")).alias("delta"))
-    numbered = rows.withColumn("at", F.row_number().over(W.partitionBy(group).orderBy("id")) - 1).withColumn("n", F.count("*").over(W.partitionBy(group)))
-    # Draws depend on n alone: groups of one size share them.
-    slots = numbered.select(F.col("at").alias("i"), "n").distinct().withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", "r", "i"), 256), 1, 8), 16, 10).cast("bigint") % F.col("n")
-    drawn = slots.withColumn("at", pick.cast("int")).groupBy("n", "r", "at").count()
-    means = drawn.join(numbered.select(group, "at", "delta", "n"), ["n", "at"]).groupBy(group, "r").agg((F.sum(F.col("delta") * F.col("count")) / F.first("n")).alias("m"))
-    return means.groupBy(group).agg(F.count("*").alias("replicates"), F.round(F.percentile("m", 0.025), 6).alias("low"), F.round(F.percentile("m", 0.975), 6).alias("high"), F.round(F.avg((F.col("m") > 0).cast("double")), 6).alias("p_positive"))
+    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("delta")
+        values, counts = pdf["delta"].to_numpy(np.float64), pdf["n"].to_numpy(np.int64)
+        n, rng, means = int(counts.sum()), np.random.default_rng(seed), []
+        step = max(1, cells // len(values))
+        for i in range(0, samples, step):
+            means.append(rng.multinomial(n, counts / n, size=min(step, samples - i)) @ values / n)
+        drawn = np.concatenate(means)
+        row = {"n": n, "delta": round(float(counts @ values / n), 6), "replicates": samples, "low": round(float(np.quantile(drawn, 0.025)), 6), "high": round(float(np.quantile(drawn, 0.975)), 6), "p_positive": round(float((drawn > 0).mean()), 6)}
+        return pd.DataFrame([{**{g: pdf[g].iloc[0] for g in group}, **row}])
+
+    kinds = ", ".join(f"{g} {pairs.schema[g].dataType.simpleString()}" for g in group)
+    counted = pairs.filter("baseline is not null and candidate is not null").groupBy(*group, (F.col("candidate") - F.col("baseline")).alias("delta")).agg(F.count("*").alias("n"))
+    return counted.groupBy(*group).applyInPandas(estimate, f"{kinds}, n long, delta double, replicates int, low double, high double, p_positive double")
 
 
 def behavior(prediction: Column, tokens: Column, most_tokens: int) -> dict[str, Column]:

@@ -41,17 +41,29 @@ def ranked_in(df: DataFrame, strata: list[str], namespace: str, key: str) -> Dat
     return stable_order(df, namespace, key).withColumn("rank", F.row_number().over(W.partitionBy(*strata).orderBy("h", key)))
 
 
+def within_quotas(df: DataFrame, strata: list[str], quotas: DataFrame, namespace: str, key: str) -> DataFrame:
+    """The rows of each stratum up to its quota (`quotas`: strata, quota), lowest hashes first, with `rank`.
+
+    The greatest quota is a constant bound of all ranks, by which tasks cut their rows before they are dealt out.
+    """
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    picked = ranked_in(df, strata, namespace, key).filter(F.col("rank") <= most)
+    return picked.join(quotas, strata).filter(F.col("rank") <= F.col("quota")).drop("quota")
+
+
 def stratified_sample(df: DataFrame, strata: list[str], total: int, namespace: str, key: str) -> DataFrame:
     """`total` rows, proportional by strata, lowest hashes first in each."""
     name = F.concat_ws("|", *strata)
     quotas = largest_remainder(df.groupBy(*strata).count().withColumn("stratum", name), "stratum", "count", total).select(*strata, "quota")
-    picked = ranked_in(df, strata, namespace, key)
-    return picked.join(quotas, strata).filter(F.col("rank") <= F.col("quota")).drop("quota")
+    return within_quotas(df, strata, quotas, namespace, key)
 
 
 def task_quota_sample(df: DataFrame, task: str, quotas: DataFrame, namespace: str, key: str) -> DataFrame:
-    """As many rows of each task as `quotas` (task, quota) says, lowest hashes first."""
-    return ranked_in(df, [task], namespace, key).join(quotas, task).filter(F.col("rank") <= F.col("quota")).drop("quota")
+    """As many rows of each task as `quotas` (task, quota) says, lowest hashes first; a task that has fewer is an error."""
+    short = quotas.join(df.groupBy(task).agg(F.count("*").alias("_n")), task, "left").filter(F.coalesce("_n", F.lit(0)) < F.col("quota")).collect()  # a row for each task
+    if short:
+        raise ValueError(f"too few rows for the quotas: {[(r[task], r._n or 0, r.quota) for r in short]}")
+    return within_quotas(df, [task], quotas, namespace, key)
 
 
 def two_level_quota(df: DataFrame, task: str, strata: list[str], total: int, namespace: str, key: str) -> DataFrame:
@@ -64,12 +76,13 @@ def two_level_quota(df: DataFrame, task: str, strata: list[str], total: int, nam
     rest = F.col("task_quota") - F.sum("_floor").over(inside)
     order = F.row_number().over(inside.orderBy(F.desc(F.round(F.col("_share") - F.col("_floor"), 9)), "stratum"))
     quotas = cells.select(task, *strata, (F.col("_floor") + (order <= rest).cast("int")).alias("quota"))
-    return ranked_in(df, [task, *strata], namespace, key).join(quotas, [task, *strata]).filter(F.col("rank") <= F.col("quota")).drop("quota")
+    return within_quotas(df, [task, *strata], quotas, namespace, key)
 
 
 def coverage_selection(df: DataFrame, entity: str, extra: int, namespace: str, key: str) -> DataFrame:
     """The first row of every entity in hash order, and `extra` more of the lowest hashes."""
-    ranked = ranked_in(df, [entity], namespace, key)
+    # An entity gives `extra` more rows at most.
+    ranked = ranked_in(df, [entity], namespace, key).filter(F.col("rank") <= extra + 1)
     more = ranked.filter("rank > 1").orderBy("h", key).limit(extra)
     return ranked.filter("rank = 1").withColumn("role", F.lit("cover")).unionByName(more.withColumn("role", F.lit("extra")))
 
@@ -78,7 +91,20 @@ def stratified_split(df: DataFrame, strata: list[str], ratios: tuple[float, floa
     """`df` with split by position in hash order: each stratum of three or more has all three."""
     within = W.partitionBy(*strata)
     ranked = ranked_in(df, strata, namespace, key).withColumn("n", F.count("*").over(within))
+    return _positioned(ranked, ratios).drop("n")
+
+
+def global_split(df: DataFrame, ratios: tuple[float, float], namespace: str, key: str, small: int = 100) -> DataFrame:
+    """`df` with split by position in the hash order of all rows: for fewer than `small` rows, whose strata are too thin."""
+    n = df.count()
+    if n >= small:
+        raise ValueError(f"{n} rows are enough for stratified_split")
+    ranked = stable_order(df, namespace, key).withColumn("rank", F.row_number().over(W.orderBy("h", key))).withColumn("n", F.lit(n))
+    return _positioned(ranked, ratios).drop("n")
+
+
+def _positioned(ranked: DataFrame, ratios: tuple[float, float]) -> DataFrame:
     train = F.least(F.greatest(F.round(F.col("n") * ratios[0]).cast("bigint"), F.lit(1)), F.col("n") - 2)
     val = F.least(F.greatest(F.round(F.col("n") * ratios[1]).cast("bigint"), F.lit(1)), F.col("n") - train - 1)
     split = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test")
-    return ranked.withColumn("split", split).drop("n")
+    return ranked.withColumn("split", split)

@@ -149,41 +149,33 @@ def exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predictions(spark, sf_dir).select("id", "model", text.exact_match(F.col("prediction"), F.array("answer")).alias("exact"))
 
 
-def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two ASCII pieces of each text; the engines' edit distances only agree there."""
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return table(spark, sf_dir, "documents").select("doc_id", F.substring(plain, 1, 40).alias("a"), F.substring(plain, 41, 40).alias("b"))
-
-
-_HALVES = "(select doc_id, substr(regexp_replace(text, '[^ -~]', '', 'g'), 1, 40) as a, substr(regexp_replace(text, '[^ -~]', '', 'g'), 41, 40) as b from documents)"
-
-
-@query(f"select doc_id, levenshtein(a, b) as distance from {_HALVES}")
+@query(f"select id, model, levenshtein(prediction, answer) as distance from {PREDICTIONS}")
 def edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of two pieces of 40 characters."""
-    return _halves(spark, sf_dir).select("doc_id", F.levenshtein("a", "b").cast("bigint").alias("distance"))
-
-
-_NORMAL = r"regexp_replace(trim(lower(trim({c}, ' ')), '.' || chr(10)), '\s+', ' ', 'g')"
+    """Edit distance of each prediction from its answer."""
+    return predictions(spark, sf_dir).select("id", "model", F.levenshtein("prediction", "answer").cast("bigint").alias("distance"))
 
 
 @query(f"""
-    with n as (select doc_id, {_NORMAL.format(c='a')} as a, {_NORMAL.format(c='b')} as b from {_HALVES}),
-    s as (select doc_id, case when greatest(length(a), length(b)) = 0 then 1.0 else 1 - levenshtein(a, b) / greatest(length(a), length(b)) end as s from n)
-    select doc_id, round(case when s >= 0.5 then s else 0 end, 6) as anls from s""")
+    with s as (select id, model, case when greatest(length(prediction), length(answer)) = 0 then 1.0 else 1 - levenshtein(prediction, answer) / greatest(length(prediction), length(answer)) end as s from {PREDICTIONS})
+    select id, model, round(case when s >= 0.5 then s else 0 end, 6) as anls from s""")
 def anls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit similarity with a threshold."""
-    return _halves(spark, sf_dir).select("doc_id", F.round(text.anls(F.col("a"), F.col("b")), 6).alias("anls"))
+    """Edit similarity of predictions and answers, with a threshold."""
+    return predictions(spark, sf_dir).select("id", "model", F.round(text.anls(F.col("answer"), F.col("prediction")), 6).alias("anls"))
 
 
 @query("""
-    with t as (select doc_id, regexp_extract_all(lower(substr(text, 1, 400)), '[a-z0-9]+') as a, regexp_extract_all(lower(substr(text, 401, 400)), '[a-z0-9]+') as b from documents),
-    o as (select *, list_sum(list_transform(list_distinct(a), lambda x: least(len(list_filter(a, lambda y: y = x)), len(list_filter(b, lambda y: y = x))))) as o from t)
-    select doc_id, round(case when len(a) = 0 or len(b) = 0 then (len(a) = len(b))::int::double when coalesce(o, 0) = 0 then 0 else 2.0 * o / (len(a) + len(b)) end, 6) as f1 from o""")
+    with d as (select doc_id, doc_id % (select count(*) from benchmark) + 1 as nth, regexp_extract_all(lower(text), '[a-z0-9]+') as words from documents),
+    b as (select row_number() over (order by item_id) as nth, regexp_extract_all(lower(text), '[a-z0-9]+') as words from benchmark),
+    t as (select doc_id, w, count(*) as n from (select doc_id, unnest(words) as w from d) group by 1, 2),
+    u as (select nth, w, count(*) as n from (select nth, unnest(words) as w from b) group by 1, 2),
+    o as (select d.doc_id, coalesce(sum(least(t.n, coalesce(u.n, 0))), 0) as o from d left join t on t.doc_id = d.doc_id left join u on u.nth = d.nth and u.w = t.w group by 1)
+    select d.doc_id, round(case when len(d.words) = 0 or len(b.words) = 0 then (len(d.words) = len(b.words))::int::double when o = 0 then 0 else 2.0 * o / (len(d.words) + len(b.words)) end, 6) as f1
+    from d join b using (nth) join o on o.doc_id = d.doc_id""")
 def token_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token overlap of two pieces as multisets."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", *(text.tokens(F.lower(F.substring("text", start, 400)), "[a-z0-9]+").alias(c) for c, start in (("a", 1), ("b", 401))))
-    return rows.select("doc_id", F.round(text.token_f1(F.col("a"), F.col("b")), 6).alias("f1"))
+    """Token overlap of each whole document with one benchmark passage, as multisets."""
+    passages = table(spark, sf_dir, "benchmark").select(F.row_number().over(W.orderBy("item_id")).alias("nth"), text.tokens(F.lower("text"), "[a-z0-9]+").alias("b"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % F.lit(passages.count()) + 1).alias("nth"), text.tokens(F.lower("text"), "[a-z0-9]+").alias("a"))
+    return rows.join(passages, "nth").select("doc_id", F.round(text.token_f1(F.col("b"), F.col("a")), 6).alias("f1"))
 
 
 @query(r"select doc_id, len(list_filter(regexp_split_to_array(text, '[。！？；;\n]+'), lambda c: regexp_replace(c, '^\s+|\s+$', '', 'g') <> '')) as n_clauses from documents")
@@ -238,15 +230,16 @@ def trend_reward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents turned into tagged answers: tags come and go with doc_id."""
+    """Documents turned into tagged answers: thirds of the text are section bodies, tags come and go with doc_id."""
     part = lambda when, tag, body: F.when(when, F.concat(F.lit(f"【{tag}】"), body)).otherwise("")
-    i = F.col("doc_id")
-    answer = F.concat(part(i % 3 != 0, "结论", F.substring("text", 1, 20)), part(i % 4 != 0, "数据依据", F.substring("text", 21, 20)), part(i % 5 == 0, "结论", F.lit("")), part(i % 2 == 0, "建议", F.substring("text", 41, 20)))
+    i, third = F.col("doc_id"), F.floor(F.char_length("text") / 3).cast("int")
+    body = lambda k: F.substring("text", k * third + 1, third)
+    answer = F.concat(part(i % 3 != 0, "结论", body(0)), part(i % 4 != 0, "数据依据", body(1)), part(i % 5 == 0, "结论", F.lit("")), part(i % 2 == 0, "建议", F.substring("text", 2 * third + 1, F.char_length("text"))))
     return table(spark, sf_dir, "documents").select("doc_id", answer.alias("answer"))
 
 
-_TAGGED = """(select doc_id, case when doc_id % 3 <> 0 then '【结论】' || substr(text, 1, 20) else '' end || case when doc_id % 4 <> 0 then '【数据依据】' || substr(text, 21, 20) else '' end
-    || case when doc_id % 5 = 0 then '【结论】' else '' end || case when doc_id % 2 = 0 then '【建议】' || substr(text, 41, 20) else '' end as answer from documents)"""
+_TAGGED = """(select doc_id, case when doc_id % 3 <> 0 then '【结论】' || substr(text, 1, t) else '' end || case when doc_id % 4 <> 0 then '【数据依据】' || substr(text, t + 1, t) else '' end
+    || case when doc_id % 5 = 0 then '【结论】' else '' end || case when doc_id % 2 = 0 then '【建议】' || substr(text, 2 * t + 1) else '' end as answer from (select doc_id, text, length(text) // 3 as t from documents))"""
 
 
 def _times(tag: str) -> str:
@@ -323,17 +316,10 @@ def sparse_kl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", F.round(losses.sparse_forward_kl(F.col("t"), F.col("s")), 6).alias("kl"))
 
 
-_REPLICATES = 40
-
-
-@query(f"""
-    with r as (select metric, candidate - baseline as delta, row_number() over (partition by metric order by id) - 1 as at, count(*) over (partition by metric) as n from {LONG_PAIRS}),
-    s as (select metric, rep, ('0x' || substr(sha256(rep || ':' || r.at), 1, 8))::bigint % n as pick from r, unnest(range(0, {_REPLICATES})) t(rep)),
-    m as (select s.metric, s.rep, avg(r.delta) as m from s join r on r.metric = s.metric and r.at = s.pick group by 1, 2)
-    select metric, count(*) as replicates, round(quantile_cont(m, 0.025), 6) as low, round(quantile_cont(m, 0.975), 6) as high, round(avg((m > 0)::int), 6) as p_positive from m group by metric""")
+@query()
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interval of the mean difference from replicates drawn by hash."""
-    return comparison.bootstrap_hashed(long_pairs(spark, sf_dir), "metric", _REPLICATES)
+    """Interval of the mean difference from 2000 resamples."""
+    return comparison.bootstrap_by_value(long_pairs(spark, sf_dir), ["metric"])
 
 
 @query()

@@ -59,10 +59,12 @@ def predictions(spark: SparkSession, sf_dir: str, models: tuple[str, ...] = MODE
         F.col("o_orderkey").alias("id"), cents.alias("cents"), F.col("o_orderpriority").alias("task"), F.col("o_orderstatus").alias("status"), F.year("o_orderdate").alias("year"),
     ).withColumn("answer", _money(F.col("cents")))
     rows = orders.withColumn("model", F.explode(F.array(*map(F.lit, models))))
-    pick = F.conv(F.substring(F.sha2(F.concat_ws(":", F.concat(F.lit(f"{SEED}:"), F.col("model")), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("bigint") % 10
+    # Drawn in a projection of its own, so that each branch below reads it.
+    draw = F.conv(F.substring(F.sha2(F.concat_ws(":", F.concat(F.lit(f"{SEED}:"), F.col("model")), F.col("id").cast("string")), 256), 1, 8), 16, 10).cast("bigint") % 10
+    rows, pick = rows.withColumn("_pick", draw), F.col("_pick")
     scaled = lambda by: F.expr(f"cents * {by} div 100")
     prediction = F.when(pick <= 4, F.col("answer")).when(pick <= 6, _money(scaled(103))).when(pick == 7, _money(scaled(108))).when(pick == 8, "n/a").otherwise(F.concat(F.lit("total "), F.col("answer"), F.lit(" usd")))
-    return rows.withColumn("prediction", prediction).withColumn("latency", hash_number("lat", F.col("id")) % 1000 / 100.0).drop("cents")
+    return rows.withColumn("prediction", prediction).withColumn("latency", hash_number("lat", F.col("id")) % 1000 / 100.0).drop("cents", "_pick")
 
 
 _MONEY = "((({c}) // 100)::varchar || '.' || lpad((({c}) % 100)::varchar, 2, '0'))"
