@@ -123,8 +123,14 @@ def _items(value: str | None) -> list[str]:
 
 @F.pandas_udf(ArrayType(StringType()))
 def literal_items(values: pd.Series) -> pd.Series:
-    """Items of a list written as a Python literal; anything else is one item."""
-    return values.map(_items)
+    """Items of a list written as a Python literal; anything else is one item, null is null."""
+    return values.map(lambda v: None if v is None else _items(v))
+
+
+def list_items(value: Column) -> Column:
+    """The same, but only texts that begin like a list are parsed."""
+    bare = strip(value)
+    return F.coalesce(literal_items(F.when(bare.startswith("["), bare)), F.array(bare))
 
 
 def _greedy(reference, prediction, tolerance: float = 0.05) -> tuple[float | None, float | None]:

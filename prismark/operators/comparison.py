@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismark.functions.hashing import SEED
-from prismark.functions.text import NUMBER_ATTRIBUTION, literal_items, normalize_answer, parse_number
+from prismark.functions.text import NUMBER_ATTRIBUTION, list_items, normalize_answer, parse_number
 
 # Section tags, and what marks text as Chinese or as a question for a year.
 STRUCTURED_MARKERS = ["【结论】", "【数据依据】", "【风险】", "【建议】"]
@@ -103,7 +103,7 @@ def answer_kind(items: Column) -> Column:
 
 
 def answer_items(answer: Column) -> Column:
-    return literal_items(answer)
+    return list_items(answer)
 
 
 def error_band(error: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 from prismark.functions import losses, rewards, text
 from prismark.operators import comparison, gates
 from prismark.plans.registry import query
-from prismark.plans.views import LONG_PAIRS, PAIRS, PREDICTIONS, SCORED, long_pairs, pairs, predictions, scored, table
+from prismark.plans.views import LONG_PAIRS, PREDICTIONS, SCORED, long_pairs, predictions, scored, table
 
 
 @query(f"select model, round(avg(exact), 6) as exact, round(avg(relaxed), 6) as relaxed from {SCORED} group by model")
@@ -60,62 +60,6 @@ def behavior_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg(facts["characters"]), 3).alias("mean_chars"), F.round(F.median(facts["characters"]), 3).alias("median_chars"))
 
 
-# The only reasons these predictions can have: their answers are single numbers without a year question.
-_NUM = "try_cast(prediction_cand as double)"
-_ERR = f"abs({_NUM} - answer::double) / nullif(abs(answer::double), 0)"
-_REASON = f"""case when contains(prediction_cand, answer) then 'numeric_reference_embedded_with_extra_output'
-    when {_NUM} is not null then 'numeric_value_error_' || case when {_ERR} <= 0.05 then 'within_5pct' when {_ERR} <= 0.10 then '5_to_10pct' else 'over_10pct' end
-    else 'numeric_missing_or_non_numeric' end"""
-_SCOPE = "case when relaxed_cand < relaxed_base then 'exact_and_relaxed_regression' when relaxed_cand > relaxed_base then 'exact_regression_relaxed_improved' else 'exact_only_relaxed_unchanged' end"
-
-
-def _regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pairs whose exact match was lost, with reason and scope."""
-    none = F.lit(None).cast("int")
-    rows = pairs(spark, sf_dir).filter("exact_cand < exact_base")
-    why = comparison.reason(F.array("answer"), F.array("answer"), F.lit("What is the total?"), F.array().cast("array<string>"), F.col("prediction_base"), F.col("prediction_cand"), none, none, 128)
-    return rows.withColumns({"reason": why, "scope": comparison.regression_scope(F.col("relaxed_cand") - F.col("relaxed_base"))})
-
-
-@query(f"select {_REASON} as reason, count(*) as n from {PAIRS} where exact_cand < exact_base group by 1")
-def reason_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why exact matches were lost."""
-    return _regressions(spark, sf_dir).groupBy("reason").agg(F.count("*").alias("n"))
-
-
-@query(f"select {_REASON} as reason, {_SCOPE} as scope, count(*) as n from {PAIRS} where exact_cand < exact_base group by 1, 2")
-def regression_scopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reasons by what the relaxed metric says."""
-    return _regressions(spark, sf_dir).groupBy("reason", "scope").agg(F.count("*").alias("n"))
-
-
-@query(f"""
-    with r as (select *, {_REASON} as reason, relaxed_cand - relaxed_base as delta from {PAIRS} where exact_cand < exact_base)
-    select reason, id, delta, rank from (select *, row_number() over (partition by reason order by delta, id) as rank from r) where rank <= 5""")
-def topn_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five worst of each reason: a top-k report."""
-    rows = _regressions(spark, sf_dir).withColumn("delta", F.col("relaxed_cand") - F.col("relaxed_base"))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("reason").orderBy("delta", "id"))).filter("rank <= 5").select("reason", "id", "delta", F.col("rank").cast("bigint").alias("rank"))
-
-
-@query(f"""
-    with r as (select * from {PAIRS} where exact_cand < exact_base),
-    f as (select unnest(['answer_kind_numeric', case when contains(prediction_cand, answer) then 'reference_embedded_in_wrong_output' end,
-                         case when length(prediction_cand) > greatest(20, 2 * length(prediction_base)) then 'candidate_more_than_2x_baseline_chars' end]) as signature from r)
-    select signature, count(*) as n from f where signature is not null group by 1""")
-def signature_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flags of lost pairs; one pair may have several."""
-    rows = _regressions(spark, sf_dir)
-    was, now = (comparison.behavior(F.col(c), F.lit(None).cast("int"), 128) for c in ("prediction_base", "prediction_cand"))
-    flags = {
-        "candidate_empty": now["empty"], "candidate_structured_template": F.size(now["marked"]) > 0, "new_cjk_output": now["cjk"] & ~was["cjk"], "new_multiline_output": now["multiline"] & ~was["multiline"],
-        "reference_embedded_in_wrong_output": comparison.reference_embedded(F.array("answer"), F.col("prediction_cand")),
-        "candidate_more_than_2x_baseline_chars": now["characters"] > F.greatest(F.lit(20), 2 * was["characters"]),
-    }
-    kind = F.concat(F.lit("answer_kind_"), comparison.answer_kind(F.array("answer")))
-    return rows.select(F.explode(F.array_compact(F.array(kind, *(F.when(c, F.lit(n)) for n, c in flags.items())))).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
-
-
 @query(r"select doc_id, regexp_replace(trim(lower(regexp_replace(text, '^\s+|\s+$', '', 'g')), '.' || chr(10)), '\s+', ' ', 'g') as normal from documents")
 def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts as answers are compared."""
