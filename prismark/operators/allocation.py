@@ -85,6 +85,49 @@ def assign_one_each(options: dict[str, list[str]], quotas: dict[str, int], names
     return given
 
 
+def class_flow(sizes: dict[tuple[str, ...], int], quotas: dict[str, int]) -> dict[tuple[str, ...], dict[str, int]]:
+    """How many groups of each class (its tasks) get each task: every group one, every task its quota.
+
+    Groups that offer the same tasks are alike, so the flow runs between classes and tasks, a few whatever the number of groups.
+    """
+    if sum(quotas.values()) != sum(sizes.values()):
+        raise ValueError("the quotas must add up to the number of groups")
+    given = {c: dict.fromkeys((t for t in c if quotas.get(t, 0) > 0), 0) for c in sorted(sizes)}
+    room = dict(quotas)
+    for start in given:
+        left = sizes[start]
+        while left:
+            # Shortest chain of moves from this class to a task with room; as many groups move as all its links allow.
+            came: dict[str, tuple[tuple[str, ...], str | None]] = {t: (start, None) for t in given[start]}
+            queue, end = deque(came), None
+            while queue and end is None:
+                task = queue.popleft()
+                if room[task]:
+                    end = task
+                    break
+                for c, by_task in given.items():
+                    if by_task.get(task):
+                        for other in by_task:
+                            if other not in came:
+                                came[other] = (c, task)
+                                queue.append(other)
+            if end is None:
+                raise ValueError(f"no assignment meets the quotas {quotas}; groups by the tasks they offer: {sizes}")
+            chain, task = [], end
+            while task is not None:
+                c, before = came[task]
+                chain.append((c, task, before))
+                task = before
+            many = min([left, room[end], *(given[c][before] for c, _, before in chain if before)])
+            for c, task, before in chain:
+                given[c][task] += many
+                if before:
+                    given[c][before] -= many
+            room[end] -= many
+            left -= many
+    return given
+
+
 def greedy_selection(rows: list[tuple[str, str, str]], quotas: dict[str, int], per_chart: int, namespace: str = "greedy") -> list[str]:
     """Ids of (id, task, chart) rows: the task furthest behind its quota picks next, the least used chart first."""
     heaps: dict[str, list[tuple[int, int, str, str]]] = {t: [] for t in quotas}

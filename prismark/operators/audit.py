@@ -96,10 +96,17 @@ def record_errors(fields: dict[str, Column]) -> Column:
 
 
 def record_checks(*, splits: list[str], tasks: list[str], levels: list[str]) -> dict[str, Column]:
-    """Checks of a record with columns id, split, task_type, difficulty, question, answer, image, and a parsed ground_truth `gt`."""
+    """Sixteen checks of a record with the columns of RECORD and its parsed ground_truth `gt`; the JSON text tells lists from other values."""
     path = F.col("image")
     blank = lambda c: F.col(c).isNull() | (F.trim(c) == "")
+    required = ["dataset", "entity_id", "chart_id", "industry", "view_type"]
+    # Fields that must be lists, where the text has them at all.
+    not_list = lambda f: F.coalesce(~F.get_json_object("ground_truth", f"$.{f}").startswith("["), F.lit(False))
     return {
+        "required": reduce(Column.__or__, (F.col(c).isNull() for c in required)),
+        "sections_list": not_list("required_sections"),
+        "targets_list": not_list("numeric_targets"),
+        "support_list": not_list("numeric_support"),
         "id": F.col("id").isNull() | ~F.col("id").rlike(r"^[a-z0-9][a-z0-9_.-]*$"),
         "split": ~F.coalesce(F.col("split").isin(splits), F.lit(False)),
         "task_type": ~F.coalesce(F.col("task_type").isin(tasks), F.lit(False)),
@@ -108,10 +115,10 @@ def record_checks(*, splits: list[str], tasks: list[str], levels: list[str]) ->
         "answer": blank("answer"),
         "image": blank("image") | path.startswith("/") | path.contains("\\") | path.rlike(r"(^|/)\.\.(/|$)") | path.rlike("^[A-Za-z]:"),
         "ground_truth": F.col("gt").isNull(),
-        "sections": F.col("gt.required_sections").isNull(),
+        "sections": F.coalesce(F.exists("gt.required_sections", lambda x: x.isNull()), F.lit(False)),
         "numeric_targets": F.coalesce(F.exists("gt.numeric_targets", lambda t: t["value"].isNull() | F.isnan(t["value"])), F.lit(False)),
         "terms": F.coalesce(F.exists("gt.numeric_targets", lambda t: F.exists(F.coalesce(t["terms"], F.array().cast("array<string>")), lambda x: F.trim(x) == "")), F.lit(False)),
-        "numeric_support": F.coalesce(F.exists("gt.numeric_support", lambda s: s["value"].isNull() | (s["tolerance"] < 0)), F.lit(False)),
+        "numeric_support": F.coalesce(F.exists("gt.numeric_support", lambda s: s["value"].isNull() | s["tolerance"].isNull() | (s["tolerance"] < 0)), F.lit(False)),
     }
 
 

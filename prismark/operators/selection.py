@@ -108,3 +108,22 @@ def _positioned(ranked: DataFrame, ratios: tuple[float, float]) -> DataFrame:
     val = F.least(F.greatest(F.round(F.col("n") * ratios[1]).cast("bigint"), F.lit(1)), F.col("n") - train - 1)
     split = F.when(F.col("rank") <= train, "train").when(F.col("rank") <= train + val, "val").otherwise("test")
     return ranked.withColumn("split", split)
+
+
+#: Rows of one range that `positions` numbers in a task, and ranges at most.
+RANGE_ROWS, MOST_RANGES = 1_000_000, 500
+
+
+def positions(df: DataFrame, order: str) -> DataFrame:
+    """`df` with `at`: 0, 1, .. by `order`, which no two rows share.
+
+    Rows are numbered within ranges of `order`; only the ranges' sizes are summed up. The bounds
+    are keys of a few rows, the same whenever they are looked up.
+    """
+    ranges = min(MOST_RANGES, df.count() // RANGE_ROWS + 1)
+    some = sorted(r[0] for r in df.select(order).orderBy(F.xxhash64(order), order).limit(20 * (ranges - 1)).collect()) if ranges > 1 else []
+    bounds = F.array(*map(F.lit, some[::20]))
+    dealt = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b <= F.col(order))) if some else F.lit(0))
+    before = dealt.groupBy("_range").count().select("_range", (F.sum("count").over(W.orderBy("_range")) - F.col("count")).alias("_before"))  # a row for each range
+    own = F.row_number().over(W.partitionBy("_range").orderBy(order)) - 1
+    return dealt.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("at", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from prismark.operators import facts, questions
+from prismark.lineage import cut_lineage
+from prismark.operators import facts, questions, scoring
 from prismark.plans.registry import query
 from prismark.plans.views import SERIES, series, table
 
@@ -103,8 +104,19 @@ def synthetic_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.entity_facts(facts.synthetic_entities(spark, 192))
 
 
-@query()
+@query("select v.* from (values (192 * 8, 192 * 8, 192 * 2, 192, 4, 4)) v(records, ids, charts, entities, least_a_chart, most_a_chart)")
 def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Questions of synthetic entities, counted by view and task."""
+    """Questions of 192 synthetic entities: two views each, four questions a view."""
     records = questions.entity_records(facts.synthetic_entities(spark, 192))
-    return records.groupBy("view_type", "task_type", "difficulty").agg(F.count("*").alias("n"), F.countDistinct("answer").alias("answers"), F.sum(F.size("numeric_targets")).alias("targets"))
+    charts = records.groupBy("chart_id", "entity_id").agg(F.count("*").alias("n"), F.collect_list("id").alias("own"))
+    return charts.agg(F.sum("n").alias("records"), F.size(F.array_distinct(F.flatten(F.collect_list("own")))).alias("ids"), F.count("*").alias("charts"), F.countDistinct("entity_id").alias("entities"), F.min("n").alias("least_a_chart"), F.max("n").alias("most_a_chart"))
+
+
+@query("select * from (values ('evidence', 1.0, 1.0), ('format', 1.0, 1.0), ('length', 1.0, 1.0), ('numeric', 1.0, 1.0), ('overall', 1.0, 1.0), ('risk', 1.0, 1.0), ('trend', 1.0, 1.0)) v(metric, least, most)")
+def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference answers of generated records, scored as predictions: every component that applies is 1."""
+    records = cut_lineage(questions.entity_records(facts.synthetic_entities(spark, 192))).withColumn("prediction", F.col("answer"))
+    meta = F.struct(F.col("metadata.scenario").alias("scenario"), F.lit(None).cast("string").alias("question_type"), F.lit(None).cast("array<string>").alias("year_flags"))
+    names = ["numeric", "trend", "format", "evidence", "risk", "length", "overall"]
+    scored = scoring.score_rows(records.withColumn("metadata", meta)).select(*names)
+    return scored.unpivot([], names, "metric", "score").groupBy("metric").agg(F.round(F.min("score"), 6).alias("least"), F.round(F.max("score"), 6).alias("most"))

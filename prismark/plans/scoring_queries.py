@@ -283,17 +283,6 @@ def gate_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return comparison.gate_checks(summary, spark.createDataFrame(rules, "kind string, metric string, min_delta double, min_probability double"))
 
 
-@query(f"""
-    with s as (select task, round(avg(relaxed), 6) as observed, count(*) as n from {SCORED} where model = 'cand' group by task)
-    select task as scope, observed, 0.7::double as minimum, observed >= 0.7 as passed from s union all select '(rows)', sum(n)::double, 1000.0, sum(n) >= 1000 from s""")
-def absolute_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Least scores by task, and a least number of rows."""
-    rows = scored(spark, sf_dir).filter("model = 'cand'")
-    by_task = rows.groupBy(F.col("task").alias("scope")).agg(F.round(F.avg("relaxed"), 6).alias("observed"))
-    total = rows.agg(F.count("*").cast("double").alias("observed")).select(F.lit("(rows)").alias("scope"), "observed")
-    return gates.minimum_checks(by_task, 0.7).unionByName(gates.minimum_checks(total, 1000.0))
-
-
 @query()
 def open_answer_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six surrogate scores of free answers."""

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import stat
 import zipfile
 from pathlib import Path, PurePosixPath
@@ -14,11 +15,17 @@ def merged(base: dict, over: dict) -> dict:
 
 
 def load_config(path: str | Path, seen: tuple[Path, ...] = ()) -> dict:
-    """A JSON mapping with what its `extends` names underneath; a circle is an error."""
+    """A YAML or JSON mapping with what its `extends` names underneath; a circle is an error."""
     path = Path(path).resolve()
     if path in seen:
         raise ValueError(f"{path} extends itself")
-    config = json.loads(path.read_text(encoding="utf-8"))
+    text = path.read_text(encoding="utf-8")
+    if path.suffix in (".yaml", ".yml"):
+        import yaml
+
+        config = yaml.safe_load(text)
+    else:
+        config = json.loads(text)
     if not isinstance(config, dict):
         raise ValueError(f"{path} is not a mapping")
     parent = config.pop("extends", None)
@@ -35,6 +42,18 @@ def require(config: dict, dotted: str):
     return at
 
 
+def resolved(name: str, config: dict, given: str | None = None, variable: str | None = None) -> str | None:
+    """A setting from where it is given first: the command line, the environment, the configuration."""
+    return given or (os.environ.get(variable) if variable else None) or _at(config, name)
+
+
+def _at(config: dict, dotted: str):
+    try:
+        return require(config, dotted)
+    except KeyError:
+        return None
+
+
 def safe_name(name: str) -> bool:
     """Whether a path stays within the folder it is joined to."""
     path = PurePosixPath(name)
