@@ -42,7 +42,7 @@ results; further columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -59,6 +59,8 @@ SHINGLE = 5
 #: Counters of shingles (16 bits each in tasks, 8 bits when shared: 16 MB), and segments in which they are summed.
 #: The order that they give decides costs, never results.
 CELLS, SEGMENTS = 1 << 24, 64
+#: Tasks' counters that are summed at a time (3 at least, so that each round leaves fewer).
+LOT = 256
 #: Prefix entries that a task sorts at a time, and that one bucket should hold.
 TASK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
 #: Sets, and shingles, in one block of a cluster, and in one bin of small clusters, about.
@@ -189,27 +191,42 @@ def _bounds_of(counts: np.ndarray) -> np.ndarray:
     return np.concatenate((bounds, top * 2.0 ** (np.arange(1, 255 - len(bounds)) / 4)))
 
 
-def shingle_counters(rows: DataFrame) -> np.ndarray:
-    """All tasks' counters summed, as levels from 0 to 255 in the same order."""
+def shingle_counters(steps: Steps, rows: DataFrame) -> np.ndarray:
+    """All tasks' counters summed, as levels from 0 to 255 in the same order.
+
+    Sums are made of at most LOT tasks' counters at a time, lot by lot until one is left.
+    """
     segment, bounds = CELLS // SEGMENTS, None
 
-    def add(table: pa.Table) -> pa.Table:
-        release_held()
-        total = np.zeros(segment, np.int64)
-        unpack = zstandard.ZstdDecompressor().decompress
-        for blob in table.column("counters"):
-            total += np.frombuffer(unpack(blob.as_buffer()), np.uint16)
-        if bounds is not None:
-            total = np.searchsorted(bounds, total, "left").astype(np.uint8)
-        return pa.table({"key": table.column("key").slice(0, 1), "counters": pa.array([total.tobytes()], pa.binary())})
-
-    told = rows.filter("counters is not null").select("key", "counters")
+    def summed(kind: type, out: type | None) -> Callable[[pa.Table], pa.Table]:
+        def add(table: pa.Table) -> pa.Table:
+            release_held()
+            total = np.zeros(segment, np.int64)
+            unpack, squeeze = zstandard.ZstdDecompressor().decompress, zstandard.ZstdCompressor(level=1).compress
+            for blob in table.column("counters"):
+                total += np.frombuffer(unpack(blob.as_buffer()), kind)
+            if out is None:  # the last lot: levels
+                total = np.searchsorted(bounds, total, "left").astype(np.uint8)
+            else:
+                total = np.minimum(total, np.iinfo(out).max).astype(out)
+            return pa.table({"key": table.column("key").slice(0, 1), "counters": pa.array([squeeze(total.tobytes())], pa.binary())})
+
+        return add
+
+    told, kind = rows.filter("counters is not null").select("key", "counters"), np.uint16
+    while True:
+        many = told.groupBy("key").count().agg(F.max("count")).first()[0] or 0
+        if many <= LOT:
+            break
+        lot = F.pmod(F.xxhash64("key", "counters"), F.lit(-(-2 * many // LOT)))
+        told, kind = steps.table(told.groupBy("key", lot.alias("lot")).applyInArrow(summed(kind, np.uint32), "key long, counters binary"), "counters"), np.uint32
     # Hashes spread shingles alike over all segments, so one tells the bounds.
-    one = told.filter("key = 0").groupBy("key").applyInArrow(add, "key long, counters binary").first()
-    bounds = _bounds_of(np.frombuffer(one.counters, np.int64) if one else np.arange(2))
+    one = told.filter("key = 0").groupBy("key").applyInArrow(summed(kind, np.uint32), "key long, counters binary").first()
+    unpack = zstandard.ZstdDecompressor().decompress
+    bounds = _bounds_of(np.frombuffer(unpack(one.counters), np.uint32) if one else np.arange(2))
     levels = np.zeros(CELLS, np.uint8)
-    for r in told.groupBy("key").applyInArrow(add, "key long, counters binary").toLocalIterator():  # SEGMENTS rows, whatever the input
-        levels[r.key * segment : (r.key + 1) * segment] = np.frombuffer(r.counters, np.uint8)
+    for r in told.groupBy("key").applyInArrow(summed(kind, None), "key long, counters binary").toLocalIterator():  # SEGMENTS rows, whatever the input
+        levels[r.key * segment : (r.key + 1) * segment] = np.frombuffer(unpack(r.counters), np.uint8)
     return levels
 
 
@@ -557,7 +574,7 @@ def clusters(steps: Steps, docs: DataFrame, rows: DataFrame, classes: DataFrame,
     spark = docs.sparkSession
     before, current, done = None, docs, None
     for turn in range(ROUNDS):
-        counters = spark.sparkContext.broadcast(shingle_counters(rows))  # CELLS bytes
+        counters = spark.sparkContext.broadcast(shingle_counters(steps, rows))  # CELLS bytes
         edges = steps.table(cluster_edges(current, rows, counters, num, den), "cluster-edges")
         counters.destroy()
         release_worker()

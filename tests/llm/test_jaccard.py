@@ -65,7 +65,7 @@ def test_components_equal_brute_force(spark, seed, monkeypatch):
 
 @pytest.mark.parametrize("seed", range(4))
 def test_small_buckets_blocks_and_many_partitions(spark, seed, monkeypatch):
-    for name, value in {"TASK_ENTRIES": 150, "BUCKET_ENTRIES": 100, "BLOCK_SETS": 4, "BLOCK_SHINGLES": 400, "LARGE_BLOCKS": 2, "BROADCAST_IDS": 3}.items():
+    for name, value in {"TASK_ENTRIES": 150, "BUCKET_ENTRIES": 100, "BLOCK_SETS": 4, "BLOCK_SHINGLES": 400, "LARGE_BLOCKS": 2, "BROADCAST_IDS": 3, "LOT": 4}.items():
         monkeypatch.setattr(jaccard, name, value)
     rows = corpus(50 + seed, 220)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3 + 2 * seed)
