@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from prismark.functions.text import exact_match, relaxed_accuracy
-from prismark.operators.alignment import missing_work
 
 
 def with_scores(predictions: DataFrame) -> DataFrame:
@@ -16,20 +15,16 @@ def with_scores(predictions: DataFrame) -> DataFrame:
 
 
 def score_stream(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str) -> StreamingQuery:
-    """Score files that appear in `source` into `target`, each id once, and stop when all are read.
+    """Score files that appear in `source` into `target`, and stop when all are read.
 
-    A micro-batch that is run again after a failure adds nothing: rows whose id
-    is in `target` already are left out.
+    Each micro-batch is a folder `batch=<id>` of `target`: run again after a failure, it
+    replaces its own folder and reads nothing else. Ids repeated within a micro-batch are scored once.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        rows = with_scores(batch.dropDuplicates(["id"]))
-        path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
-            rows = missing_work(rows, spark.read.parquet(target).select("id"), "id")
-        rows.write.mode("append").parquet(target)
+    def replace(batch: DataFrame, number: int) -> None:
+        with_scores(batch.dropDuplicates(["id"])).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return spark.readStream.schema(schema).parquet(source).writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "1 hour", width: str = "1 day") -> DataFrame:

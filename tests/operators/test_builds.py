@@ -194,3 +194,36 @@ def test_budgets_and_settings(tmp_path, monkeypatch):
     assert config == {"a": {"b": 1, "c": [3]}}
     monkeypatch.setenv("MODEL", "from-env")
     assert [packages.resolved("a.b", config, "cli", "MODEL"), packages.resolved("a.b", config, None, "MODEL"), packages.resolved("a.b", config), packages.resolved("a.z", config)] == ["cli", "from-env", 1, None]
+
+
+def test_charts(spark, tmp_path):
+    from prismark.operators import charts, facts
+    from prismark.sources import records
+
+    entities = facts.synthetic_entities(spark, 6).withColumn("view_type", F.explode(F.array(*map(F.lit, charts.RENDERERS)))).withColumn("chart_id", F.concat_ws("_", "entity_id", "view_type"))
+    drawn = charts.rendered(entities, 7).collect()
+    again = {r.chart_id: r.content for r in charts.rendered(entities.repartition(5), 7).collect()}
+    assert len(drawn) == 30 and all(again[r.chart_id] == r.content for r in drawn) and len({bytes(r.content) for r in drawn}) == 30
+    table = spark.createDataFrame(drawn)
+    found = table.select("chart_style", validation.image_facts("content").alias("f")).collect()
+    assert all(r.f.error is None and r.f.mode == "RGB" and (r.f.width, r.f.height) == (r.chart_style.width_px, r.chart_style.height_px) for r in found)
+    written = records.write_images(table.unionByName(table), f"file://{tmp_path}/images").collect()
+    assert len(written) == 30 and all(hashlib.sha256((tmp_path / "images" / r.path.rsplit("/", 1)[1]).read_bytes()).hexdigest() == r.sha256 for r in written)
+    b64 = spark.sql("select 'aGk=' a, cast('hi' as binary) b, array(104, 105) c, '!!' d")
+    assert b64.select(records.image_bytes(F.col("a"), "string") == F.col("b"), records.image_bytes(F.col("c"), "array<int>") == F.col("b"), records.image_bytes(F.col("d"), "string").isNull()).first() == (True, True, True)
+
+
+def test_sources_are_guarded(spark):
+    from prismark.sources import records
+
+    df = spark.createDataFrame([("a", "train"), ("b", "train")], "id string, split string")
+    source = {"name": "s", "df": df, "key": "id"}
+    out = records.union_sources([{**source, "rows": 2, "repeat": 2}], split="train", shuffle="x")
+    assert out.count() == 4 and out.select("ord").distinct().count() == 4
+    for bad in ([{**source, "rows": 3}], [{**source, "max_rows": 1, "quotas": df}], [{**source, "namespace": " ", "max_rows": 1}], []):
+        with pytest.raises(ValueError):
+            records.union_sources(bad, split="train")
+    with pytest.raises(ValueError):
+        records.union_sources([source], split="val")
+    a, b = (records.contract_hashes(x).first() for x in (df, df.orderBy(F.desc("id"))))
+    assert a == b and a.rows == 2 and records.contract_hashes(df.limit(1)).first().ids_sha256 != a.ids_sha256

@@ -1,4 +1,5 @@
-import pytest
+import json
+
 from pyspark.sql import functions as F
 
 from prismark.operators import facts, questions, rollouts
@@ -35,6 +36,9 @@ def test_questions(spark):
     rows = questions.entity_records(entities).collect()
     assert len(rows) == 24 * 2 * 4 and len({r.id for r in rows}) == len(rows)
     assert all(r.answer and r.question and r.chart_id.startswith(r.entity_id) for r in rows)
-    assert all(t.tolerance >= 0.2 for r in rows for t in r.numeric_targets)
-    one = next(r for r in rows if r.task_type == "value" and r.view_type == "financial")
-    assert float(one.answer.split()[0]) == pytest.approx(one.numeric_targets[0].value, abs=0.06)
+    truths = [json.loads(r.ground_truth) for r in rows]
+    assert all(t["tolerance"] >= 0.2 or t["unit"] == "year" for g in truths for t in g["numeric_targets"]) and all(g["required_sections"][:2] == ["结论", "数据依据"] and g["grpo_eligible"] for g in truths)
+    assert all({"value": 2021.0, "tolerance": 0.0} in g["numeric_support"] for g in truths)
+    one, truth = next((r, g) for r, g in zip(rows, truths) if r.task_type == "value_retrieval" and r.view_type == "financial")
+    assert f"{truth['numeric_targets'][0]['value']:.1f}" in one.answer and truth["numeric_targets"][0]["terms"] == ["收入", "Revenue"]
+    assert questions.default_terms("margin_change") == ["利润率", "Margin", "变化"] and questions.default_terms("revenue_yoy") == ["收入", "Revenue", "同比"] and questions.default_terms("x") == []
