@@ -26,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from prismark.llm.store import AtomicFile, RangeReader, discard, scratch, small_batches, written
 from prismark.llm.tokens import batch_encoder
@@ -41,6 +41,8 @@ LENGTHS = 1 + ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3).astype(n
 FILE_BYTES = 12 << 20
 #: Tokens that a reader decodes at a time; a longer document passes alone.
 BLOCK_TOKENS = 1 << 19
+#: Files whose sizes are summed up at a time, and tasks that read files at most.
+LOT, MOST_TASKS = 10_000, 50_000
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -164,14 +166,16 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, blanks: str,
     coded = rows.filter("counts is null").select("doc_id", "ids")
     weight = coded.agg(F.sum(F.length("ids"))).first()[0] or 0
     files = coded.repartitionByRange(max(1, -(-weight // FILE_BYTES)), "doc_id").sortWithinPartitions("doc_id", "ids")
-    # Tasks of one job write the files and state their sizes; the manifest has a row per file.
-    manifest = files.mapInArrow(write, "path string, documents long, tokens long, ord long").collect()
+    # Tasks of one job write the files and state their sizes.
+    told = written(files.mapInArrow(write, "path string, documents long, tokens long, ord long"), scratch(spark, "token-manifest"))
+    shared.destroy()
     discard(spark, step)
-    start, table = 0, []
-    for row in sorted(manifest, key=lambda r: r.ord):
-        table.append((row.path, start, row.documents, row.tokens))
-        start += row.tokens
-    return spark.createDataFrame(table, "path string, start long, documents long, tokens long")
+    # First positions: summed up within lots of files, then over the lots.
+    rows = told.withColumn("lot", F.floor(F.col("ord") / LOT))
+    own = F.sum("tokens").over(W.partitionBy("lot").orderBy("ord")) - F.col("tokens")
+    lots = rows.groupBy("lot").agg(F.sum("tokens").alias("all"))
+    before = lots.select("lot", (F.sum("all").over(W.orderBy("lot")) - F.col("all")).alias("before"))  # a row for each LOT files
+    return rows.withColumn("own", own).join(F.broadcast(before), "lot").select("path", (F.col("before") + F.col("own")).alias("start"), "documents", "tokens")
 
 
 class TokenFile:
@@ -234,4 +238,4 @@ def read_token_files(manifest: DataFrame, folder: str, ids: bool = True) -> Data
 
 def _a_file_a_task(manifest: DataFrame) -> DataFrame:
     files = manifest.count()
-    return manifest.repartitionByRange(files, "path") if files > 1 else manifest
+    return manifest.repartitionByRange(min(files, MOST_TASKS), "path") if files > 1 else manifest
