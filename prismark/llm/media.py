@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from prismark.llm.store import AtomicFile, RangeReader, keyed_join, scratch, small_batches, written
+from prismark.llm.store import AtomicFile, RangeReader, discard, keyed_join, scratch, small_batches, written
 from prismark.llm.words import release_worker, text_slices
 
 #: Payload lengths are multiples of this: 24 rows of 24 samples.
@@ -210,8 +210,10 @@ def media_table(docs: DataFrame, folder: str) -> DataFrame:
     """Every document with its payload's address, header columns, checksums and feature."""
     spark = docs.sparkSession
     rows = written(write_shards(docs, folder), scratch(spark, "media-rows"))
-    at = written(addresses(rows), scratch(spark, "media-addresses"))
+    paths = [scratch(spark, f"media-{part}") for part in ("addresses", "headers")]
     # Headers and payloads in jobs of their own: one Python worker a task at a time.
-    headers = written(header_columns(at, folder), scratch(spark, "media-headers"))
+    headers = written(header_columns(written(addresses(rows), paths[0]), folder), paths[1])
+    discard(spark, paths[0])
     read = written(payload_columns(headers, folder), scratch(spark, "media-read"))
+    discard(spark, paths[1])
     return keyed_join(rows.select("doc_id", "digest"), read, ["digest"], "documents", rows.count())
