@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
-from prismark.functions.text import NUMBER_PLAIN, clauses, count_of, extract_numbers, section_positions
+from prismark.functions.text import NUMBER_PLAIN, clauses, count_of, extract_numbers, let, section_positions
 
 TRUTH = (
     "required_sections array<string>, evidence_keywords array<string>, risk_labels array<string>, answer_aliases array<string>, "
@@ -93,13 +93,17 @@ def trend(text: Column, truth: Column) -> Column:
     """Mean over targets: 1 if only expected terms appear where the metric is named, 0.5 with opposites too."""
     targets = truth["trend_targets"]
 
-    def score(t: Column) -> Column:
-        named = F.filter(clauses(text), lambda c: _has(c, t["metric"]))
-        where = F.when(F.size(named) > 0, F.array_join(named, "。")).otherwise(text)
-        expected, opposite = F.exists(t["terms"], lambda x: _has(where, x)), F.coalesce(F.exists(t["opposites"], lambda x: _has(where, x)), F.lit(False))
-        return F.when(expected & ~opposite, 1.0).when(expected & opposite, 0.5).otherwise(0.0)
+    def score(parts: Column, t: Column) -> Column:
+        named = F.array_join(F.filter(parts, lambda c: F.contains(c, F.lower(t["metric"]))), "。")  # clauses are not blank
 
-    return F.when(F.size(targets) > 0, F.aggregate(F.transform(targets, score), F.lit(0.0), lambda s, x: s + x) / F.size(targets))
+        def judged(where: Column) -> Column:
+            expected, opposite = F.exists(t["terms"], lambda x: F.contains(where, F.lower(x))), F.coalesce(F.exists(t["opposites"], lambda x: F.contains(where, F.lower(x))), F.lit(False))
+            return F.when(expected, F.when(opposite, 0.5).otherwise(1.0)).otherwise(0.0)
+
+        return let(F.coalesce(F.nullif(named, F.lit("")), F.lower(text)), judged)
+
+    total = let(F.transform(clauses(text), F.lower), lambda parts: F.aggregate(F.transform(targets, lambda t: score(parts, t)), F.lit(0.0), lambda s, x: s + x))
+    return F.when(F.size(targets) > 0, total / F.size(targets))
 
 
 def sections(text: Column, names: list[str]) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ast
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, functions as F
@@ -31,14 +32,22 @@ def normalize_answer(value: Column) -> Column:
     return F.regexp_replace(bare, r"(?U)\s+", " ")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is worked out once, however often `use` names it: inside lambdas no repeated part is shared."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse_number(value: Column) -> Column:
     """The number a whole answer states, or null; `50%` is 0.5."""
-    text = F.replace(normalize_answer(value), F.lit(","), F.lit(""))
-    percent = F.endswith(text, F.lit("%"))
-    bare = strip(F.regexp_replace(text, "%$", ""))
-    plain = F.replace(bare, F.lit("_"), F.lit(""))
-    number = F.when(bare.rlike(FLOAT_SHAPE), plain.try_cast("double")).when(bare.rlike(FLOAT_WORD), F.regexp_replace(plain, "^\\+|inity$", "").try_cast("double"))
-    return F.when(percent, number / 100.0).otherwise(number)
+
+    def number(bare: Column) -> Column:
+        plain = F.replace(bare, F.lit("_"), F.lit(""))
+        return F.when(bare.rlike(FLOAT_SHAPE), plain.try_cast("double")).when(bare.rlike(FLOAT_WORD), F.regexp_replace(plain, "^\\+|inity$", "").try_cast("double"))
+
+    def parse(text: Column) -> Column:
+        return F.when(F.endswith(text, F.lit("%")), let(strip(F.regexp_replace(text, "%$", "")), number) / 100.0).otherwise(let(strip(text), number))
+
+    return let(F.replace(normalize_answer(value), F.lit(","), F.lit("")), parse)
 
 
 def numbers_match(reference: Column, value: Column, tolerance: float = 0.05) -> Column:
@@ -48,14 +57,16 @@ def numbers_match(reference: Column, value: Column, tolerance: float = 0.05) ->
 
 def relaxed_accuracy(prediction: Column, answers: Column, tolerance: float = 0.05) -> Column:
     """1 when any alias agrees: as numbers within tolerance if both are numbers, else as normalised text."""
-    mine, text = parse_number(prediction), normalize_answer(prediction)
 
-    def agrees(answer: Column) -> Column:
-        theirs = parse_number(answer)
-        both = mine.isNotNull() & theirs.isNotNull()
-        return F.when(both, F.coalesce(numbers_match(theirs, mine, tolerance), F.lit(False)) & ~F.isnan(theirs) & ~F.isnan(mine)).otherwise(text == normalize_answer(answer))
+    def agrees(said: Column, answer: Column) -> Column:
+        def with_number(theirs: Column) -> Column:
+            both = said["number"].isNotNull() & theirs.isNotNull()
+            return F.when(both, F.coalesce(numbers_match(theirs, said["number"], tolerance), F.lit(False)) & ~F.isnan(theirs) & ~F.isnan(said["number"])).otherwise(said["text"] == normalize_answer(answer))
+
+        return let(parse_number(answer), with_number)
 
-    return F.exists(answers, agrees).cast("double")
+    said = F.struct(parse_number(prediction).alias("number"), normalize_answer(prediction).alias("text"))
+    return let(said, lambda p: F.exists(answers, lambda a: agrees(p, a))).cast("double")
 
 
 def exact_match(prediction: Column, answers: Column) -> Column:
