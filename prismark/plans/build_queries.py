@@ -22,7 +22,7 @@ def _generated(spark: SparkSession, n: int = 96, split: str = "train") -> DataFr
 
 @query("""
     select 'chartqa_train_' || lpad(o_orderkey::varchar, 6, '0') as id, 'chartqa_' || substr(sha256('image' || (o_orderkey % 50)), 1, 16) as chart_id, trim(o_orderpriority) as question,
-           (o_custkey)::varchar as answer, o_custkey::double as target, greatest(0.05, o_custkey * 0.05) as tolerance, 2::bigint as n_aliases
+           (o_custkey)::varchar as answer, o_custkey::double as target, round(greatest(0.05, o_custkey * 0.05)::double, 6) as tolerance, 2::bigint as n_aliases
     from orders where o_orderkey % 5 <> 0""")
 def plain_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source rows with labels as records; rows without a label are left out."""

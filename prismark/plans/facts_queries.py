@@ -112,7 +112,7 @@ def entity_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return charts.agg(F.sum("n").alias("records"), F.size(F.array_distinct(F.flatten(F.collect_list("own")))).alias("ids"), F.count("*").alias("charts"), F.countDistinct("entity_id").alias("entities"), F.min("n").alias("least_a_chart"), F.max("n").alias("most_a_chart"))
 
 
-@query("select * from (values ('evidence', 1.0, 1.0), ('format', 1.0, 1.0), ('length', 1.0, 1.0), ('numeric', 1.0, 1.0), ('overall', 1.0, 1.0), ('risk', 1.0, 1.0), ('trend', 1.0, 1.0)) v(metric, least, most)")
+@query("select metric, least::double as least, most::double as most from (values ('evidence', 1.0, 1.0), ('format', 1.0, 1.0), ('length', 1.0, 1.0), ('numeric', 1.0, 1.0), ('overall', 1.0, 1.0), ('risk', 1.0, 1.0), ('trend', 1.0, 1.0)) v(metric, least, most)")
 def record_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reference answers of generated records, scored as predictions: every component that applies is 1."""
     records = cut_lineage(questions.entity_records(facts.synthetic_entities(spark, 192))).withColumn("prediction", F.col("answer"))
