@@ -125,32 +125,40 @@ def reference_embedded(aliases: Column, prediction: Column) -> Column:
     return F.exists(aliases, inside)
 
 
-def reason(items: Column, aliases: Column, question: Column, year_flags: Column, baseline: Column, candidate: Column, baseline_tokens: Column, candidate_tokens: Column, most_tokens: int) -> Column:
-    """Why a pair got worse: the first rule that holds."""
+def reason_parts(items: Column, kind: Column, aliases: Column, question: Column, year_flags: Column, baseline: Column, candidate: Column, baseline_tokens: Column, candidate_tokens: Column, most_tokens: int) -> dict[str, Column]:
+    """What the rules of `reason` look at, each to be a column of its own, so that it is worked out once."""
     was, now = behavior(baseline, baseline_tokens, most_tokens), behavior(candidate, candidate_tokens, most_tokens)
-    kind = answer_kind(items)
-    embedded = reference_embedded(aliases, candidate)
     target = F.when(F.size(items) == 1, parse_number(F.get(items, F.lit(0))))
-    year = target.isNotNull() & (target == F.floor(target)) & target.between(1800, 2200) & (question.rlike(YEAR_QUESTION) | F.coalesce(F.array_contains(F.transform(year_flags, F.upper), "YES"), F.lit(False)))
-    numbers = found_numbers(candidate)
+    return {
+        "_kind": kind, "_empty": now["empty"], "_capped": now["capped"] & ~was["capped"], "_marked": (F.size(now["marked"]) > 0) & (F.size(was["marked"]) == 0),
+        "_embedded": reference_embedded(aliases, candidate), "_target": target, "_numbers": found_numbers(candidate), "_value": parse_number(candidate), "_many": F.size(items) > 1,
+        "_asks_year": question.rlike(YEAR_QUESTION) | F.coalesce(F.array_contains(F.transform(year_flags, F.upper), "YES"), F.lit(False)), "_changed": normalize_answer(baseline) != normalize_answer(candidate),
+    }
+
+
+def reason() -> Column:
+    """Why a pair got worse: the first rule that holds, from the columns of `reason_parts`."""
+    kind, target, numbers, value, embedded = (F.col(c) for c in ("_kind", "_target", "_numbers", "_value", "_embedded"))
+    year = target.isNotNull() & (target == F.floor(target)) & target.between(1800, 2200) & F.col("_asks_year")
     only = F.when(F.size(numbers) == 1, F.get(numbers, F.lit(0)))
     percent = only.contains("%") & (F.abs(F.translate(only, ",% ", "").try_cast("double") - target) <= EPSILON)
-    value, token = parse_number(candidate), parse_number(only)
+    token = parse_number(only)
+    numeric = kind == "numeric"
     return (
-        F.when(now["empty"], "empty_prediction")
-        .when(now["capped"] & ~was["capped"], "new_token_cap_proxy_hit")
-        .when((F.size(now["marked"]) > 0) & (F.size(was["marked"]) == 0), "structured_template_intrusion")
-        .when(embedded & (kind == "numeric"), "numeric_reference_embedded_with_extra_output")
+        F.when(F.col("_empty"), "empty_prediction")
+        .when(F.col("_capped"), "new_token_cap_proxy_hit")
+        .when(F.col("_marked"), "structured_template_intrusion")
+        .when(embedded & numeric, "numeric_reference_embedded_with_extra_output")
         .when(embedded & (kind == "text"), "text_reference_embedded_with_extra_output")
         .when(embedded, "reference_embedded_with_extra_output")
-        .when((kind == "numeric") & year, "year_value_or_answer_type_error")
-        .when((kind == "numeric") & F.coalesce(percent, F.lit(False)), "numeric_percent_scale_ambiguity")
-        .when((kind == "numeric") & target.isNotNull() & value.isNotNull(), F.concat(F.lit("numeric_value_error_"), error_band(relative_error(target, value))))
-        .when((kind == "numeric") & target.isNotNull() & token.isNotNull(), F.concat(F.lit("numeric_unit_or_text_output_"), error_band(relative_error(target, token))))
-        .when((kind == "numeric") & (F.size(numbers) > 0), "numeric_value_embedded_or_multi_number_error")
-        .when(kind == "numeric", "numeric_missing_or_non_numeric")
-        .when((kind == "mixed") | (F.size(items) > 1), "multi_answer_structure_or_content_error")
-        .when(normalize_answer(baseline) != normalize_answer(candidate), "text_label_or_content_error")
+        .when(numeric & year, "year_value_or_answer_type_error")
+        .when(numeric & F.coalesce(percent, F.lit(False)), "numeric_percent_scale_ambiguity")
+        .when(numeric & target.isNotNull() & value.isNotNull(), F.concat(F.lit("numeric_value_error_"), error_band(relative_error(target, value))))
+        .when(numeric & target.isNotNull() & token.isNotNull(), F.concat(F.lit("numeric_unit_or_text_output_"), error_band(relative_error(target, token))))
+        .when(numeric & (F.size(numbers) > 0), "numeric_value_embedded_or_multi_number_error")
+        .when(numeric, "numeric_missing_or_non_numeric")
+        .when((kind == "mixed") | F.col("_many"), "multi_answer_structure_or_content_error")
+        .when(F.col("_changed"), "text_label_or_content_error")
         .otherwise("unclassified_score_change")
     )
 

@@ -90,9 +90,9 @@ def regressions(pairs: DataFrame, most_tokens: int = 128) -> DataFrame:
     lost = pairs.filter("b.exact_match > c.exact_match")
     said = lambda side: F.coalesce(F.col(f"{side}.prediction"), F.lit(""))
     flags = F.coalesce("b.metadata.year_flags", F.array().cast("array<string>"))
-    why = comparison.reason(F.col("items"), F.col("aliases"), F.col("b.question"), flags, said("b"), said("c"), F.col("b.completion_tokens"), F.col("c.completion_tokens"), most_tokens)
+    parts = comparison.reason_parts(F.col("items"), F.col("answer_kind"), F.col("aliases"), F.col("b.question"), flags, said("b"), said("c"), F.col("b.completion_tokens"), F.col("c.completion_tokens"), most_tokens)
     delta = F.col("c.relaxed_accuracy") - F.col("b.relaxed_accuracy")
-    return lost.withColumns({"reason": why, "relaxed_delta": delta, "scope": comparison.regression_scope(delta)})
+    return lost.withColumns(parts).withColumns({"reason": comparison.reason(), "relaxed_delta": delta, "scope": comparison.regression_scope(delta)}).drop(*parts)
 
 
 def signatures(lost: DataFrame, most_tokens: int = 128) -> DataFrame:

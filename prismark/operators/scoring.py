@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from prismark.functions import rewards, text
@@ -46,24 +48,29 @@ def is_public(dataset: Column) -> Column:
 
 
 def score_rows(rows: DataFrame, weights: dict[str, float] = rewards.WEIGHTS) -> DataFrame:
-    """`rows` (dataset, answer, ground_truth, metadata, prediction) with a column for each of METRICS, null where it does not apply."""
-    name = F.lower("dataset")
-    said = F.coalesce(F.col("prediction"), F.lit(""))
-    kind = F.when(name.startswith(GENERATED), "generated").when(name == OPEN, "open").when(name == LISTS, "lists").otherwise("plain")
-    base = rows.drop(*METRICS).withColumns({"_kind": kind, "_truth": F.from_json("ground_truth", TRUTH), "_said": said})
-    of = lambda *kinds: F.col("_kind").isin(*kinds)
-    made = rewards.score_completion(base, "_said", "_truth", weights)
-    made = made.withColumns({c: F.when(of("generated"), F.col(c)) for c in COMPONENTS})
-    known = aliases(F.col("_truth"), F.col("answer"))
+    """`rows` (dataset, answer, ground_truth, metadata, prediction) with a column for each of METRICS, null where it does not apply.
+
+    Each kind of dataset is a branch of its own, so that no row passes through another kind's functions.
+    """
+    name = F.coalesce(F.lower("dataset"), F.lit(""))
+    kinds = {"generated": name.startswith(GENERATED), "open": name == OPEN, "lists": name == LISTS}
+    rest = ~(kinds["generated"] | kinds["open"] | kinds["lists"])
+    base = rows.drop(*METRICS).withColumn("_said", F.coalesce(F.col("prediction"), F.lit("")))
+    truth = F.from_json("ground_truth", TRUTH)
+    said, known = F.col("_said"), aliases(F.col("_truth"), F.col("answer"))
+
+    made = rewards.score_completion(base.filter(kinds["generated"]).withColumn("_truth", truth), "_said", "_truth", weights)
+    free = base.filter(kinds["open"]).withColumn("_open", text.open_answer_scores(F.col("answer"), said))
+    free = free.withColumns({c: F.col(f"_open.{f}") for c, f in SURROGATE.items()})
     # The items are columns of their own: no lambda may hold a Python function.
-    made = made.withColumns({"_want": text.list_items(F.when(of("lists"), F.col("answer"))), "_got": text.list_items(F.when(of("lists"), F.col("_said")))})
-    lists = text.multi_answer_accuracy(F.col("_want"), F.col("_got"), F.col("metadata.year_flags"), F.col("metadata.question_type"))
-    scored = made.withColumns({
-        "relaxed_accuracy": F.when(of("lists"), lists).when(of("plain"), text.relaxed_accuracy(F.col("_said"), known)),
-        "exact_match": F.when(of("lists", "plain"), text.exact_match(F.col("_said"), known)),
-        "_open": text.open_answer_scores(F.when(of("open"), F.col("answer")), F.when(of("open"), F.col("_said"))),
-    })
-    return scored.withColumns({c: F.when(of("open"), F.col(f"_open.{f}")) for c, f in SURROGATE.items()}).drop("_kind", "_truth", "_said", "_open", "_want", "_got")
+    lists = base.filter(kinds["lists"]).withColumns({"_truth": truth, "_want": text.list_items(F.col("answer")), "_got": text.list_items(said)})
+    lists = lists.withColumns({"relaxed_accuracy": text.multi_answer_accuracy(F.col("_want"), F.col("_got"), F.col("metadata.year_flags"), F.col("metadata.question_type")), "exact_match": text.exact_match(said, known)})
+    plain = base.filter(rest).withColumn("_truth", truth).withColumns({"relaxed_accuracy": text.relaxed_accuracy(said, known), "exact_match": text.exact_match(said, known)})
+
+    def whole(df: DataFrame) -> DataFrame:
+        return df.select(*base.drop("_said").columns, *(F.col(m) if m in df.columns else F.lit(None).cast("double").alias(m) for m in METRICS))
+
+    return reduce(DataFrame.unionByName, map(whole, (made, free, lists, plain)))
 
 
 def official_rows(rows: DataFrame) -> DataFrame:

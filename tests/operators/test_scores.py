@@ -84,8 +84,8 @@ REASONS = [
 def test_reasons(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(REASONS)], "i int, answer string, b string, c string, want string").withColumn("items", comparison.answer_items(F.col("answer")))
     none = F.lit(None).cast("int")
-    why = comparison.reason(F.col("items"), F.array("answer"), F.when(F.col("answer") == "2020", "In which year?").otherwise("What?"), F.array().cast("array<string>"), F.col("b"), F.col("c"), none, none, 128)
-    got = df.select("i", "want", why.alias("got")).orderBy("i").collect()
+    parts = comparison.reason_parts(F.col("items"), comparison.answer_kind(F.col("items")), F.array("answer"), F.when(F.col("answer") == "2020", "In which year?").otherwise("What?"), F.array().cast("array<string>"), F.col("b"), F.col("c"), none, none, 128)
+    got = df.withColumns(parts).select("i", "want", comparison.reason().alias("got")).orderBy("i").collect()
     assert [r.got for r in got] == [r.want for r in got]
 
 
