@@ -39,14 +39,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL[context.applicationId]
 
 
-#: Rows, and bytes, of an Arrow batch of whole texts; Spark's defaults suit narrow rows.
-TEXT_ROWS, TEXT_BYTES = 2000, "16m"
+#: Rows, and bytes, of an Arrow batch of whole texts, and rows that a scan decodes at a time; Spark's defaults suit narrow rows.
+TEXT_ROWS, TEXT_BYTES, SCAN_ROWS = 2000, "16m", 512
 
 
 def small_batches(spark: SparkSession) -> SparkSession:
-    """The session, with Arrow batches small enough for whole texts unless the user chose a size."""
-    for name, default, value in (("maxRecordsPerBatch", "10000", str(TEXT_ROWS)), ("maxBytesPerBatch", "67108864b", TEXT_BYTES)):
-        key = f"spark.sql.execution.arrow.{name}"
+    """The session, with batches small enough for whole texts unless the user chose a size."""
+    arrow = "spark.sql.execution.arrow"
+    settings = [(f"{arrow}.maxRecordsPerBatch", "10000", str(TEXT_ROWS)), (f"{arrow}.maxBytesPerBatch", "67108864b", TEXT_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", "4096", str(SCAN_ROWS))]
+    for key, default, value in settings:
         if spark.conf.get(key) == default:
             spark.conf.set(key, value)
     return ship_package(spark)
