@@ -31,6 +31,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +42,8 @@ from prismark.llm.store import scratch, small_batches, written
 from prismark.llm.tokens import batch_encoder
 from prismark.llm.words import plain_strings, release_held, text_slices
 
-#: Rows, about, of the range that a task sweeps, and that the last task takes at most.
-RANGE_ROWS = 25_000
+#: Rows, about, of the range that a task sweeps, and that the last task takes at most; ranges at most, which then hold more rows.
+RANGE_ROWS, MOST_RANGES = 25_000, 50_000
 #: Share of the waiting pieces above which a round that leaves so many makes new sequences be opened.
 STALLED = 0.7
 
@@ -90,15 +91,22 @@ def best_fit(lengths: list[int], gaps: list[tuple[int, int]], capacity: int, ope
     """(sequence or None, offset) of each piece as two lists; gaps left as (gap, sequence), ascending.
 
     Pieces come longest first; each takes the smallest gap that holds it, of equal ones the
-    lowest sequence. opened: the next free sequence number, where pieces without a gap open one.
+    one that has been there longest. opened: the next free sequence number, where pieces without
+    a gap open one. Gaps lie by value, of which there are few, so a step costs the same however many they are.
     """
-    free = sorted(gaps)
+    free: dict[int, deque[int]] = {}
+    for gap, sequence in sorted(gaps):
+        free.setdefault(gap, deque()).append(sequence)
+    values = sorted(free)
     where: list[int | None] = []
     offsets: list[int] = []
     for length in lengths:
-        i = bisect_left(free, (length, -(1 << 63)))
-        if i < len(free):
-            gap, sequence = free.pop(i)
+        i = bisect_left(values, length)
+        if i < len(values):
+            gap = values[i]
+            sequence = free[gap].popleft()
+            if not free[gap]:
+                del free[gap], values[i]
         elif opened is not None:
             gap, sequence, opened = capacity, opened, opened + 1
         else:
@@ -108,8 +116,12 @@ def best_fit(lengths: list[int], gaps: list[tuple[int, int]], capacity: int, ope
         where.append(sequence)
         offsets.append(capacity - gap)
         if gap > length:
-            insort(free, (gap - length, sequence))
-    return where, offsets, free
+            rest = gap - length
+            if rest not in free:
+                insort(values, rest)
+                free[rest] = deque()
+            free[rest].append(sequence)
+    return where, offsets, [(gap, sequence) for gap in values for sequence in free[gap]]
 
 
 def _swept(rows: DataFrame, capacity: int, opened: int | None = None) -> DataFrame:
@@ -211,7 +223,7 @@ def pack(items: DataFrame, capacity: int, stored: bool = False) -> DataFrame:
     while left:
         rows = waiting.select(F.lit(PIECE).alias("kind"), "id", "size").unionByName(gaps.select(F.lit(GAP).alias("kind"), "id", "size"))
         last = left + many <= RANGE_ROWS
-        dealt = rows.coalesce(1) if last else rows.repartitionByRange(-(-(left + many) // RANGE_ROWS), *order)
+        dealt = rows.coalesce(1) if last else rows.repartitionByRange(min(MOST_RANGES, -(-(left + many) // RANGE_ROWS)), *order)
         swept.append(scratch(spark, "pack-swept"))
         table = written(_swept(dealt.sortWithinPartitions(*order), capacity, opened if last else None), swept[-1])
         if last:
