@@ -9,11 +9,15 @@ and prefixes l - 1 longer share l.
 1. Clusters. Shingles are ordered by how many sets hold them, rare ones first,
    as a table of CELLS counters over all texts tells: a counter sums the
    shingles of its hash, so the order is global whatever its precision. Sets
-   that share a shingle of their 1-prefixes and are near enough in size are
-   chained, first within tasks, then by buckets of shingles; a shingle of a
-   thousand sets makes a thousand edges. Of a chain a task sends its first and
-   last set in each band of sizes, so whatever is near any member of the chain
-   is near one that was sent. Linked sets are in one connected cluster.
+   that share a shingle of their LEVEL-prefixes and are near enough in size meet
+   within tasks, then in buckets of shingles. More than FEW of them are chained;
+   a shingle of a thousand sets makes a thousand edges. Of a chain a task sends
+   its first and last set in each band of sizes, so whatever is near any member
+   of the chain is near one that was sent; what meets such a set is chained too.
+   Where all sets of a shingle are there and no more than FEW, each pair gets a
+   point, and pairs with LEVEL points (or as many as the smaller set must share,
+   if less) have an edge: the more texts there are, the more of them share one
+   shingle or two by chance. Linked sets are in one connected cluster.
    Where a cluster stays large, its texts alone are counted and chained again:
    fewer texts share the counters, which then tell rare shingles better.
 2. Links. Clusters are dealt in blocks of bounded size. In a block, shingles
@@ -63,6 +67,8 @@ CELLS, SEGMENTS = 1 << 24, 64
 LOT = 256
 #: Prefix entries that a task sorts at a time, and that one bucket should hold.
 TASK_ENTRIES, BUCKET_ENTRIES = 1_000_000, 400_000
+#: Shingles of their prefixes that two sets of a cluster share, unless one of those is in more sets than FEW.
+LEVEL, FEW = 4, 4
 #: Sets, and shingles, in one block of a cluster, and in one bin of small clusters, about.
 BLOCK_SETS, BLOCK_SHINGLES = 1024, 1_000_000
 #: Texts whose ids may be broadcast to fetch them; more are joined by shuffle.
@@ -245,6 +251,17 @@ def _bands(n: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.searchsorted(np.array(least), n, "right")
 
 
+def _packed(values: np.ndarray) -> bytes:
+    """Ascending numbers in few bytes: equal bytes of their differences lie together."""
+    steps = np.diff(values, prepend=values[:1] * 0)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(steps.view(np.uint8).reshape(-1, values.itemsize).T).tobytes())
+
+
+def _unpacked(blob: pa.Buffer | bytes, kind: type) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(kind).ravel(), dtype=kind)
+
+
 def _chain(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(a, b, kept): edges between neighbours in size among the sets of a shingle, and a mask of members that stand for their chain.
 
@@ -265,9 +282,30 @@ def _chain(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: i
     return edges[0], edges[1], kept
 
 
+def _of_chains(shingle: np.ndarray, n: np.ndarray, marked: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each member its chain's number of members, and whether any of them is marked; arrays as for _chain."""
+    first = np.ones(len(n), bool)
+    first[1:] = ~((shingle[1:] == shingle[:-1]) & (n[1:] * num <= n[:-1] * den))
+    chain = np.cumsum(first) - 1
+    return np.bincount(chain)[chain], (np.bincount(chain, marked) > 0)[chain]
+
+
+def _points(shingle: np.ndarray, key: np.ndarray, n: np.ndarray, num: int, den: int) -> pa.Table:
+    """a, b, need, points: pairs near enough in size that share shingles, of FEW members each; need points make an edge."""
+    pairs = []
+    for k in range(1, FEW):
+        at = np.flatnonzero((shingle[k:] == shingle[:-k]) & (n[k:] * num <= n[:-k] * den) & (key[k:] != key[:-k]))
+        pairs.append((np.minimum(key[at], key[at + k]), np.maximum(key[at], key[at + k]), np.minimum(LEVEL, least_shared(n[at], num, den))))
+    a, b, need = (np.concatenate(x) for x in zip(*pairs))
+    order = np.lexsort((b, a))
+    a, b, need = a[order], b[order], need[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))) if len(a) else np.zeros(0, np.int64)
+    return pa.table({"a": a[starts], "b": b[starts], "need": np.minimum.reduceat(need, starts) if len(a) else need, "points": np.diff(np.append(starts, len(a)))})
+
+
 def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: int, den: int) -> DataFrame:
     """a, b: keys of sets that belong to one cluster."""
-    total = rows.filter("doc_id is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + 1)).first()[0] or 0
+    total = rows.filter("doc_id is not null").agg(F.sum(F.col("n") - F.ceil(F.col("n") * num / den) + LEVEL)).first()[0] or 0
     buckets = int(max(1, -(-total // BUCKET_ENTRIES)))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,14 +317,15 @@ def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: in
             held.clear()
             order = np.lexsort((n, shingle))
             shingle, key, n = shingle[order], key[order], n[order]
-            a, b, kept = _chain(shingle, key, n, num, den)
-            shingle, key, n = shingle[kept], key[kept], n[kept]
-            bucket = (_mix(shingle) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            shingle, key, n, bucket = shingle[order], key[order], n[order].astype(np.int32), bucket[order]
+            _, _, kept = _chain(shingle, key, n, num, den)
+            _, cut = _of_chains(shingle, n, ~kept, num, den)
+            a, b, _ = _chain(shingle[cut], key[cut], n[cut], num, den)
+            # Negative sizes are of sets that stand for others.
+            shingle, key, n = shingle[kept], key[kept], np.where(cut, -n, n)[kept].astype(np.int32)
+            bucket = ((shingle >> HASH_BITS - np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)  # ascending
             starts = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
             stops = np.append(starts[1:], len(bucket))
-            blobs = [[x[i:j].tobytes() for i, j in zip(starts, stops)] for x in (shingle, key, n)]
+            blobs = [[_packed(shingle[i:j]) for i, j in zip(starts, stops)], [key[i:j].tobytes() for i, j in zip(starts, stops)], [_packed(n[i:j]) for i, j in zip(starts, stops)]]
             edges = [b""] * len(starts)
             if len(starts):
                 edges[0] = np.stack((a, b)).tobytes()
@@ -300,26 +339,34 @@ def cluster_edges(docs: DataFrame, rows: DataFrame, counters: Broadcast, num: in
                 owner = np.repeat(np.arange(len(n), dtype=np.uint64), n)
                 rank = counters.value[_cells(hashes)].astype(np.uint64)
                 hashes = hashes[np.argsort(owner << np.uint64(16) | rank, kind="stable")]
-                first = np.where(new, n - least_shared(n, num, den) + 1, 0)
+                first = np.where(new, n - least_shared(n, num, den) + np.minimum(LEVEL, least_shared(n, num, den)), 0)
                 take = np.repeat(offsets[:-1] - (np.cumsum(first) - first), first) + np.arange(int(first.sum()))
                 held.append((hashes[take], np.repeat(keys, first), np.repeat(n, first)))
                 if sum(len(x[0]) for x in held) > TASK_ENTRIES:
                     yield from flush()
-        if held:
+        if any(len(x[0]) for x in held):
             yield from flush()
 
     def meet(table: pa.Table) -> pa.Table:
         release_held()
-        column = lambda name, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(name)])
-        shingle, key, n = column("shingles", np.uint64), column("keys", np.int64), column("sizes", np.int32).astype(np.int64)
-        order = np.lexsort((n, shingle))
-        a, b, _ = _chain(shingle[order], key[order], n[order], num, den)
+        shingle, n = (np.concatenate([_unpacked(x.as_buffer(), kind) for x in table.column(name)]) for name, kind in (("shingles", np.uint64), ("sizes", np.int32)))
+        key, n = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("keys")]), n.astype(np.int64)
+        marked, n = n < 0, np.abs(n)
+        order = np.lexsort((~marked, key, n, shingle))
+        shingle, key, n, marked = shingle[order], key[order], n[order], marked[order]
+        once = np.concatenate(([True], (shingle[1:] != shingle[:-1]) | (key[1:] != key[:-1]) | (n[1:] != n[:-1])))
+        shingle, key, n, marked = shingle[once], key[once], n[once], marked[once]
+        many, cut = _of_chains(shingle, n, marked, num, den)
+        chained = cut | (many > FEW)
+        a, b, _ = _chain(shingle[chained], key[chained], n[chained], num, den)
         earlier = [np.frombuffer(x.as_buffer(), np.int64).reshape(2, -1) for x in table.column("edges")]
         a, b = _forest(np.concatenate([a, *(e[0] for e in earlier)]), np.concatenate([b, *(e[1] for e in earlier)]))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        none = np.zeros(len(a), np.int64)
+        return pa.concat_tables([pa.table({"a": a, "b": b, "need": none, "points": none}), _points(shingle[~chained], key[~chained], n[~chained], num, den)])
 
     entries = docs.select(F.col("text").cast("string")).mapInArrow(prefixes, "bucket long, shingles binary, keys binary, sizes binary, edges binary")
-    return entries.groupBy("bucket").applyInArrow(meet, "a long, b long")
+    found = entries.groupBy("bucket").applyInArrow(meet, "a long, b long, need long, points long")
+    return found.groupBy("a", "b").agg(F.min("need").alias("need"), F.sum("points").alias("points")).filter("points >= need").select("a", "b")
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -498,7 +545,7 @@ def member_sets(docs: DataFrame, members: DataFrame, many: int) -> DataFrame:
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, hashes, offsets, keys, keys2 in _text_sets(batch):
-                blobs = [hashes[i:j].tobytes() for i, j in zip(offsets[:-1], offsets[1:])]
+                blobs = [_packed(hashes[i:j]) for i, j in zip(offsets[:-1], offsets[1:])]
                 whole = pa.RecordBatch.from_arrays([*(part.column(c) for c in names), pa.array(blobs, pa.binary())], [*names, "hashes"])
                 # Another text under the same doc_id is not the member that is asked for.
                 yield whole.filter(pa.array((keys == part.column("key").to_numpy()) & (keys2 == part.column("key2").to_numpy())))
@@ -512,16 +559,16 @@ def _compared(dealt: DataFrame, num: int, den: int, *by: str) -> DataFrame:
 
     def compare(table: pa.Table) -> pa.Table:
         release_held()
-        table = table.select(["root", "node", "side", "hashes"]).sort_by([("root", "ascending"), ("node", "ascending")])
+        table = table.select(["root", "node", "side", "hashes"]).sort_by([("root", "ascending"), ("node", "ascending"), ("side", "ascending")])
         root, node = table.column("root").to_numpy(), table.column("node").to_numpy()
         side, hashes = table.column("side").to_numpy(), table.column("hashes").combine_chunks()
         new = np.ones(len(node), bool)
-        new[1:] = (node[1:] != node[:-1]) | (root[1:] != root[:-1])  # repeated rows, and pivots in their own block, came twice
+        new[1:] = (node[1:] != node[:-1]) | (root[1:] != root[:-1])  # repeated rows, pivots and guests in their own block came twice; guests stay as hosts, for other guests
         root, node, side, hashes = root[new], node[new], side[new], hashes.filter(pa.array(new))
         links = []
         starts = np.flatnonzero(np.concatenate(([True], root[1:] != root[:-1]))) if len(root) else []
         for a, b in zip(starts, [*starts[1:], len(root)]):
-            links += link_sets(node[a:b], [np.frombuffer(hashes[i].as_buffer(), np.uint64) for i in range(a, b)], side[a:b], num, den)
+            links += link_sets(node[a:b], [_unpacked(hashes[i].as_buffer(), np.uint64) for i in range(a, b)], side[a:b], num, den)
         pairs = np.sort(np.array(links, np.int64).reshape(-1, 2), axis=1)
         return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
@@ -533,15 +580,13 @@ def links_within(steps: Steps, docs: DataFrame, members: DataFrame, num: int, de
     facts = members.agg(F.count("*"), F.sum("n"), F.max("blocks")).first()
     many, blocks = facts[0], facts[2] or 0
     bins = max(1, -(-many // BLOCK_SETS), -(-(facts[1] or 0) // BLOCK_SHINGLES))
-    sets = member_sets(docs, members, many).withColumn("side", F.lit(0).cast("long"))
-    if blocks > 1:
-        sets = steps.table(sets, "cluster-sets")
+    sets_of = lambda rows: member_sets(docs, rows, many).withColumn("side", F.lit(0).cast("long"))
     # Small clusters share a bin.
-    small = sets.filter("blocks = 1").withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
+    small = sets_of(members.filter("blocks = 1")).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
     found = [steps.table(_compared(small, num, den, "bin"), "links")]
     if blocks < 2:
         return found
-    large = sets.filter("blocks > 1")
+    large = steps.table(sets_of(members.filter("blocks > 1")), "cluster-sets")  # read several times
     # PIVOTS sets of each large cluster, one for each order of hashes, come into all of its blocks.
     pivots = large.groupBy("root").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "hashes")).alias(f"p{i}") for i in range(PIVOTS)), F.max("blocks").alias("blocks"))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")

@@ -180,3 +180,49 @@ def test_adaptive_prefixes_lose_no_link(seed):
     side = np.arange(60) % 2
     crossing = [(a, b) for a, b in pairs if side[a] != side[b]]
     assert roots(jaccard.link_sets(keys, sets, side, 80, 100)) == roots(crossing)
+
+
+def test_guests_that_meet_in_the_block_of_one_are_compared(spark):
+    x, y = np.arange(100, dtype=np.uint64), np.arange(5, 105, dtype=np.uint64)
+    rows = [(0, 7, 1, 1, jaccard._packed(x)), (0, 7, 1, 0, jaccard._packed(x)), (0, 7, 2, 1, jaccard._packed(y)), (0, 7, 3, 0, jaccard._packed(x + np.uint64(1000)))]
+    for order in (rows, rows[::-1]):
+        dealt = spark.createDataFrame(order, "block int, root long, node long, side long, hashes binary").coalesce(1)
+        assert [tuple(r) for r in jaccard._compared(dealt, 80, 100, "block").collect()] == [(1, 2)]
+
+
+def _edges(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3, "doc_id")
+    with jaccard.Steps(spark) as steps:
+        rows = jaccard.set_rows(docs).cache()
+        keys = {r.key: r.doc_id for r in rows.filter("doc_id is not null").collect()}
+        counters = spark.sparkContext.broadcast(jaccard.shingle_counters(steps, rows))
+        return sorted(tuple(sorted((keys[r.a], keys[r.b]))) for r in jaccard.cluster_edges(docs, rows, counters, 80, 100).collect())
+
+
+def test_texts_that_share_a_rare_shingle_by_chance_have_no_edge(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "_cells", lambda hashes: np.zeros(len(hashes), np.int64))  # counters that tell nothing
+    words = lambda i, n: [f"w{i}x{k}" for k in range(n)]
+    # Text i shares five words with text i + 1, and so one shingle.
+    texts = [" ".join([*(f"s{i}x{k}" for k in range(5)), *words(i, 3), *(f"s{i + 1}x{k}" for k in range(5))]) for i in range(40)]
+    near = [" ".join(words("near", 60)), " ".join([*words("near", 59), "other"])]
+    short = ["a b c d e f g h i j", "a b c d e f g h i j k"]
+    assert _edges(spark, texts + near + short) == [(40, 41), (42, 43)]
+    assert {tuple(r) for r in jaccard.similarity_classes(spark.createDataFrame(list(enumerate(texts + near + short)), "doc_id long, text string")).select("doc_id", "component_id").collect() if r[0] != r[1]} == {(41, 40), (43, 42)}
+
+
+def test_only_sets_of_large_clusters_are_written(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    base = [f"b{k}" for k in range(200)]
+    large = [" ".join([*base[:i], f"x{i}", *base[i + 1 :]]) for i in range(24)]
+    small = [" ".join(f"s{i // 2}y{k}" for k in range(100 + i % 2)) for i in range(20)]
+    seen = {}
+
+    def table(self, df, tag, kept=False, f=jaccard.Steps.table):
+        out = f(self, df, tag, kept)
+        seen[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard.Steps, "table", table)
+    got = jaccard.similarity_classes(spark.createDataFrame(list(enumerate(large + small)), "doc_id long, text string")).select("doc_id", "component_id").collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 24 else i - i % 2 for i in range(44)}
+    assert seen["cluster-sets"] == 24
