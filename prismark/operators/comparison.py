@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from prismark.functions.hashing import SEED
 from prismark.functions.text import NUMBER_ATTRIBUTION, list_items, normalize_answer, parse_number
@@ -35,27 +39,65 @@ def transitions(pairs: DataFrame, group: list[str]) -> DataFrame:
     )
 
 
-def bootstrap_numpy(pairs: DataFrame, group: list[str], samples: int = 2000, seed: int = SEED, chunk: int = 64) -> DataFrame:
+def resampled_means(deltas: np.ndarray, samples: int, seed: int, cells: int = 1 << 20) -> np.ndarray:
+    """Means of `samples` resamples, as by the index matrix `integers(0, n, size=(samples, n), dtype=int32)`.
+
+    The generator's stream is the same however it is cut, so about `cells` indices are drawn at a time.
+    Small whole differences have the same sum in any order; others are summed by whole rows.
+    """
+    n, rng = len(deltas), np.random.default_rng(seed)
+    whole = bool(np.all(np.abs(deltas) <= 127) and np.all(deltas == np.rint(deltas)))
+    values, means = deltas.astype(np.int8) if whole else deltas, np.empty(samples)
+    step = max(1, cells // n)
+    for i in range(0, samples, step):
+        rows = min(step, samples - i)
+        if whole and n > cells:
+            means[i] = sum(int(values[rng.integers(0, n, size=min(cells, n - k), dtype=np.int32)].sum(dtype=np.int64)) for k in range(0, n, cells)) / n
+        else:
+            part = values[rng.integers(0, n, size=(rows, n), dtype=np.int32)]
+            means[i : i + rows] = part.sum(axis=1, dtype=np.int64) / n if whole else part.mean(axis=1)
+    return means
+
+
+def bootstrap_numpy(pairs: DataFrame, group: list[str], samples: int = 2000, seed: int = SEED, cells: int = 1 << 20) -> DataFrame:
     """Percentile interval of the mean difference by numpy's generator, the same seed for every group.
 
     A group's differences lie in one task, as this resampling is defined on the
     whole vector in order of id: for evaluation panels, not for raw corpora
-    (see bootstrap_by_value). Replicates are drawn `chunk` at a time.
+    (see bootstrap_by_value). Spark sorts them, and the task holds no more than
+    the differences, at most two rows of the index matrix or `cells` of it.
     """
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        deltas = pdf.sort_values("id")["delta"].to_numpy(np.float64)
-        rng, means, n = np.random.default_rng(seed), [], len(deltas)
-        index = rng.integers(0, n, size=(samples, n), dtype=np.int32) if samples * n <= 1 << 24 else None
-        for i in range(0, samples, chunk):
-            rows = min(chunk, samples - i)
-            part = index[i : i + rows] if index is not None else rng.integers(0, n, size=(rows, n), dtype=np.int32)
-            means.append(deltas[part].mean(axis=1))
-        values = np.concatenate(means)
-        row = {"n": n, "delta": round(float(deltas.mean()), 6), "low": round(float(np.quantile(values, 0.025)), 6), "high": round(float(np.quantile(values, 0.975)), 6), "p_positive": round(float((values > 0).mean()), 6)}
-        return pd.DataFrame([{**{g: pdf[g].iloc[0] for g in group}, **row}])
-
     kinds = ", ".join(f"{g} {pairs.schema[g].dataType.simpleString()}" for g in group)
-    return pairs.withColumn("delta", F.col("candidate") - F.col("baseline")).groupBy(*group).applyInPandas(estimate, f"{kinds}, n long, delta double, low double, high double, p_positive double")
+    fields = [*(pairs.schema[g] for g in group), *(StructField(c, LongType() if c == "n" else DoubleType()) for c in ("n", "delta", "low", "high", "p_positive"))]
+    schema = to_arrow_schema(StructType([StructField(f.name, f.dataType) for f in fields]))
+
+    def estimate(key: tuple, parts: list[np.ndarray]) -> pa.RecordBatch:
+        deltas = np.concatenate(parts)
+        parts.clear()
+        values = resampled_means(deltas, samples, seed, cells)
+        row = {"n": len(deltas), "delta": round(float(deltas.mean()), 6), "low": round(float(np.quantile(values, 0.025)), 6), "high": round(float(np.quantile(values, 0.975)), 6), "p_positive": round(float((values > 0).mean()), 6)}
+        return pa.RecordBatch.from_pylist([{**dict(zip(group, key)), **row}], schema)
+
+    def by_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = (), []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = [batch.column(g).dictionary_encode("encode").indices.to_numpy(zero_copy_only=False) for g in group]
+            cuts = (np.flatnonzero(np.any([c[1:] != c[:-1] for c in codes], axis=0)) + 1).tolist()
+            deltas = batch.column("_delta").to_numpy(zero_copy_only=False)
+            for i, j in zip([0, *cuts], [*cuts, batch.num_rows]):
+                here = tuple(batch.column(g)[i].as_py() for g in group)
+                if parts and here != key:
+                    yield estimate(key, parts)
+                key = here
+                parts.append(deltas[i:j].astype(np.float64))
+        if parts:
+            yield estimate(key, parts)
+
+    deltas = pairs.select(*group, F.col("id").alias("_id"), (F.col("candidate") - F.col("baseline")).cast("double").alias("_delta"))
+    ordered = deltas.repartition(*group).sortWithinPartitions(*group, F.col("_id").asc_nulls_last()).drop("_id")
+    return ordered.mapInArrow(by_group, f"{kinds}, n long, delta double, low double, high double, p_positive double")
 
 
 def bootstrap_by_value(pairs: DataFrame, group: list[str], samples: int = 2000, seed: int = SEED, cells: int = 4_000_000) -> DataFrame:

@@ -1,5 +1,7 @@
 import math
+import tracemalloc
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -119,3 +121,21 @@ def test_facts(spark):
     a = facts.synthetic_entities(spark, 192).orderBy("entity_id").collect()
     assert a == facts.synthetic_entities(spark, 192).repartition(7).orderBy("entity_id").collect()
     assert all(abs(sum(r.product_mix_pct.values()) - 100) < 0.2 and abs(r.revenue[0] - r.cost[0] - r.profit[0]) < 0.2 for r in a)
+
+
+def test_bootstrap_numpy_draws_little_at_a_time_and_the_same(spark):
+    rng = np.random.default_rng(5)
+    for deltas in (rng.integers(-1, 2, 3001).astype(float), rng.normal(size=3001)):
+        index = np.random.default_rng(9).integers(0, 3001, size=(50, 3001), dtype=np.int32)
+        for cells in (1000, 7001, 1 << 20):
+            assert (comparison.resampled_means(deltas, 50, 9, cells) == deltas[index].mean(axis=1)).all()
+    tracemalloc.start()
+    comparison.resampled_means(rng.integers(-1, 2, 1_000_000).astype(float), 64, 9)
+    assert tracemalloc.get_traced_memory()[1] < 40e6  # 64 rows of indices and differences at once: 768 MB
+    tracemalloc.stop()
+    rows = [(i, g, float(i % 2), float(i * 7 % 3)) for i in range(300) for g in ("a", "b", None)]
+    pairs = spark.createDataFrame(rows, "id long, metric string, baseline double, candidate double").repartition(3)
+    got = {r.metric: r for r in comparison.bootstrap_numpy(pairs, ["metric"], samples=40, cells=128).collect()}
+    deltas = np.array([i * 7 % 3 - i % 2 for i in range(300)], float)
+    means = deltas[np.random.default_rng(comparison.SEED).integers(0, 300, size=(40, 300), dtype=np.int32)].mean(axis=1)
+    assert set(got) == {"a", "b", None} and all((r.n, r.low, r.high) == (300, round(np.quantile(means, 0.025), 6), round(np.quantile(means, 0.975), 6)) for r in got.values())
