@@ -28,7 +28,8 @@ and prefixes l - 1 longer share l.
    that are connected already are not verified again.
    A cluster of several blocks is first compared block by block, with some
    pivots in all of its blocks. Sets of its greatest component so far need no
-   comparing with each other any more; only the others go to every block.
+   comparing with each other any more; only the others go to every block, in
+   rounds of so many that a round's shuffle is bounded by the sets themselves.
 3. Components of the links.
 
 Texts with equal sets are one class from the start and never make pairs. A
@@ -77,6 +78,9 @@ BROADCAST_IDS = 500_000
 LARGE_BLOCKS, ROUNDS = 8, 3
 #: Sets of a large cluster that all of its blocks see.
 PIVOTS = 4
+#: Shingles, about, of the sets that are shuffled in one round, and rounds at most for small clusters; large
+#: clusters take as many as they need, with one lot of visitors at least.
+ROUND_SHINGLES, SMALL_ROUNDS = 1 << 28, 8
 #: Class keys that a task remembers, so as to send copies once.
 SEEN = 200_000
 #: Cost of verifying a candidate, in postings, for each shingle of the set.
@@ -231,7 +235,8 @@ def shingle_counters(steps: Steps, rows: DataFrame) -> np.ndarray:
     unpack = zstandard.ZstdDecompressor().decompress
     bounds = _bounds_of(np.frombuffer(unpack(one.counters), np.uint32) if one else np.arange(2))
     levels = np.zeros(CELLS, np.uint8)
-    for r in told.groupBy("key").applyInArrow(summed(kind, None), "key long, counters binary").toLocalIterator():  # SEGMENTS rows, whatever the input
+    summed_up = steps.table(told.groupBy("key").applyInArrow(summed(kind, None), "key long, counters binary"), "counters")
+    for r in summed_up.toLocalIterator():  # SEGMENTS rows, whatever the input
         levels[r.key * segment : (r.key + 1) * segment] = np.frombuffer(unpack(r.counters), np.uint8)
     return levels
 
@@ -580,13 +585,20 @@ def links_within(steps: Steps, docs: DataFrame, members: DataFrame, num: int, de
     facts = members.agg(F.count("*"), F.sum("n"), F.max("blocks")).first()
     many, blocks = facts[0], facts[2] or 0
     bins = max(1, -(-many // BLOCK_SETS), -(-(facts[1] or 0) // BLOCK_SHINGLES))
-    sets_of = lambda rows: member_sets(docs, rows, many).withColumn("side", F.lit(0).cast("long"))
-    # Small clusters share a bin.
-    small = sets_of(members.filter("blocks = 1")).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
-    found = [steps.table(_compared(small, num, den, "bin"), "links")]
+    sets_of = lambda rows, many: member_sets(docs, rows, many).withColumn("side", F.lit(0).cast("long"))
+    # Small clusters share a bin. Where they have many texts, those are fetched in rounds, so that their ids can be
+    # broadcast and only a round's sets, no texts, are on disk.
+    rounds = min(SMALL_ROUNDS, max(1, -(-many * 11 // (BROADCAST_IDS * 10)) if many > BROADCAST_IDS else 1, -(-(facts[1] or 0) // ROUND_SHINGLES)))
+    found = []
+    for turn in range(rounds):
+        now = members.filter("blocks = 1").filter(F.pmod(F.xxhash64(F.lit("round"), "root"), F.lit(rounds)) == turn)
+        small = sets_of(now, many if rounds == 1 else now.count()).withColumn("bin", F.pmod(F.xxhash64("root"), F.lit(bins)))
+        found.append(steps.table(_compared(small, num, den, "bin"), "links"))
     if blocks < 2:
         return found
-    large = steps.table(sets_of(members.filter("blocks > 1")), "cluster-sets")  # read several times
+    wide = members.filter("blocks > 1")
+    size = wide.agg(F.count("*"), F.sum("n")).first()
+    large = steps.table(sets_of(wide, size[0]), "cluster-sets")  # read several times
     # PIVOTS sets of each large cluster, one for each order of hashes, come into all of its blocks.
     pivots = large.groupBy("root").agg(*(F.min(F.struct(F.xxhash64(F.lit(i), "node").alias("h"), "node", "hashes")).alias(f"p{i}") for i in range(PIVOTS)), F.max("blocks").alias("blocks"))
     everywhere = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
@@ -606,11 +618,16 @@ def links_within(steps: Steps, docs: DataFrame, members: DataFrame, num: int, de
         away = large.join(F.broadcast(rest) if left <= BROADCAST_IDS else rest, "node")
         # Dealt in blocks as well: each comparison is of one block with one block of the rest.
         visits = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        share = away.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("lots"))
-        away = away.join(F.broadcast(share) if share.count() <= BROADCAST_IDS else share, "root").withColumn("lot", F.pmod(F.xxhash64(F.lit("lot"), "node"), F.col("lots")).cast("int"))
-        guests = away.withColumn("block", visits).select("root", "block", "lot", "node", "hashes", F.lit(1).cast("long").alias("side"))
-        hosts = large.join(F.broadcast(share) if share.count() <= BROADCAST_IDS else share, "root").withColumn("lot", F.explode(F.sequence(F.lit(0), F.col("lots") - 1))).select("root", "block", "lot", "node", "hashes", "side")
-        found.append(steps.table(_compared(hosts.unionByName(guests), num, den, "root", "block", "lot"), "links"))
+        share = steps.table(away.groupBy("root").agg(F.ceil(F.count("*") / BLOCK_SETS).cast("int").alias("lots")), "cluster-lots")
+        few = share.agg(F.count("*"), F.max("lots")).first()
+        share = F.broadcast(share) if few[0] <= BROADCAST_IDS else share
+        away = steps.table(away.join(share, "root").withColumn("lot", F.pmod(F.xxhash64(F.lit("lot"), "node"), F.col("lots")).cast("int")), "cluster-visitors")
+        at_once = max(1, ROUND_SHINGLES // (2 * size[1]))
+        for start in range(0, few[1], at_once):
+            stop = min(start + at_once, few[1]) - 1
+            guests = away.filter(F.col("lot").between(start, stop)).withColumn("block", visits).select("root", "block", "lot", "node", "hashes", F.lit(1).cast("long").alias("side"))
+            hosts = large.join(share, "root").filter(F.col("lots") > start).withColumn("lot", F.explode(F.sequence(F.lit(start), F.least(F.col("lots") - 1, F.lit(stop))))).select("root", "block", "lot", "node", "hashes", "side")
+            found.append(steps.table(_compared(hosts.unionByName(guests), num, den, "root", "block", "lot"), "links"))
     return found
 
 
@@ -640,30 +657,32 @@ def clusters(steps: Steps, docs: DataFrame, rows: DataFrame, classes: DataFrame,
     return done
 
 
-def classified(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
-    """doc_id, n, key, key2 (the class of its text) and component_id of every document."""
+def classified(held: Steps, docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """doc_id, n, key, key2 (the class of its text) and component_id of every document; the result reads tables of `held`."""
     spark = small_batches(docs.sparkSession)
-    rows = written(set_rows(docs), scratch(spark, "set-rows"))
+    rows = held.table(set_rows(docs), "set-rows")
     own = rows.filter("doc_id is not null").drop("counters")
     with Steps(spark) as steps:
         grouped = own.filter("n > 0").groupBy("key", "n", "key2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
         classes = steps.table(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
         total = own.count()
-        members = steps.table(clusters(steps, docs, rows, classes.drop("copies"), total, num, den), "clusters")
-        links = links_within(steps, docs, members, num, den)
-        roots = components(steps, reduce(DataFrame.unionByName, links))
+        with Steps(spark) as brief:
+            members = steps.table(clusters(brief, docs, rows, classes.drop("copies"), total, num, den), "clusters")
+        with Steps(spark) as brief:
+            links = links_within(brief, docs, members, num, den)
+            roots = steps.table(components(brief, reduce(DataFrame.unionByName, links)), "roots")
         grouped = steps.table(classes.join(roots, "node").select("node", "root", "rep", "copies"), "class-groups")
         least = grouped.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n_classes"))
         named = keyed_join(grouped.select("node", "root"), steps.table(least, "components"), ["root"], "n_classes", total).select("node", "component_id")
         named = classes.join(named, "node", "left").select("key", "n", "key2", F.coalesce("component_id", "rep").alias("component_id"), "copies")
-        named = written(named, scratch(spark, "class-components"))
+        named = held.table(named, "class-components")
     found = keyed_join(own.filter("n > 0"), named, ["key", "n", "key2"], "copies", total)
     return found.select("doc_id", "n", "key", "key2", "component_id").unionByName(own.filter("n = 0").select("doc_id", "n", "key", "key2", F.col("doc_id").alias("component_id")))
 
 
 def similarity_classes(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id (least doc_id of its component) of every document."""
-    return classified(docs, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    return classified(Steps(docs.sparkSession), docs, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def one_of_each(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
@@ -674,10 +693,11 @@ def one_of_each(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
     a doc_id stay.
     """
     spark = docs.sparkSession
-    found = classified(docs, num, den)
-    copies = written(found.filter("doc_id <> component_id").select("doc_id", "key", "key2").distinct(), scratch(spark, "copies"))
-    # Ids of which some texts go and others stay.
-    mixed = written(found.filter("doc_id = component_id").select("doc_id").distinct().join(copies.select("doc_id"), "doc_id", "left_semi"), scratch(spark, "mixed-ids"))
+    with Steps(spark) as steps:
+        found = classified(steps, docs, num, den)
+        copies = written(found.filter("doc_id <> component_id").select("doc_id", "key", "key2").distinct(), scratch(spark, "copies"))
+        # Ids of which some texts go and others stay.
+        mixed = written(found.filter("doc_id = component_id").select("doc_id").distinct().join(copies.select("doc_id"), "doc_id", "left_semi"), scratch(spark, "mixed-ids"))
 
     def bounded(ids: DataFrame) -> DataFrame:
         return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids

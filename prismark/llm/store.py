@@ -9,6 +9,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -58,9 +60,25 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def brief_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query run within go when it ends, else only once the driver happens to collect its garbage.
+
+    Not for a DataFrame that is collected twice, nor for results that are fetched step by step: their files would be made anew.
+    """
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def written(df: DataFrame, path: str) -> DataFrame:
-    """`df` as a table written to `path` and read again: lineage ends in shared files."""
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+    """`df` as a table written to `path` and read again: lineage ends in shared files, and its shuffles' files go."""
+    with brief_shuffles(df.sparkSession):
+        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -1,10 +1,13 @@
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
-from prismark.llm import jaccard
+from pyspark.sql import functions as F
+
+from prismark.llm import jaccard, store
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -226,3 +229,37 @@ def test_only_sets_of_large_clusters_are_written(spark, monkeypatch):
     got = jaccard.similarity_classes(spark.createDataFrame(list(enumerate(large + small)), "doc_id long, text string")).select("doc_id", "component_id").collect()
     assert {r.doc_id: r.component_id for r in got} == {i: 0 if i < 24 else i - i % 2 for i in range(44)}
     assert seen["cluster-sets"] == 24
+
+
+def test_small_clusters_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BROADCAST_IDS", 40)
+    rows = corpus(71, 120)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    dealt, compared = [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda sets, num, den, *by: dealt.append(by) or compared(sets, num, den, *by))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()} == brute_force(rows)
+    assert dealt.count(("bin",)) > 1
+
+
+def test_visits_in_rounds(spark, monkeypatch):
+    for name, value in {"BLOCK_SETS": 4, "ROUND_SHINGLES": 1, "SMALL_ROUNDS": 1, "PIVOTS": 1, "ROUNDS": 1}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = corpus(72, 90)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    dealt, compared = [], jaccard._compared
+    monkeypatch.setattr(jaccard, "_compared", lambda sets, num, den, *by: dealt.append(by) or compared(sets, num, den, *by))
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similarity_classes(docs).collect()} == brute_force(rows)
+    assert dealt.count(("root", "block", "lot")) > 1
+
+
+def test_written_tables_leave_no_shuffle_files(spark, tmp_path):
+    disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in disk.getAllFiles().mkString("\n").split("\n") if "/shuffle_" in f}
+    before = files()
+    table = store.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), str(tmp_path / "counts"))
+    deadline = time.time() + 5
+    while files() - before and time.time() < deadline:
+        time.sleep(0.1)
+    assert not files() - before
+    assert table.agg(F.sum("count")).first()[0] == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
